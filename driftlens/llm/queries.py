@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, line_dedup, media, mixing, warc
-from driftlens.llm.common import cut, table
+from driftlens.llm import ann, bpe, language_model, line_dedup, media, mixing, toxicity, warc
+from driftlens.llm.common import crc_mod, cut, table
 
 
 def tokenizer_path() -> str:
@@ -32,6 +32,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def _damage(records: DataFrame) -> DataFrame:
     """A second replica: some records with one byte changed, some cut short, so that later ones move."""
     draw = F.conv(F.substr(F.md5(F.concat(F.lit("damage|"), F.coalesce(F.col("record_id").cast("string"), F.lit("")))), F.lit(1), F.lit(8)), 16, 10).cast("long")
@@ -69,6 +75,11 @@ FROM two WHERE draw % 997 = 3 OR draw % 101 = 7 OR "offset" <> offset2
 """
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model.score(docs, crc_mod("doc_id", 7) != 2).withColumn("held_out", crc_mod("doc_id", 7) == 2)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = media.read_media(media.store_payload(docs))
@@ -78,6 +89,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -105,8 +121,11 @@ FROM cut c LEFT JOIN kept k USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_language_model": op4_language_model,
     "op5_media": op5_media,
+    "op8_ann": op8_ann,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
 }
