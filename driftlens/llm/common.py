@@ -32,3 +32,8 @@ def crc_mod(column: str, n: int) -> Column:
 def words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def parts(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions: the least number of buckets that keeps all cores busy."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

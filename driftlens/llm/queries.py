@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm import ann, bpe, language_model, line_dedup, media, mixing, toxicity, warc
+from driftlens.llm import ann, bpe, language_model, line_dedup, media, mixing, ngram_join, repeats, toxicity, warc
 from driftlens.llm.common import crc_mod, cut, table
 
 
@@ -89,6 +89,16 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
@@ -125,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_language_model": op4_language_model,
     "op5_media": op5_media,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_repeats": op7_repeats,
     "op8_ann": op8_ann,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
