@@ -13,9 +13,9 @@ candidates and once coarsely to count:
 
 Texts with equal sets are one class from the start. In a group of classes that share a fragment, parity
 sketches (whose difference never exceeds the sets' true difference) rule out pairs, and of the pairs
-left only a spanning forest, nearest first, is counted; the next round looks for pairs between classes
-that are still apart and were not counted yet, until there are none. So all links between components are
-tried, while the pairs of a large group of near copies are never listed.
+left only a spanning forest, nearest first, is counted; a second round counts every pair that the
+sketches leave between classes that are still apart. So all links between components are tried, while
+the pairs of a large group of near copies are never listed.
 
 Null and empty texts, and texts without words, have no shingles and stand alone; texts of fewer words
 than a shingle have their whole sequence as one; repeated ids count as one document by their smallest
@@ -94,12 +94,12 @@ def sketch(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Bits for a set of n: a power of four, about two to eight a shingle."""
-    return max(256, 1 << (2 * -(-(int(n).bit_length() + 1) // 2)))
+    """Bits for a set of n: a power of four, about four to sixteen a shingle."""
+    return max(256, 1 << (2 * -(-(int(n).bit_length() + 2) // 2)))
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, cls) of every row."""
+    """(id, n, cls, sketch) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +107,10 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                 flat, sizes = shingle_sets(part.column("text"), SHINGLE)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 cls = np.array([_class(flat[a:b]) if b > a else U(0) for a, b in zip(ends, ends[1:], strict=False)], np.uint64)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(sizes), "cls": pa.array(_signed(cls), mask=sizes == 0)})
+                drawn = [sketch(flat[a:b], sketch_bits(b - a)).tobytes() if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(sizes), "cls": pa.array(_signed(cls), mask=sizes == 0), "sketch": pa.array(drawn, pa.binary())})
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, sketch binary")
 
 
 def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -175,22 +176,31 @@ def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(gather, "gid bigint, cls bigint, size bigint").groupBy("gid", "cls").agg(F.max("size").alias("size"))
 
 
-def _filter(classes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the classes: FILTER_BITS bits, made of at most FILTER_BITS / 64 words."""
-    spots = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(i), "cls"), F.lit(FILTER_BITS)) for i in range(3))))
-    words = classes.select(spots.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids(id): FILTER_BITS bits, made of at most FILTER_BITS / 64 words."""
+    spots = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(FILTER_BITS)) for i in range(3))))
+    words = ids.select(spots.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.collect():
         out[r["word"]] = r["bits"]
     return out
 
 
-def sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
-    """(cls, n, part): the sorted shingles and sketches of the classes in `members`(id, cls), cut by coarse fragment.
+def _pack(own: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, in order."""
+    return own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-    members: one document of each class. Documents that a fixed-size filter rules out are not hashed."""
+
+def _unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(cls, own): the sorted shingles of documents that a filter of fixed size lets pass, those of wanted(id) among them."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(members.select(F.col("id").alias("cls"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
     spot = F.array(*(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(FILTER_BITS)) for i in range(3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,23 +208,19 @@ def sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             at = batch.column("spots").flatten().to_numpy().reshape(-1, 3)
             hit = ((words[at >> 6] >> (at & 63)) & 1).all(1)
-            for part in pieces(batch.filter(pa.array(hit)).select(["id", "text"]), "text"):
+            for part in pieces(batch.filter(pa.array(hit)).select(["text"]), "text"):
                 flat, sizes = shingle_sets(part.column("text"), SHINGLE)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                rows = []
-                for i, (a, b) in zip(part.column("id").to_pylist(), zip(ends, ends[1:], strict=False), strict=True):
-                    if b > a:
-                        own = flat[a:b]
-                        rows.append((i, int(_signed(_class(own))), b - a, sketch(own, sketch_bits(b - a)).tobytes(), own.tobytes()))
+                rows = {int(_signed(_class(flat[a:b]))): _pack(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False) if b > a}
                 if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(("id", "cls", "n", "sketch", "own"), map(pa.array, zip(*rows, strict=True)), strict=True)))
+                    yield pa.RecordBatch.from_pydict({"cls": pa.array(list(rows), pa.int64()), "own": pa.array(list(rows.values()), pa.binary())})
 
-    found = docs.filter(F.col("id").isNotNull()).withColumn("spots", spot).mapInArrow(run, "id bigint, cls bigint, n bigint, sketch binary, own binary")
-    return members.join(found, ["id", "cls"]).dropDuplicates(["cls"]).select("cls", "n", "sketch", "own")
+    return docs.filter(F.col("id").isNotNull()).withColumn("spots", spot).mapInArrow(run, "cls bigint, own binary")
 
 
-def _forest(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray, half: int | None, tested: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Pairs of classes, nearest first, that could be linked and join components still apart.
+def _pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray, half: int | None, tested: set[tuple[int, int]] | None) -> Iterator[tuple[int, int]]:
+    """Pairs of classes of different components that could be linked: without `tested` only a spanning
+    forest, nearest first, else all but the tested ones.
 
     half: where a second tile begins, whose members are compared with the first tile's only."""
     left, right = (np.arange(len(cls)), np.arange(len(cls))) if half is None else (np.arange(half), np.arange(half, len(cls)))
@@ -231,6 +237,9 @@ def _forest(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray,
         b.append(right[y])
         far.append(apart[x, y])
     a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(far)
+    if tested is not None:
+        yield from {(min(x, y), max(x, y)) for x, y in zip(cls[a].tolist(), cls[b].tolist(), strict=True)} - tested
+        return
     root = {}
 
     def find(x: int) -> int:
@@ -242,13 +251,14 @@ def _forest(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray,
     for i in np.lexsort((b, a, far)):
         x, y = int(cls[a[i]]), int(cls[b[i]])
         p, q = find(int(comp[a[i]])), find(int(comp[b[i]]))
-        if p != q and (min(x, y), max(x, y)) not in tested:
+        if p != q:
             root[p] = q
             yield min(x, y), max(x, y)
 
 
-def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame, tested: DataFrame, buckets: int) -> DataFrame:
+def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame, tested: DataFrame | None, buckets: int) -> DataFrame:
     """(a, b): pairs to be counted next. grouped(gid, cls, size), facts(cls, n, sketch), comps(cls, comp), tested(a, b)."""
+    every = tested is not None
     members = grouped.join(comps, "cls")
     apart = members.groupBy("gid").agg((F.min("comp") != F.max("comp")).alias("apart")).filter("apart").select("gid")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -256,7 +266,11 @@ def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame, tested: D
     spread = members.join(apart, "gid").withColumn("tiles", tiles).withColumn("tile", tile)
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
     spread = spread.join(facts.select("cls", "n", "sketch"), "cls").withColumn("bucket", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(buckets)).cast("int")).select("bucket", "gid", "i", "j", "tile", "cls", "comp", "n", "sketch")
-    pairs = tested.join(spread.select(F.col("cls").alias("a"), "bucket", "gid", "i", "j"), "a").join(spread.select(F.col("cls").alias("b"), "gid", "i", "j"), ["b", "gid", "i", "j"]).select(F.col("bucket").alias("at"), "a", "b").distinct()
+    if every:
+        at = spread.select("cls", "bucket", "gid", "i", "j")
+        pairs = tested.join(at.withColumnRenamed("cls", "a"), "a").join(at.select(F.col("cls").alias("b"), "gid", "i", "j"), ["b", "gid", "i", "j"]).select(F.col("bucket").alias("at"), "a", "b").distinct()
+    else:
+        pairs = facts.sparkSession.createDataFrame([], "at int, a bigint, b bigint")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = set(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True))
@@ -275,20 +289,21 @@ def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame, tested: D
             # sets whose sketches differ in size may still be at the threshold: the longer one is folded
             size = min(map(len, own))
             rows = np.vstack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), 0) for s in own])
-            out.update(_forest(sub["cls"], sub["comp"], sub["n"], rows, half_at, known))
+            out.update(_pairs(sub["cls"], sub["comp"], sub["n"], rows, half_at, known if every else None))
         a, b = zip(*sorted(out), strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return spread.groupBy("bucket").cogroup(pairs.groupBy("at")).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def overlaps(pairs: DataFrame, facts: DataFrame, buckets: int) -> DataFrame:
+def overlaps(pairs: DataFrame, facts: DataFrame, own: DataFrame, buckets: int) -> DataFrame:
     """(a, b, overlap, n_a, n_b): shared shingles, counted in each coarse fragment and summed per pair.
 
     A class with many partners is sent to several buckets, so that its partners spread."""
-    salted = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(buckets)).cast("int"))
-    left = salted.select("bucket", F.col("a").alias("cls")).distinct().join(facts.select("cls", "own"), "cls").select("bucket", F.col("cls").alias("a"), "own")
-    right = salted.join(facts.select(F.col("cls").alias("b"), "own"), "b").select("bucket", "a", "b", "own")
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("salts"))
+    salted = pairs.join(many, "a").withColumn("bucket", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "salts")), F.lit(buckets)).cast("int"))
+    left = salted.select("bucket", "a").distinct().join(own.select(F.col("cls").alias("a"), "own"), "a")
+    right = salted.select("bucket", "a", "b").join(own.select(F.col("cls").alias("b"), "own"), "b")
 
     def fragments(side: DataFrame, ids: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +311,8 @@ def overlaps(pairs: DataFrame, facts: DataFrame, buckets: int) -> DataFrame:
             for batch in batches:
                 rows = []
                 for *row, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", *ids, "own")), strict=True):
-                    for f, part in enumerate(np.split(x := np.frombuffer(own, np.uint64), np.searchsorted(x, edges))):
-                        rows.append((*row, f, part.tobytes()))
+                    for f, part in enumerate(np.split(x := _unpack(own), np.searchsorted(x, edges))):
+                        rows.append((*row, f, _pack(part)))
                 if rows:
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "own" else pa.int32() if c in ("bucket", "fragment") else pa.int64()) for c, v in zip(("bucket", *ids, "fragment", "own"), zip(*rows, strict=True), strict=True)})
 
@@ -306,14 +321,20 @@ def overlaps(pairs: DataFrame, facts: DataFrame, buckets: int) -> DataFrame:
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
         if not one.num_rows or not two.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "part": pa.array([], pa.int64())})
-        names, own = one.column("a").to_numpy(), one.column("own").to_pylist()
-        here = np.sort(np.concatenate([np.frombuffer(s, np.uint64) ^ mix(names[k : k + 1].view(np.uint64)) for k, s in enumerate(own)]))
-        a, b, part = two.column("a").to_numpy(), two.column("b").to_numpy(), np.zeros(two.num_rows, np.int64)
-        for k, s in enumerate(two.column("own").to_pylist()):
-            asked = np.frombuffer(s, np.uint64) ^ mix(a[k : k + 1].view(np.uint64))
-            if len(here):
-                part[k] = (here[np.minimum(np.searchsorted(here, asked), len(here) - 1)] == asked).sum()
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "part": pa.array(part)})
+        own = dict(zip(one.column("a").to_pylist(), one.column("own").to_pylist(), strict=True))
+        asked = dict(zip(zip(two.column("a").to_pylist(), two.column("b").to_pylist(), strict=True), two.column("own").to_pylist(), strict=True))
+        by: dict[int, list[int]] = {}
+        for x, y in asked:
+            by.setdefault(x, []).append(y)
+        rows = []
+        for x, partners in by.items():
+            mine = _unpack(own[x])
+            for y in partners:
+                theirs = _unpack(asked[x, y])
+                part = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum()) if len(mine) else 0
+                rows.append((x, y, part))
+        a, b, part = zip(*rows, strict=True)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "part": pa.array(part, pa.int64())})
 
     keys = ["bucket", "fragment"]
     parts = fragments(left, ["a"]).groupBy(*keys).cogroup(fragments(right, ["a", "b"]).groupBy(*keys)).applyInArrow(run, "a bigint, b bigint, part bigint")
@@ -345,24 +366,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     total = about.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-total * 6 // 10 // BUCKET_ROWS))
     grouped = cut(groups(docs, text, buckets))
-    nodes = grouped.select("cls").distinct()
-    members = about.join(nodes, "cls").groupBy("cls").agg(F.min("id").alias("id")).filter("id IS NOT NULL")
-    members = cut(members)
-    facts = cut(sets(docs, members, key, text))
-    comps = members.select("cls", F.col("cls").alias("comp"))
+    facts = about.join(grouped.select("cls").distinct(), "cls").filter("id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    facts = cut(facts)
+    comps = facts.select("cls", F.col("cls").alias("comp"))
     edges = tested = None
-    small = buckets
-    while True:
-        none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-        found = cut(candidates(grouped, facts, comps, none if tested is None else tested, small))
-        if found.isEmpty():
+    for _ in range(2):
+        pairs = cut(candidates(grouped, facts, comps, tested, buckets))
+        if pairs.isEmpty():
             break
-        counted = cut(overlaps(found, facts, small).select("a", "b", (F.col("overlap") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked")))
-        good = counted.filter("linked").select("a", "b")
+        wanted = facts.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("id")
+        own = cut(sets(docs, wanted, key, text))
+        tested = cut(overlaps(pairs, facts, own, buckets).select("a", "b", (F.col("overlap") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked")))
+        good = tested.filter("linked").select("a", "b")
         edges = good if edges is None else edges.unionByName(good)
-        bad = counted.filter("NOT linked").select("a", "b")
-        tested = bad if tested is None else tested.unionByName(bad)
-        comps = components(members.select("cls"), edges)
+        tested = tested.filter("NOT linked").select("a", "b")
+        comps = components(facts.select("cls"), edges)
     named = about.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"))
     return named.join(least, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
