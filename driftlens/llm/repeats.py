@@ -34,7 +34,7 @@ from driftlens.llm.hashing import _BASE, _BASE_INV, U, _powers, mix, pieces, raw
 LENGTH, GRAM, SIDE = 100, 32, 34
 REACH = LENGTH - GRAM  # an anchor stands at most so far from the start of a string
 #: Text bytes for each bucket of anchors, and of documents, about.
-ANCHOR_BYTES, TEXT_BYTES = 40 << 20, 16 << 20
+ANCHOR_BYTES, TEXT_BYTES = 32 << 20, 12 << 20
 #: Groups of more members are resolved by hashes of their strings, in one sort.
 SCANNED = 48
 _VALUE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
@@ -119,7 +119,7 @@ def equal_segments(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(batch, "text", 3 << 20):
                 found = segments(*raw(part.column("text")))
                 ids = part.column("id").to_numpy()
                 bucket = ((found["anchor"] >> U(11)) % U(buckets)).astype(np.int64)
@@ -166,6 +166,14 @@ def equal_segments(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(gather, RANGES)
 
 
+def _hash_rows(view: np.ndarray, rows: np.ndarray, start: int, size: int) -> np.ndarray:
+    """Hash of `size` bytes from `start` on of some rows."""
+    out, powers = np.zeros(len(rows), np.uint64), _powers(size, _BASE)
+    for j in range(size):
+        out += _VALUE[view[rows, start + j]] * powers[j]
+    return out
+
+
 def fetch(docs: DataFrame, asked: DataFrame, homes: int, buckets: int) -> DataFrame:
     """The bytes of the segments asked for, by the longer gram that their strings share.
 
@@ -190,14 +198,10 @@ def fetch(docs: DataFrame, asked: DataFrame, homes: int, buckets: int) -> DataFr
             padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
             lead, count = anchor - start, stop - start - LENGTH + 1
             view = np.lib.stride_tricks.sliding_window_view(padded, REACH + LENGTH)
-            text = Text(data)
             where = base + anchor
-            gram = text.part(where, where + GRAM)
             for side, ok in (("R", lead - count + 1 < SIDE), ("L", lead >= SIDE)):
                 w = where[ok]
-                end = np.minimum(w + GRAM + SIDE, len(data))
-                more = text.part(w, end) if side == "R" else text.part(w - SIDE, w + GRAM)
-                key = mix(mix(gram[ok]) + more + U(side == "R"))
+                key = mix(_hash_rows(view, w, REACH if side == "R" else REACH - SIDE, GRAM + SIDE) + U(side == "R"))
                 low = lead[ok] - count[ok] + 1
                 low, high = (low, np.minimum(lead[ok], SIDE - 1)) if side == "R" else (np.maximum(low, SIDE), lead[ok])
                 bucket = ((key >> U(13)) % U(buckets)).astype(np.int64)
@@ -294,10 +298,7 @@ def compare(blocks: DataFrame, homes: int) -> DataFrame:
                 here = at[(low[at] <= distance) & (distance <= high[at])]
                 if len(here) < 2:
                     continue
-                powers = _powers(LENGTH, _BASE)
-                found = np.zeros(len(here), np.uint64)
-                for j in range(LENGTH):
-                    found += _VALUE[data[here, REACH - distance + j]] * powers[j]
+                found = _hash_rows(data, here, REACH - distance, LENGTH)
                 by = np.lexsort((here, found, key[here]))
                 again = by[1:][(found[by][1:] == found[by][:-1]) & (key[here][by][1:] == key[here][by][:-1])]
                 out.append((here[again], np.full(len(again), distance), np.full(len(again), distance)))
