@@ -87,6 +87,16 @@ def signatures(own: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def least_shared(own: np.ndarray) -> int:
+    """Fragments that a set has in common with any partner, at least."""
+    n = len(own)
+    top = n.bit_length() - 1
+    classes = [top, top + 1] if n * 100 >= PERCENT * (1 << (top + 1)) else [top]
+    if n < SMALL or n * PERCENT < SMALL * 100:
+        return 1
+    return max(1, min(int((np.bincount(((own >> U(13)) % U((1 << (k + 1)) // 3)).astype(np.int64)) > 0).sum()) for k in classes) - most_apart(n))
+
+
 def sketch(own: np.ndarray, bits: int) -> np.ndarray:
     """Parity of the shingles that fall on each bit."""
     at = (mix(own) >> U(9)) % U(bits)
@@ -99,7 +109,7 @@ def sketch_bits(n: int) -> int:
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, cls, sketch) of every row."""
+    """(id, n, cls, sketch, need) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,13 +118,13 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 cls = np.array([_class(flat[a:b]) if b > a else U(0) for a, b in zip(ends, ends[1:], strict=False)], np.uint64)
                 drawn = [sketch(flat[a:b], sketch_bits(b - a)).tobytes() if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(sizes), "cls": pa.array(_signed(cls), mask=sizes == 0), "sketch": pa.array(drawn, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(sizes), "cls": pa.array(_signed(cls), mask=sizes == 0), "sketch": pa.array(drawn, pa.binary()), "need": pa.array([least_shared(flat[a:b]) if b > a else 0 for a, b in zip(ends, ends[1:], strict=False)], pa.int64())})
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, sketch binary, need bigint")
 
 
 def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(gid, cls): the distinct groups of two classes or more that share a fine fragment."""
+    """(gid, cls, size, times): the distinct groups of two classes or more that share a fine fragment, and how many they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -161,19 +171,19 @@ def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
         sig, owner = sig[new], owner[new]
         if not len(sig):
-            return pa.table({"gid": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "size": pa.array([], pa.int64())})
+            return pa.table({"gid": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.concatenate([first, [len(sig)]]))
         gid = mix(np.add.reduceat(mix(owner + U(3)), first) + size.astype(np.uint64))
-        _, keep = np.unique(gid, return_index=True)
+        _, keep, which, often = np.unique(gid, return_index=True, return_inverse=True, return_counts=True)
         take = np.zeros(len(first), bool)
         take[keep] = True
         take &= size > 1
         rows = np.repeat(take, size)
-        return pa.table({"gid": pa.array(_signed(np.repeat(gid, size)[rows])), "cls": pa.array(_signed(owner[rows])), "size": pa.array(np.repeat(size, size)[rows], pa.int64())})
+        return pa.table({"gid": pa.array(_signed(np.repeat(gid, size)[rows])), "cls": pa.array(_signed(owner[rows])), "size": pa.array(np.repeat(size, size)[rows], pa.int64()), "times": pa.array(np.repeat(often[which], size)[rows], pa.int64())})
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, sigs binary, owners binary")
-    return found.groupBy("bucket").applyInArrow(gather, "gid bigint, cls bigint, size bigint").groupBy("gid", "cls").agg(F.max("size").alias("size"))
+    return found.groupBy("bucket").applyInArrow(gather, "gid bigint, cls bigint, size bigint, times bigint").groupBy("gid", "cls").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -223,6 +233,8 @@ def _pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray, h
     forest, nearest first, else all but the tested ones.
 
     half: where a second tile begins, whose members are compared with the first tile's only."""
+    if half is not None and not 0 < half < len(cls):
+        return
     left, right = (np.arange(len(cls)), np.arange(len(cls))) if half is None else (np.arange(half), np.arange(half, len(cls)))
     a, b, far = [], [], []
     for start in range(0, len(left), 128):
@@ -366,7 +378,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     total = about.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-total * 6 // 10 // BUCKET_ROWS))
     grouped = cut(groups(docs, text, buckets))
-    facts = about.join(grouped.select("cls").distinct(), "cls").filter("id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    # a class that shares fewer fragments with all others together than with any one partner has none
+    shared = grouped.groupBy("cls").agg(F.sum("times").alias("shared"))
+    facts = about.join(shared, "cls").filter("id IS NOT NULL AND shared >= need").groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     facts = cut(facts)
     comps = facts.select("cls", F.col("cls").alias("comp"))
     edges = tested = None
