@@ -1,0 +1 @@
+"""Reserved: the inputs are finished tables read by Spark itself."""
