@@ -19,10 +19,13 @@ def finite(column: str) -> Column:
 def regression(df: DataFrame, by: list[str], observed: str = "observed", predicted: str = "predicted") -> DataFrame:
     """n, spearman (0 for a constant side), rmse, mae, r2."""
     rows = df.filter(finite(observed) & finite(predicted)).withColumn("_o", average_rank(observed, by)).withColumn("_p", average_rank(predicted, by)).withColumn("_m", F.avg(observed).over(Window.partitionBy(*by)))
+    own = Window.partitionBy(*by)
+    flat = (F.max(observed).over(own) - F.min(observed).over(own) < 1e-12) | (F.max(predicted).over(own) - F.min(predicted).over(own) < 1e-12)
+    # a constant side has no variance to divide by: its ranks stay out of the correlation
+    rows = rows.withColumn("_f", flat).withColumns({"_o": F.when(~F.col("_f"), F.col("_o")), "_p": F.when(~F.col("_f"), F.col("_p"))})
     gap = F.col(observed) - F.col(predicted)
-    flat = (F.max(observed) - F.min(observed) < 1e-12) | (F.max(predicted) - F.min(predicted) < 1e-12)
     total = F.sum(F.pow(F.col(observed) - F.col("_m"), 2))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(flat, 0.0).otherwise(F.corr("_o", "_p")).alias("spearman"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.when(total > 0, 1 - F.sum(gap * gap) / total).alias("r2"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.bool_or("_f"), 0.0).otherwise(F.corr("_o", "_p")).alias("spearman"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.when(total > 0, 1 - F.sum(gap * gap) / total).alias("r2"))
 
 
 def top_selection(df: DataFrame, by: list[str], item: str, fraction: float = 0.1, observed: str = "observed", predicted: str = "predicted") -> DataFrame:
