@@ -42,7 +42,7 @@ def x_parse_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m_regression(spark: SparkSession, d: str) -> DataFrame:
-    return _round(metrics.regression(scores(spark, d), TASK), "spearman", "r2").withColumns({"rmse": F.round("rmse", 2), "mae": F.round("mae", 2)})
+    return _round(metrics.regression(scores(spark, d), TASK), "spearman", "r2").withColumns({"rmse": F.round("rmse", 4), "mae": F.round("mae", 4)})
 
 
 def m_top_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
 SELECT assay_id, code, ref, position::INTEGER AS pos, alt, substr(q, position::INTEGER, 1) = ref AS agrees,
   sha256(substr(q, 1, position::INTEGER - 1) || alt || substr(q, position::INTEGER + 1)) AS digest FROM items, s""",
     "m_regression": f"""WITH {_SCORES}, {_ranked("scores", _TASK_SQL)}, m AS (SELECT *, avg(observed) OVER (PARTITION BY {_TASK_SQL}) AS mu FROM ranked)
-SELECT {_TASK_SQL}, count(*) AS n, round({_FLAT}, 9) AS spearman, round(sqrt(avg(pow(observed - predicted, 2))), 2) AS rmse, round(avg(abs(observed - predicted)), 2) AS mae,
+SELECT {_TASK_SQL}, count(*) AS n, round({_FLAT}, 9) AS spearman, round(sqrt(avg(pow(observed - predicted, 2))), 4) AS rmse, round(avg(abs(observed - predicted)), 4) AS mae,
   round(1 - sum(pow(observed - predicted, 2)) / sum(pow(observed - mu, 2)), 9) AS r2 FROM m GROUP BY ALL""",
     "m_top_selection": f"""WITH {_SCORES}, k AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY {_TASK_SQL}) * 0.1::DOUBLE)) AS kk,
   row_number() OVER (PARTITION BY {_TASK_SQL} ORDER BY predicted DESC, code) AS a, row_number() OVER (PARTITION BY {_TASK_SQL} ORDER BY observed DESC, code) AS b FROM scores)
