@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.llm.common import cut
+
 #: Records of a file and children of a node, about and at most.
 RECORDS, FANOUT = 512, 8
 
@@ -43,23 +45,24 @@ def write_records(pages: DataFrame, files: int, key: str = "page_id", url: str =
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """Level 0: one node a record, whose hash covers its offset range and its digest."""
-    return records.select("file", F.lit(0).alias("level"), F.col("place").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), F.sha2(F.concat_ws("|", "offset", "length", "digest"), 256).alias("hash"), "record_id", "digest")
+    """One node a record, whose hash covers its offset range and its digest."""
+    return records.select("file", F.col("place").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), F.sha2(F.concat_ws("|", "offset", "length", "digest"), 256).alias("hash"), "record_id", "digest")
+
 
+def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """Nodes(file, node, start, stop, hash) of each level, leaves first; level `levels` is the root of a file.
 
-def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
-    """All nodes(file, level, node, start, stop, hash) from the leaves up; level `levels` is the root of a file."""
-    under = leaves(records).drop("record_id", "digest")
-    out = under
+    Each level is written before the next is made from it, so that no plan holds more than one level."""
+    made = [leaves(records).select("file", "node", "start", "stop", "hash")]
     for level in range(1, levels + 1):
         node = F.floor(F.col("node") / fanout) if level < levels else F.lit(0).cast("long")
-        under = (
-            under.groupBy("file", node.alias("node"))
+        above = (
+            made[-1].groupBy("file", node.alias("node"))
             .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("below"))
-            .select("file", F.lit(level).alias("level"), "node", "start", "stop", F.sha2(F.concat_ws("|", F.transform("below", lambda x: x["hash"])), 256).alias("hash"))
+            .select("file", "node", "start", "stop", F.sha2(F.concat_ws("|", F.transform("below", lambda x: x["hash"])), 256).alias("hash"))
         )
-        out = out.unionByName(under)
-    return out
+        made.append(cut(above))
+    return made
 
 
 def depth(most: int, fanout: int = FANOUT) -> int:
@@ -77,17 +80,16 @@ def audit(first: DataFrame, second: DataFrame, fanout: int = FANOUT) -> DataFram
     corrupt (another digest at the place), moved (same digest, another offset), missing, extra."""
     most = max(x["n"] or 0 for x in (first.agg((F.max("place") + 1).alias("n")).first(), second.agg((F.max("place") + 1).alias("n")).first()))
     levels = depth(max(1, most), fanout)
-    a, b = tree(first, levels, fanout), tree(second, levels, fanout)
-    bad = None
+    trees, bad = [tree(x, levels, fanout) for x in (first, second)], None
     for level in range(levels, -1, -1):
         parent = F.floor(F.col("node") / fanout) if level + 1 < levels else F.lit(0).cast("long")
         sides = []
-        for nodes, name in ((a, "a"), (b, "b")):
-            own = nodes.filter(F.col("level") == level).select("file", "node", F.col("hash").alias(f"hash_{name}"))
+        for nodes, name in zip(trees, "ab"):
+            own = nodes[level].select("file", "node", F.col("hash").alias(f"hash_{name}"))
             if bad is not None:
-                own = own.withColumn("parent", parent).join(bad.select("file", F.col("node").alias("parent")), ["file", "parent"], "left_semi").drop("parent")
+                own = own.withColumn("parent", parent).join(bad.withColumnRenamed("node", "parent"), ["file", "parent"], "left_semi").drop("parent")
             sides.append(own)
-        bad = sides[0].join(sides[1], ["file", "node"], "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("file", "node")
+        bad = cut(sides[0].join(sides[1], ["file", "node"], "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("file", "node"))
     places = bad.select("file", F.col("node").alias("place"))
     one = first.select("file", "place", *(F.col(c).alias(f"{c}_a") for c in ("offset", "length", "record_id", "digest")))
     two = second.select("file", "place", *(F.col(c).alias(f"{c}_b") for c in ("offset", "length", "record_id", "digest")))
