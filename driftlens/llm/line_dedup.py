@@ -7,8 +7,9 @@ stands twice on a page counts its page once.
 Null or empty texts have no lines and give an empty text; a null site is a site of its own; repeated
 rows are pages of their own; an empty table gives an empty result. Columns that this operator adds
 replace columns of the same name. The lines over the ratio on one site number at most the mean number
-of lines of a page divided by the ratio, which bounds the list that is joined back to the pages; the
-counts themselves are keyed by (site, line), so that a large site is spread over all tasks.
+of lines of a page divided by the ratio, which bounds the list that is joined back to the pages. Counts are
+keyed by (site, line) and pages meet their site's list by (site, salt), so that a large site is spread
+over all tasks; a site's list is repeated for the salts that its pages have, at most one a page.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm.common import parts
+
 RATIO, LEAST = 0.2, 5
 BLOCKS = "p|br|div|li|ul|ol|nav|article|footer|header|h1|h2|h3|h4|h5|h6|title|head|body|html|table|tr|td|th|section|blockquote|b|a|span"
 
@@ -52,7 +55,11 @@ def drop_site_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO
     totals = base.groupBy(*here).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= least)
     counts = base.select(*here, F.explode(F.array_distinct(F.transform("_lines", _mark))).alias("_mark")).groupBy(*here, "_mark").agg(F.count(F.lit(1)).alias("_with"))
     frequent = counts.filter("_with > 1").join(totals, here).filter(F.col("_with") > ratio * F.col("_pages")).groupBy(*here).agg(F.collect_set("_mark").alias("_frequent"))
-    joined = base.join(frequent, here, "left")
+    # the salt of a page follows from its values alone, so that a task run again deals it alike
+    salts = parts(pages.sparkSession)
+    base = base.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(c) for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind)), F.lit(salts)))
+    salted = base.groupBy(*here, "_salt").agg(F.count(F.lit(1)).alias("_in")).select(*here, "_salt").join(frequent, here)
+    joined = base.join(salted, [*here, "_salt"], "left")
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     kept = F.filter("_lines", lambda x: ~F.array_contains(F.coalesce("_frequent", none), _mark(x)))
     added = {into: F.array_join(kept, "\n"), "n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size(kept)).cast("long")}
