@@ -55,9 +55,9 @@ def drop_site_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO
     totals = base.groupBy(*here).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= least)
     counts = base.select(*here, F.explode(F.array_distinct(F.transform("_lines", _mark))).alias("_mark")).groupBy(*here, "_mark").agg(F.count(F.lit(1)).alias("_with"))
     frequent = counts.filter("_with > 1").join(totals, here).filter(F.col("_with") > ratio * F.col("_pages")).groupBy(*here).agg(F.collect_set("_mark").alias("_frequent"))
-    # the salt of a page follows from its values alone, so that a task run again deals it alike
+    # the salt of a page follows from its other columns alone: a task run again deals it alike, and counting salts reads no texts
     salts = parts(pages.sparkSession)
-    base = base.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(c) for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind)), F.lit(salts)))
+    base = base.withColumn("_salt", F.pmod(F.xxhash64(F.lit(0), *(F.col(c) for c, kind in pages.dtypes if c != text and "map<" not in kind and "variant" not in kind)), F.lit(salts)))
     salted = base.groupBy(*here, "_salt").agg(F.count(F.lit(1)).alias("_in")).select(*here, "_salt").join(frequent, here)
     joined = base.join(salted, [*here, "_salt"], "left")
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
