@@ -17,6 +17,8 @@ BYTE_VALUE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes in which words that are hashed together begin.
+STRETCH = 1 << 18
 _SHINGLE = _RANDOM.integers(1, 1 << 63, 16, dtype=np.uint64) | U(1)
 
 
@@ -79,9 +81,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:]))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * _powers(n, _BASE_INV), out=sums[1:])
-    found = (sums[ends + 1] - sums[starts]) * _powers(n, _BASE)[starts]
+    found = np.empty(len(starts), np.uint64)
+    # a stretch of whole words at a time, so that 64-bit values of all bytes are never held at once
+    cuts = np.searchsorted(starts, np.arange(0, n + STRETCH, STRETCH))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i == j:
+            continue
+        at, end = starts[i:j] - starts[i], ends[i:j] - starts[i] + 1
+        size = int(end[-1])
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[data[starts[i] : starts[i] + size]] * _powers(size, _BASE_INV), out=sums[1:])
+        found[i:j] = (sums[end] - sums[at]) * _powers(size, _BASE)[at]
     found = mix(found + (ends - starts + 1).astype(np.uint64) * U(0xD6E8FEB86659FD93))
     return found, np.diff(np.searchsorted(starts, offsets))
 
