@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The folder for written tables where the session names none, as in tests.
+_OWN_FOLDER: dict[int, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,6 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table written below the cluster's checkpoint folder.
+
+    Unlike a checkpoint, which keeps the size estimate of its plan, the table has its files' true size:
+    in a loop of joins such estimates multiply without end."""
+    spark = df.sparkSession
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there is None:
+        there = _OWN_FOLDER[0] if _OWN_FOLDER else _OWN_FOLDER.setdefault(0, tempfile.mkdtemp(prefix="driftlens-"))
+    path = f"{there.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id's text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

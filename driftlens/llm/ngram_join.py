@@ -13,9 +13,11 @@ candidates and once coarsely to count:
 
 Texts with equal sets are one class from the start. In a group of classes that share a fragment, parity
 sketches (whose difference never exceeds the sets' true difference) rule out pairs, and of the pairs
-left only a spanning forest, nearest first, is counted; a second round counts every pair that the
-sketches leave between classes that are still apart. So all links between components are tried, while
-the pairs of a large group of near copies are never listed.
+left only a spanning forest, nearest first, is counted. The first round looks at a few groups of each
+class, which joins most near copies; the second at all groups whose classes are still apart; the third
+counts every pair that the sketches leave between classes that are still apart. So all links between
+components are tried, while the pairs of a large group of near copies are never listed, and their
+sketches are not sent for each of the many groups that they share.
 
 Null and empty texts, and texts without words, have no shingles and stand alone; texts of fewer words
 than a shingle have their whole sequence as one; repeated ids count as one document by their smallest
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import cut, parts
+from driftlens.llm.common import parts, stored
 from driftlens.llm.hashing import U, mix, pieces, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
@@ -268,15 +270,26 @@ def _pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray, h
             yield min(x, y), max(x, y)
 
 
-def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame, tested: DataFrame | None, buckets: int) -> DataFrame:
-    """(a, b): pairs to be counted next. grouped(gid, cls, size), facts(cls, n, sketch), comps(cls, comp), tested(a, b)."""
+def common_groups(grouped: DataFrame) -> DataFrame:
+    """(gid, cls, size): three groups at most of each class: the largest, and the first and last by id.
+
+    Near copies share most of their groups, so that they mostly choose the same ones."""
+    chosen = F.array_distinct(F.array(F.max_by("gid", F.struct("size", "gid")), F.min("gid"), F.max("gid")))
+    picked = grouped.groupBy("cls").agg(chosen.alias("gids")).select("cls", F.explode("gids").alias("gid"))
+    return picked.join(picked.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "gid")
+
+
+def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame, tested: DataFrame | None, buckets: int, across: bool = True) -> DataFrame:
+    """(a, b): pairs to be counted next. grouped(gid, cls, size), facts(cls, n, sketch), comps(cls, comp), tested(a, b).
+
+    across: whether the tiles of a large group are compared with each other, or each by itself only."""
     every = tested is not None
     members = grouped.join(comps, "cls")
     apart = members.groupBy("gid").agg((F.min("comp") != F.max("comp")).alias("apart")).filter("apart").select("gid")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tile = F.when(tiles > 1, F.pmod(F.xxhash64("cls"), tiles).cast("int")).otherwise(F.lit(0))
+    tile = F.when(tiles > 1, F.pmod(F.xxhash64("cls", "gid"), tiles).cast("int")).otherwise(F.lit(0))
     spread = members.join(apart, "gid").withColumn("tiles", tiles).withColumn("tile", tile)
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if across else F.col("tile")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
     spread = spread.join(facts.select("cls", "n", "sketch"), "cls").withColumn("bucket", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(buckets)).cast("int")).select("bucket", "gid", "i", "j", "tile", "cls", "comp", "n", "sketch")
     if every:
         at = spread.select("cls", "bucket", "gid", "i", "j")
@@ -359,13 +372,13 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     """(cls, comp): the smallest class that each class reaches over edges(a, b).
 
     Labels fall to the least among neighbours, then jump to their label's label, until nothing moves."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(nodes.select("cls", F.col("cls").alias("comp")))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = stored(nodes.select("cls", F.col("cls").alias("comp")))
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["cls"]).groupBy(both["a"].alias("cls")).agg(F.min("comp").alias("near"))
         low = labels.join(near, "cls", "left").select("cls", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         up = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("up"))
-        moved = cut(low.join(up, "comp", "left").select("cls", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
+        moved = stored(low.join(up, "comp", "left").select("cls", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
         labels = moved.select("cls", "comp")
         if moved.filter("comp <> old").isEmpty():
             break
@@ -374,26 +387,33 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): the set size of each document and the smallest key its links reach."""
-    about = cut(describe(docs, key, text))
+    about = stored(describe(docs, key, text))
     total = about.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-total * 6 // 10 // BUCKET_ROWS))
-    grouped = cut(groups(docs, text, buckets))
+    grouped = stored(groups(docs, text, buckets))
     # a class that shares fewer fragments with all others together than with any one partner has none
     shared = grouped.groupBy("cls").agg(F.sum("times").alias("shared"))
     facts = about.join(shared, "cls").filter("id IS NOT NULL AND shared >= need").groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    facts = cut(facts)
+    facts = stored(facts)
     comps = facts.select("cls", F.col("cls").alias("comp"))
-    edges = tested = None
-    for _ in range(2):
-        pairs = cut(candidates(grouped, facts, comps, tested, buckets))
+    edges = failed = None
+    for step in ("common", "nearest", "every"):
+        if step == "common":
+            pairs = candidates(common_groups(grouped.join(facts.select("cls"), "cls")), facts, comps, None, buckets, across=False)
+        else:
+            pairs = candidates(grouped, facts, comps, failed if step == "every" else None, buckets)
+        pairs = stored(pairs)
         if pairs.isEmpty():
+            if step == "common":
+                continue
             break
         wanted = facts.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("id")
-        own = cut(sets(docs, wanted, key, text))
-        tested = cut(overlaps(pairs, facts, own, buckets).select("a", "b", (F.col("overlap") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked")))
+        own = stored(sets(docs, wanted, key, text))
+        tested = stored(overlaps(pairs, facts, own, buckets).select("a", "b", (F.col("overlap") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked")))
         good = tested.filter("linked").select("a", "b")
         edges = good if edges is None else edges.unionByName(good)
-        tested = tested.filter("NOT linked").select("a", "b")
+        bad = tested.filter("NOT linked").select("a", "b")
+        failed = bad if failed is None else failed.unionByName(bad)
         comps = components(facts.select("cls"), edges)
     named = about.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"))
