@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import parts, stored
 from driftlens.llm.hashing import U, mix, pieces, shingle_sets
+from driftlens.operators import graph
 
 SHINGLE, PERCENT = 5, 80
 #: Sets below this size use single shingles as fragments.
@@ -369,20 +370,8 @@ def overlaps(pairs: DataFrame, facts: DataFrame, own: DataFrame, buckets: int) -
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(cls, comp): the smallest class that each class reaches over edges(a, b).
-
-    Labels fall to the least among neighbours, then jump to their label's label, until nothing moves."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stored(nodes.select("cls", F.col("cls").alias("comp")))
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["cls"]).groupBy(both["a"].alias("cls")).agg(F.min("comp").alias("near"))
-        low = labels.join(near, "cls", "left").select("cls", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        up = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("up"))
-        moved = stored(low.join(up, "comp", "left").select("cls", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        labels = moved.select("cls", "comp")
-        if moved.filter("comp <> old").isEmpty():
-            break
-    return labels
+    """(cls, comp): the smallest class that each class reaches over edges(a, b)."""
+    return stored(graph.components(nodes, edges, "cls", rounds).withColumnRenamed("component", "comp"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

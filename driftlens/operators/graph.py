@@ -5,22 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm.common import stored
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """edges(u, v) with `least`: the smallest of u and all its v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    return edges.join(least, "u")
+
+
+def _stars(down: DataFrame) -> DataFrame:
+    """down(u, v), v < u: every node's larger neighbours hung on its least neighbour, then its smaller ones."""
+    both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    small = _least(large).select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e"))
+    return small.select("e.u", "e.v").filter("u <> v").distinct()
+
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", rounds: int = 50) -> DataFrame:
-    """(node, component): the least node reachable over edges(a, b). Labels fall, then jump, until stable."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftlens-"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select(F.col(node).alias("v"), F.col(node).alias("label")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["v"]).groupBy(both["a"].alias("v")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        moved = low.join(up, "label", "left").select("v", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
-        labels = moved.select("v", "label")
-        if moved.filter("label <> old").isEmpty():
+    """(node, component): the least node reachable over edges(a, b), edges between nodes only.
+
+    Alternating large and small stars: edges are hung anew until each node but the least of its component
+    has one edge, to the least. Rounds grow with the logarithm of a chain's length; an error is raised
+    where `rounds` do not suffice."""
+    known = nodes.select(F.col(node)).distinct()
+    for end in ("a", "b"):
+        edges = edges.join(known.select(F.col(node).alias(end)), end, "left_semi")
+    down = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    for done in range(rounds + 1):
+        # a star forest has one edge a child, and no child with children
+        ends = down.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(down.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg((F.sum("up") + F.max("down")).alias("ways"), F.max("up").alias("child")).filter("child = 1 AND ways > 1").isEmpty():
             break
-    return labels.select(F.col("v").alias(node), F.col("label").alias("component"))
+        if done == rounds:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
+        down = stored(_stars(down))
+    return nodes.select(node).join(down.select(F.col("u").alias(node), "v"), node, "left").select(node, F.coalesce("v", node).alias("component"))

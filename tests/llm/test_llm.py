@@ -237,6 +237,13 @@ def test_ngram_join_tiles(spark, monkeypatch, docs):
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: c for i, (_, c) in brute_components(own).items()}
 
 
+def test_ngram_join_components_of_a_long_chain(spark):
+    order = [int(x) for x in np.random.default_rng(4).permutation(500)]
+    nodes = spark.createDataFrame([(i,) for i in order], "cls long")
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {(r["cls"], r["comp"]) for r in ngram_join.components(nodes, edges).collect()} == {(i, 0) for i in order}
+
+
 def brute_repeats(docs):
     seen, out = {}, {}
     for i, t in sorted(docs, key=lambda x: (x[0] is not None, x[0])):

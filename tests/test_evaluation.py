@@ -1,5 +1,7 @@
 """Evaluation operators on small hand-made frames with known values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,18 @@ def test_components_and_holm(spark):
     assert {r["name"]: round(r["adjusted"], 6) for r in summaries.holm(p, ["g"], "name", "p").collect()} == {"a": 0.03, "b": 0.06, "c": 0.06}
 
 
+def test_components_settle_on_long_chains(spark):
+    order = list(range(500))
+    random.Random(3).shuffle(order)
+    chain = [*zip(order, order[1:]), (0, 0), (order[0], 7000)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(500), 900, 901]], "node int")
+    edges = spark.createDataFrame([*chain, (901, 900)], "a int, b int")
+    got = {r["node"]: r["component"] for r in graph.components(nodes, edges).collect()}
+    assert got == dict.fromkeys(order, 0) | {900: 900, 901: 900}
+    with pytest.raises(RuntimeError):
+        graph.components(nodes, edges, rounds=1)
+
+
 def test_entry_lists_sql_only_for_queries():
     import __spark_entry__
 
