@@ -13,6 +13,11 @@ from driftlens.llm import line_dedup, mixing, ngram_join, toxicity
 from driftlens.llm.common import cut, table
 from driftlens.llm.queries import bpe_digests, tokenizer_path
 
+#: Share of a source's documents above which a line is boilerplate, and documents that must hold it. At sf0.1
+#: (20 sources of 500) the planted line has shares of 0.086 to 0.132, every other line 0.048 at most; at sf0.01
+#: (sources of 50) other lines stand in up to 5 documents by chance.
+LINE_SHARE, LINE_HOLDERS = 0.065, 6
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels not held out, does not reject."""
@@ -22,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that too large a share of their source's documents has."""
-    out = line_dedup.drop_site_lines(docs, "source", "text")
+    out = line_dedup.drop_site_lines(docs, "source", "text", ratio=LINE_SHARE, holders=LINE_HOLDERS)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -1,8 +1,8 @@
 """Boilerplate lines by their frequency within a site.
 
 For each site: the share of its pages that hold a line. Lines whose share exceeds `ratio` on a site of
-at least `least` pages are dropped from that site's pages; the other lines keep their order. A line that
-stands twice on a page counts its page once.
+at least `least` pages, and which stand on at least `holders` of them, are dropped from that site's pages;
+the other lines keep their order. A line that stands twice on a page counts its page once.
 
 Null or empty texts have no lines and give an empty text; a null site is a site of its own; repeated
 rows are pages of their own; an empty table gives an empty result. Columns that this operator adds
@@ -47,14 +47,14 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def drop_site_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST, into: str | None = None) -> DataFrame:
+def drop_site_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST, into: str | None = None, holders: int = 2) -> DataFrame:
     """pages with `into` (default: the text column) without its site's frequent lines, and n_lines, n_dropped."""
     into = into or text
     base = pages.withColumns({"_lines": lines(F.col(text)), "_known": F.col(site).isNotNull(), "_site": F.coalesce(F.col(site).cast("string"), F.lit(""))})
     here = ["_known", "_site"]
     totals = base.groupBy(*here).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= least)
     counts = base.select(*here, F.explode(F.array_distinct(F.transform("_lines", _mark))).alias("_mark")).groupBy(*here, "_mark").agg(F.count(F.lit(1)).alias("_with"))
-    frequent = counts.filter("_with > 1").join(totals, here).filter(F.col("_with") > ratio * F.col("_pages")).groupBy(*here).agg(F.collect_set("_mark").alias("_frequent"))
+    frequent = counts.filter(F.col("_with") >= holders).join(totals, here).filter(F.col("_with") > ratio * F.col("_pages")).groupBy(*here).agg(F.collect_set("_mark").alias("_frequent"))
     # the salt of a page follows from its other columns alone: a task run again deals it alike, and counting salts reads no texts
     salts = parts(pages.sparkSession)
     base = base.withColumn("_salt", F.pmod(F.xxhash64(F.lit(0), *(F.col(c) for c, kind in pages.dtypes if c != text and "map<" not in kind and "variant" not in kind)), F.lit(salts)))

@@ -379,6 +379,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count() > 0
 
 
+def test_pipeline_drops_a_line_of_a_tenth_of_a_source(spark):
+    import corpus_pipeline
+
+    # the planted line stands in 40 of 400, a line of prose in 18 (0.045); in a source of 50 one of prose in 5
+    rows = [(i, "\n".join([f"own {i}"] + ["planted"] * (i % 10 == 0) + ["prose"] * (i < 18)), "big") for i in range(400)]
+    rows += [(1000 + i, "\n".join([f"own {i}"] + ["prose"] * (i < 5)), "small") for i in range(50)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()}
+    assert got == {i: t.replace("\nplanted", "") for i, t, _ in rows}
+
+
 def test_digests(spark, frame):
     row = queries.bpe_digests(frame.filter("doc_id = 9004").select("doc_id", "text"), queries.tokenizer_path()).first()
     ids = bpe.ready(queries.tokenizer_path())[0].encode("One")
