@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import codes
 from driftlens.operators import graph, metrics, splits, summaries
+from driftlens.plans import studies
 
 
 def test_codes(spark):
@@ -60,6 +61,25 @@ def test_components_settle_on_long_chains(spark):
         graph.components(nodes, edges, rounds=1)
 
 
+def test_components_over_all_events(spark, tmp_path):
+    r = random.Random(8)
+    events = [(i, r.choice([None, *range(0, 4000, 97)])) for i in range(400)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, u in events:
+        if u is not None:
+            x, y = sorted((find(u), find(u * 31 + i)))
+            root[y] = x
+    got = {r["node"]: r["component"] for r in studies.QUERIES["g_components_all"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in list(root)}
+
+
 def test_entry_lists_sql_only_for_queries():
     import __spark_entry__
 
