@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import stored
+from driftlens.operators.storage import discard, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", rounds: i
             break
         if done == rounds:
             raise RuntimeError(f"components have not settled after {rounds} rounds")
-        down = stored(_stars(down))
+        last, down = down, stored(_stars(down))
+        discard(last)
     return nodes.select(node).join(down.select(F.col("u").alias(node), "v"), node, "left").select(node, F.coalesce("v", node).alias("component"))
