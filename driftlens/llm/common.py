@@ -2,47 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.operators.storage import cut, discard, stored  # noqa: F401
+
 #: One word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: The folder for written tables where the session names none, as in tests.
-_OWN_FOLDER: dict[int, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's checkpoint folder, its lineage cut."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        there = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(there or tempfile.mkdtemp(prefix="driftlens-"))
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` as a table written below the cluster's checkpoint folder.
-
-    Unlike a checkpoint, which keeps the size estimate of its plan, the table has its files' true size:
-    in a loop of joins such estimates multiply without end."""
-    spark = df.sparkSession
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there is None:
-        there = _OWN_FOLDER[0] if _OWN_FOLDER else _OWN_FOLDER.setdefault(0, tempfile.mkdtemp(prefix="driftlens-"))
-    path = f"{there.rstrip('/')}/tables-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id's text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -56,3 +31,13 @@ def words(text: Column) -> Column:
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the least number of buckets that keeps all cores busy."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow; at its end the worker, which Spark uses again, gives back the memory that Arrow holds unused."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
