@@ -11,18 +11,20 @@ candidates and once coarsely to count:
 - Counts. The overlap of a candidate pair is counted in each coarse fragment by itself and summed per
   pair; the exact comparison 100 * overlap >= 80 * union follows.
 
-Texts with equal sets are one class from the start. In a group of classes that share a fragment, parity
-sketches (whose difference never exceeds the sets' true difference) rule out pairs, and of the pairs
-left only a spanning forest, nearest first, is counted. The first round looks at a few groups of each
-class, which joins most near copies; the second at all groups whose classes are still apart; the third
-counts every pair that the sketches leave between classes that are still apart. So all links between
-components are tried, while the pairs of a large group of near copies are never listed, and their
-sketches are not sent for each of the many groups that they share.
+Texts with equal sets are one class from the start. A partner shares at least `need` fragments with a
+class, so that of a class's groups (classes that share a fragment), taken from the smallest up, the last
+`need` less one are not looked at: those of common passages. A class that is left with no group has no
+partner. In a group, parity sketches (whose difference never exceeds the sets' true difference) rule out
+pairs, and of the pairs left only a spanning forest, nearest first, is counted. The first round looks at a
+few groups of each class, in tiles, which joins most near copies; the second at all groups whose classes
+are still apart; the third counts every pair that the sketches leave between classes that are still apart.
+In a group, classes of its commonest component are compared with the others only. So all links between
+components are tried, while the pairs of a large group of near copies are never listed.
 
 Null and empty texts, and texts without words, have no shingles and stand alone; texts of fewer words
 than a shingle have their whole sequence as one; repeated ids count as one document by their smallest
-place in the order; an empty table gives an empty result; other columns are dropped. Classes are named
-by 64-bit sums of hashed shingles.
+place in the order; rows without an id link with nothing; an empty table gives an empty result; other
+columns are dropped. Classes are named by 64-bit sums of hashed shingles, and overlaps count 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import parts, stored
+from driftlens.llm.common import discard, parts, stored, tidy
 from driftlens.llm.hashing import U, mix, pieces, shingle_sets
 from driftlens.operators import graph
 
@@ -46,9 +48,11 @@ FRAGMENTS = 4
 #: Members of a group that are compared at once.
 TILE = 1024
 #: Rows of the fine fragments for each bucket, about.
-BUCKET_ROWS = 1_500_000
-#: Bits of the filter of classes whose sets are needed (fixed, so that it can be sent to all tasks).
-FILTER_BITS = 1 << 22
+BUCKET_ROWS = 500_000
+#: Pairs whose sets meet in one bucket, about.
+BUCKET_PAIRS = 1_000
+#: Bits a wanted id takes in the filter of ids, and the ids up to which a filter is sent to all tasks (16 MB).
+FILTER_BITS, FILTERED = 16, 1 << 23
 
 
 def _class(own: np.ndarray) -> np.uint64:
@@ -61,7 +65,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def most_apart(n: int) -> int:
     """Largest symmetric difference of a set of n and any partner at the threshold."""
-    return n * (100 + 10000 // PERCENT) // 900 if PERCENT == 80 else n
+    return n * (100 - PERCENT) // PERCENT
 
 
 def signatures(own: np.ndarray) -> np.ndarray:
@@ -107,28 +111,30 @@ def sketch(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Bits for a set of n: a power of four, about four to sixteen a shingle."""
-    return max(256, 1 << (2 * -(-(int(n).bit_length() + 2) // 2)))
+    """Bits for a set of n: a power of four, about one to four a shingle."""
+    return max(256, 1 << (2 * -(-int(n).bit_length() // 2)))
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, cls, sketch, need) of every row."""
+    """(id, n, cls, need) of every row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 flat, sizes = shingle_sets(part.column("text"), SHINGLE)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 cls = np.array([_class(flat[a:b]) if b > a else U(0) for a, b in zip(ends, ends[1:], strict=False)], np.uint64)
-                drawn = [sketch(flat[a:b], sketch_bits(b - a)).tobytes() if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(sizes), "cls": pa.array(_signed(cls), mask=sizes == 0), "sketch": pa.array(drawn, pa.binary()), "need": pa.array([least_shared(flat[a:b]) if b > a else 0 for a, b in zip(ends, ends[1:], strict=False)], pa.int64())})
+                need = [least_shared(flat[a:b]) if b > a else 0 for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(sizes), "cls": pa.array(_signed(cls), mask=sizes == 0), "need": pa.array(need, pa.int64())})
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, sketch binary, need bigint")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, need bigint")
 
 
 def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """(gid, cls, size, times): the distinct groups of two classes or more that share a fine fragment, and how many they share."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
@@ -189,73 +195,69 @@ def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(gather, "gid bigint, cls bigint, size bigint, times bigint").groupBy("gid", "cls").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ids(id): FILTER_BITS bits, made of at most FILTER_BITS / 64 words."""
-    spots = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(FILTER_BITS)) for i in range(3))))
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of ids(id) of so many bits."""
+    spots = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(bits)) for i in range(3))))
     words = ids.select(spots.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.collect():
-        out[r["word"]] = r["bits"]
+    out = np.zeros(bits // 64, np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
     return out
 
 
-def _pack(own: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, in order."""
-    return own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view(">u8").ravel().astype(np.uint64)
-
-
 def sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(cls, own): the sorted shingles of documents that a filter of fixed size lets pass, those of wanted(id) among them."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
-    spot = F.array(*(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(FILTER_BITS)) for i in range(3)))
+    """(cls, n, sketch, own): size, sketch and sorted shingles of the documents of wanted(id), and of some others.
+
+    Where the wanted ids are few enough, a filter of proven size is sent to all tasks; else ids are joined."""
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
+    count = wanted.count()
+    if count > FILTERED:
+        docs = docs.join(wanted, "id", "left_semi").select("text")
+        words, size = None, 0
+    else:
+        size = 64 << (count * FILTER_BITS // 64).bit_length()
+        words = docs.sparkSession.sparkContext.broadcast(_filter(wanted, size))
+        docs = docs.select("text", F.array(*(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(size)) for i in range(3))).alias("spots"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bits.value
         for batch in batches:
-            at = batch.column("spots").flatten().to_numpy().reshape(-1, 3)
-            hit = ((words[at >> 6] >> (at & 63)) & 1).all(1)
-            for part in pieces(batch.filter(pa.array(hit)).select(["text"]), "text"):
+            if words is not None:
+                at = batch.column("spots").flatten().to_numpy().reshape(-1, 3)
+                batch = batch.filter(pa.array(((words.value[at >> 6] >> (at & 63)) & 1).all(1)))
+            for part in pieces(batch.select(["text"]), "text"):
                 flat, sizes = shingle_sets(part.column("text"), SHINGLE)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                rows = {int(_signed(_class(flat[a:b]))): _pack(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False) if b > a}
+                rows = {int(_signed(_class(flat[a:b]))): flat[a:b] for a, b in zip(ends, ends[1:], strict=False) if b > a}
                 if rows:
-                    yield pa.RecordBatch.from_pydict({"cls": pa.array(list(rows), pa.int64()), "own": pa.array(list(rows.values()), pa.binary())})
+                    own = list(rows.values())
+                    yield pa.RecordBatch.from_pydict({"cls": pa.array(list(rows), pa.int64()), "n": pa.array(map(len, own), pa.int64()), "sketch": pa.array([sketch(x, sketch_bits(len(x))).tobytes() for x in own], pa.binary()), "own": pa.array([x.tobytes() for x in own], pa.binary())})
 
-    return docs.filter(F.col("id").isNotNull()).withColumn("spots", spot).mapInArrow(run, "cls bigint, own binary")
+    return docs.mapInArrow(run, "cls bigint, n bigint, sketch binary, own binary")
 
 
-def _pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray, half: int | None, tested: set[tuple[int, int]] | None) -> Iterator[tuple[int, int]]:
-    """Pairs of classes of different components that could be linked: without `tested` only a spanning
-    forest, nearest first, else all but the tested ones.
+def looked_at(grouped: DataFrame, needs: DataFrame) -> DataFrame:
+    """(gid, cls, size): the groups of each class, smallest first, but those that hold less than its `need` together.
+
+    The groups that two linked classes share hold `need` fragments of either at least, so that the smallest
+    of them is looked at by both. Groups and classes left alone go."""
+    down = Window.partitionBy("cls").orderBy(F.desc("size"), F.desc("gid")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = grouped.join(needs, "cls").withColumn("held", F.sum("times").over(down)).filter("held >= need").select("gid", "cls")
+    return kept.join(kept.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "gid")
 
-    half: where a second tile begins, whose members are compared with the first tile's only."""
-    if half is not None and not 0 < half < len(cls):
-        return
-    left, right = (np.arange(len(cls)), np.arange(len(cls))) if half is None else (np.arange(half), np.arange(half, len(cls)))
-    a, b, far = [], [], []
-    for start in range(0, len(left), 128):
-        some = left[start : start + 128]
-        apart = np.bitwise_count(rows[some][:, None, :] ^ rows[right][None, :, :]).sum(2, dtype=np.int64)
-        total = n[some][:, None] + n[right][None, :]
-        can = (apart * (100 + PERCENT) <= (100 - PERCENT) * total) & (comp[some][:, None] != comp[right][None, :])
-        if half is None:
-            can &= some[:, None] < right[None, :]
-        x, y = np.nonzero(can)
-        a.append(some[x])
-        b.append(right[y])
-        far.append(apart[x, y])
-    a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(far)
-    if tested is not None:
-        yield from {(min(x, y), max(x, y)) for x, y in zip(cls[a].tolist(), cls[b].tolist(), strict=True)} - tested
-        return
-    root = {}
+
+def common_groups(grouped: DataFrame) -> DataFrame:
+    """(gid, cls, size): three groups at most of each class: the largest, and the first and last by id.
+
+    Near copies share most of their groups, so that they mostly choose the same ones."""
+    chosen = F.array_distinct(F.array(F.max_by("gid", F.struct("size", "gid")), F.min("gid"), F.max("gid")))
+    picked = grouped.groupBy("cls").agg(chosen.alias("gids")).select("cls", F.explode("gids").alias("gid"))
+    return picked.join(picked.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "gid")
+
+
+def _forest(cls: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> Iterator[int]:
+    """Of the pairs (a, b) those of a spanning forest over their components, nearest first."""
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
         while root.setdefault(x, x) != x:
@@ -263,69 +265,81 @@ def _pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, rows: np.ndarray, h
             x = root[x]
         return x
 
-    for i in np.lexsort((b, a, far)):
-        x, y = int(cls[a[i]]), int(cls[b[i]])
+    for i in np.lexsort((cls[b], cls[a], far)):
         p, q = find(int(comp[a[i]])), find(int(comp[b[i]]))
         if p != q:
             root[p] = q
-            yield min(x, y), max(x, y)
+            yield i
 
 
-def common_groups(grouped: DataFrame) -> DataFrame:
-    """(gid, cls, size): three groups at most of each class: the largest, and the first and last by id.
+def _pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, home: np.ndarray, minor: np.ndarray, sketches: list[bytes], every: bool) -> set[tuple[int, int]]:
+    """Pairs of classes of different components that could be linked: all, or a spanning forest only.
 
-    Near copies share most of their groups, so that they mostly choose the same ones."""
-    chosen = F.array_distinct(F.array(F.max_by("gid", F.struct("size", "gid")), F.min("gid"), F.max("gid")))
-    picked = grouped.groupBy("cls").agg(chosen.alias("gids")).select("cls", F.explode("gids").alias("gid"))
-    return picked.join(picked.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "gid")
+    Classes of minor components are compared with those at home here."""
+    left, right = np.flatnonzero(minor), np.flatnonzero(home)
+    if not len(left) or not len(right):
+        return set()
+    # sets whose sketches differ in size may still be at the threshold: the longer one is folded
+    size = min(map(len, sketches))
+    rows = np.vstack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), 0) for s in sketches])
+    step = max(1, (2 << 20) // (len(right) * rows.shape[1]))
+    a, b, far = [], [], []
+    for start in range(0, len(left), step):
+        some = left[start : start + step]
+        apart = np.bitwise_count(rows[some][:, None, :] ^ rows[right][None, :, :]).sum(2, dtype=np.int64)
+        total = n[some][:, None] + n[right][None, :]
+        x, y = np.nonzero((apart * (100 + PERCENT) <= (100 - PERCENT) * total) & (comp[some][:, None] != comp[right][None, :]))
+        a.append(some[x])
+        b.append(right[y])
+        far.append(apart[x, y])
+    a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(far)
+    chosen = range(len(a)) if every else _forest(cls, comp, a, b, far)
+    return {(min(x, y), max(x, y)) for i in chosen for x, y in [(int(cls[a[i]]), int(cls[b[i]]))]}
 
 
-def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame, tested: DataFrame | None, buckets: int, across: bool = True) -> DataFrame:
-    """(a, b): pairs to be counted next. grouped(gid, cls, size), facts(cls, n, sketch), comps(cls, comp), tested(a, b).
+def candidates(grouped: DataFrame, facts: DataFrame, comps: DataFrame | None, every: bool) -> DataFrame:
+    """(a, b): pairs to be counted next. grouped(gid, cls, size), facts(cls, n, sketch), comps(cls, comp).
 
-    across: whether the tiles of a large group are compared with each other, or each by itself only."""
-    every = tested is not None
-    members = grouped.join(comps, "cls")
-    apart = members.groupBy("gid").agg((F.min("comp") != F.max("comp")).alias("apart")).filter("apart").select("gid")
+    Without comps each class is a component and each tile of a group is compared by itself; with them all
+    classes outside a group's commonest component visit all its tiles."""
+    if comps is None:
+        spread = grouped.withColumns({"comp": F.col("cls"), "minor": F.lit(True)})
+    else:
+        members = grouped.join(comps, "cls")
+        top = members.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gid").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        spread = members.join(top.select("gid", "top"), "gid").withColumn("minor", F.col("comp") != F.col("top"))
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tile = F.when(tiles > 1, F.pmod(F.xxhash64("cls", "gid"), tiles).cast("int")).otherwise(F.lit(0))
-    spread = members.join(apart, "gid").withColumn("tiles", tiles).withColumn("tile", tile)
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if across else F.col("tile")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    spread = spread.join(facts.select("cls", "n", "sketch"), "cls").withColumn("bucket", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(buckets)).cast("int")).select("bucket", "gid", "i", "j", "tile", "cls", "comp", "n", "sketch")
-    if every:
-        at = spread.select("cls", "bucket", "gid", "i", "j")
-        pairs = tested.join(at.withColumnRenamed("cls", "a"), "a").join(at.select(F.col("cls").alias("b"), "gid", "i", "j"), ["b", "gid", "i", "j"]).select(F.col("bucket").alias("at"), "a", "b").distinct()
+    own_tile = F.pmod(F.xxhash64("cls", "gid"), tiles).cast("int")
+    spread = spread.withColumn("at", own_tile)
+    if comps is not None:
+        spread = spread.withColumn("tile", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array("at"))))
     else:
-        pairs = facts.sparkSession.createDataFrame([], "at int, a bigint, b bigint")
+        spread = spread.withColumn("tile", F.col("at"))
+    buckets = parts(facts.sparkSession)
+    spread = spread.join(facts.select("cls", "n", "sketch"), "cls").select(F.pmod(F.xxhash64("gid", "tile"), F.lit(64 * buckets)).cast("int").alias("bucket"), "gid", "tile", "cls", "comp", "n", "minor", (F.col("tile") == F.col("at")).alias("home"), "sketch")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = set(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True))
-        frame = {c: left.column(c).to_numpy() for c in ("gid", "i", "j", "tile", "cls", "comp", "n")}
+    def run(left: pa.Table) -> pa.Table:
+        frame = {c: left.column(c).to_numpy() for c in ("gid", "tile", "cls", "comp", "n", "home", "minor")}
         sketches = left.column("sketch").to_pylist()
-        order = np.lexsort((frame["cls"], frame["tile"], frame["j"], frame["i"], frame["gid"]))
+        order = np.lexsort((frame["cls"], frame["tile"], frame["gid"]))
         frame = {c: v[order] for c, v in frame.items()}
         edge = np.ones(len(order), bool)
-        edge[1:] = (frame["gid"][1:] != frame["gid"][:-1]) | (frame["i"][1:] != frame["i"][:-1]) | (frame["j"][1:] != frame["j"][:-1])
+        edge[1:] = (frame["gid"][1:] != frame["gid"][:-1]) | (frame["tile"][1:] != frame["tile"][:-1])
         starts = [*np.flatnonzero(edge).tolist(), len(order)]
         out = set()
         for a, b in zip(starts, starts[1:], strict=False):
-            sub = {c: v[a:b] for c, v in frame.items()}
-            own = [sketches[order[k]] for k in range(a, b)]
-            half_at = int(np.searchsorted(sub["tile"], sub["j"][0])) if sub["i"][0] != sub["j"][0] else None
-            # sets whose sketches differ in size may still be at the threshold: the longer one is folded
-            size = min(map(len, own))
-            rows = np.vstack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), 0) for s in own])
-            out.update(_pairs(sub["cls"], sub["comp"], sub["n"], rows, half_at, known if every else None))
+            out |= _pairs(*(frame[c][a:b] for c in ("cls", "comp", "n", "home", "minor")), [sketches[k] for k in order[a:b]], every)
         a, b = zip(*sorted(out), strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("bucket").cogroup(pairs.groupBy("at")).applyInArrow(run, "a bigint, b bigint").distinct()
+    return spread.groupBy("bucket").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def overlaps(pairs: DataFrame, facts: DataFrame, own: DataFrame, buckets: int) -> DataFrame:
+def overlaps(pairs: DataFrame, facts: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b, overlap, n_a, n_b): shared shingles, counted in each coarse fragment and summed per pair.
 
     A class with many partners is sent to several buckets, so that its partners spread."""
+    buckets = max(parts(pairs.sparkSession), -(-pairs.count() // BUCKET_PAIRS))
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("salts"))
     salted = pairs.join(many, "a").withColumn("bucket", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "salts")), F.lit(buckets)).cast("int"))
     left = salted.select("bucket", "a").distinct().join(own.select(F.col("cls").alias("a"), "own"), "a")
@@ -337,8 +351,8 @@ def overlaps(pairs: DataFrame, facts: DataFrame, own: DataFrame, buckets: int) -
             for batch in batches:
                 rows = []
                 for *row, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", *ids, "own")), strict=True):
-                    for f, part in enumerate(np.split(x := _unpack(own), np.searchsorted(x, edges))):
-                        rows.append((*row, f, _pack(part)))
+                    for f, part in enumerate(np.split(x := np.frombuffer(own, np.uint64), np.searchsorted(x, edges))):
+                        rows.append((*row, f, part.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "own" else pa.int32() if c in ("bucket", "fragment") else pa.int64()) for c, v in zip(("bucket", *ids, "fragment", "own"), zip(*rows, strict=True), strict=True)})
 
@@ -354,62 +368,74 @@ def overlaps(pairs: DataFrame, facts: DataFrame, own: DataFrame, buckets: int) -
             by.setdefault(x, []).append(y)
         rows = []
         for x, partners in by.items():
-            mine = _unpack(own[x])
+            mine = np.frombuffer(own[x], np.uint64)
             for y in partners:
-                theirs = _unpack(asked[x, y])
+                theirs = np.frombuffer(asked[x, y], np.uint64)
                 part = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum()) if len(mine) else 0
                 rows.append((x, y, part))
         a, b, part = zip(*rows, strict=True)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "part": pa.array(part, pa.int64())})
 
     keys = ["bucket", "fragment"]
-    parts = fragments(left, ["a"]).groupBy(*keys).cogroup(fragments(right, ["a", "b"]).groupBy(*keys)).applyInArrow(run, "a bigint, b bigint, part bigint")
-    summed = parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    counted = fragments(left, ["a"]).groupBy(*keys).cogroup(fragments(right, ["a", "b"]).groupBy(*keys)).applyInArrow(run, "a bigint, b bigint, part bigint")
+    summed = counted.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
     n = facts.select("cls", "n")
     return summed.join(n.withColumnsRenamed({"cls": "a", "n": "n_a"}), "a").join(n.withColumnsRenamed({"cls": "b", "n": "n_b"}), "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(cls, comp): the smallest class that each class reaches over edges(a, b)."""
-    return stored(graph.components(nodes, edges, "cls", rounds).withColumnRenamed("component", "comp"))
-
-
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id): the set size of each document and the smallest key its links reach."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, cls, least): each row's set size and class, and the smallest id that the class's links reach (null without shingles)."""
     about = stored(describe(docs, key, text))
     total = about.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-total * 6 // 10 // BUCKET_ROWS))
-    grouped = stored(groups(docs, text, buckets))
-    # a class that shares fewer fragments with all others together than with any one partner has none
-    shared = grouped.groupBy("cls").agg(F.sum("times").alias("shared"))
-    facts = about.join(shared, "cls").filter("id IS NOT NULL AND shared >= need").groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    facts = stored(facts)
-    comps = facts.select("cls", F.col("cls").alias("comp"))
-    edges = failed = None
+    named = about.filter("id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("need").alias("need"))
+    grouped = stored(looked_at(groups(docs.filter(F.col(key).isNotNull()), text, buckets), named.select("cls", "need")))
+    facts = stored(named.join(grouped.select("cls").distinct(), "cls", "left_semi").select("cls", "id", "n"))
+    own = stored(sets(docs, facts.select("id").distinct(), key, text))
+    comps = links = tried = None
+    done = []
     for step in ("common", "nearest", "every"):
-        if step == "common":
-            pairs = candidates(common_groups(grouped.join(facts.select("cls"), "cls")), facts, comps, None, buckets, across=False)
-        else:
-            pairs = candidates(grouped, facts, comps, failed if step == "every" else None, buckets)
-        pairs = stored(pairs)
-        if pairs.isEmpty():
-            if step == "common":
-                continue
-            break
-        wanted = facts.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("id")
-        own = stored(sets(docs, wanted, key, text))
-        tested = stored(overlaps(pairs, facts, own, buckets).select("a", "b", (F.col("overlap") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked")))
-        good = tested.filter("linked").select("a", "b")
-        edges = good if edges is None else edges.unionByName(good)
-        bad = tested.filter("NOT linked").select("a", "b")
-        failed = bad if failed is None else failed.unionByName(bad)
-        comps = components(facts.select("cls"), edges)
-    named = about.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"))
-    return named.join(least, "comp", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+        found = candidates(common_groups(grouped) if step == "common" else grouped, own, comps, step == "every")
+        pairs = stored(found if tried is None else found.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        tested = stored(overlaps(pairs, facts, own).select("a", "b", (F.col("overlap") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked")))
+        discard(pairs)
+        done.append(tested)
+        tried = tested if tried is None else tried.unionByName(tested)
+        if comps is not None and tested.filter("linked").isEmpty():
+            continue
+        last, links = comps, tried.filter("linked").select("a", "b")
+        comps = stored(graph.components(facts.select("cls"), links, "cls").withColumnRenamed("component", "comp"))
+        discard(last)
+    reach = about.filter("id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    least = stored(reach.join(reach.groupBy("comp").agg(F.min("id").alias("least")), "comp").select("cls", "least"))
+    discard(grouped, facts, own, comps, *done)
+    return about.join(least, "cls", "left")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id): the set size of each document and the smallest key its links reach."""
+    return classes(docs, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those whose component has a smaller key; rows without a key stay."""
-    drop = join(docs, key, text).filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(drop, key, "left_anti")
+    """docs with one text of each group of linked documents: that of the smallest key.
+
+    Rows without a key or without words stay; so do rows that repeat the key and the words of the one that
+    stays, and rows of one key whose texts belong to different groups are judged each by its own text."""
+    found = classes(docs, key, text)
+    drop = found.filter("least <> id").select(F.col("id").alias("_id"), F.col("cls").alias("_cls")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row").field(text)], ["row", "text"])
+            for part in pieces(whole, "text"):
+                flat, sizes = shingle_sets(part.column("text"), SHINGLE)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                cls = np.array([_class(flat[a:b]) if b > a else U(0) for a, b in zip(ends, ends[1:], strict=False)], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(_signed(cls), mask=sizes == 0)], ["row", "cls"])
+
+    named = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, cls bigint")
+    kept = named.join(drop, (F.col(f"row.`{key}`").cast("long") == F.col("_id")) & (F.col("cls") == F.col("_cls")), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm import ann, bpe, language_model, line_dedup, media, mixing, ngram_join, queries, repeats, toxicity, warc
 from driftlens.llm.common import crc_mod
+from driftlens.operators import graph
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -230,6 +231,13 @@ def test_ngram_join_equals_brute_force(spark, docs):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keep_one_judges_rows_by_their_own_text(spark):
+    a, b = "one two three four five six seven", "other words that stand here and link with nothing at all"
+    rows = [(1, a, 5), (7, a, 6), (7, b, 7), (None, a, 8), (9, None, 9), (None, None, 10)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, cls int"))
+    assert sorted((r["cls"] for r in kept.collect())) == [5, 7, 8, 9, 10] and kept.columns == ["doc_id", "text", "cls"]
+
+
 def test_ngram_join_tiles(spark, monkeypatch, docs):
     own = [(i, t) for i, t in docs if i is not None]
     monkeypatch.setattr(ngram_join, "TILE", 3)
@@ -241,7 +249,7 @@ def test_ngram_join_components_of_a_long_chain(spark):
     order = [int(x) for x in np.random.default_rng(4).permutation(500)]
     nodes = spark.createDataFrame([(i,) for i in order], "cls long")
     edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
-    assert {(r["cls"], r["comp"]) for r in ngram_join.components(nodes, edges).collect()} == {(i, 0) for i in order}
+    assert {(r["cls"], r["component"]) for r in graph.components(nodes, edges, "cls").collect()} == {(i, 0) for i in order}
 
 
 def brute_repeats(docs):
