@@ -1,7 +1,7 @@
 """BPE encoding by a bounded-lookahead streaming transducer, and incremental decoding.
 
-A word is read symbol by symbol. For each position only the last token of the encoding of the prefix
-ending there is kept: the encoding of any prefix is then a path of such tokens back to the start, and a
+A word is read letter by letter. For each position only the last token of the encoding of the prefix
+ending there is kept (and found only where a later one asks for it): the encoding of any prefix is then a path of such tokens back to the start, and a
 token is stable - it belongs to the encoding of every continuation - once the paths from all positions
 that a later token can still start from pass through it. Stable tokens leave at once. The merge list
 bounds how many symbols an unstable part can have (`Merges.lookahead`), so the memory does not grow
@@ -57,7 +57,7 @@ class Merges:
         self.split = regex.compile(pattern)
         self.library = Tokenizer.from_file(path)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.symbols = lru_cache(1 << 16)(self._symbols)
+        self.symbols = lru_cache(1 << 12)(self._symbols)
         self.longest = max(len(self._symbols(s)) for s in self.vocab)
         self.lookahead = self._lookahead()
 
@@ -86,7 +86,7 @@ class Merges:
             most = max(most, far)
         return most + self.longest
 
-    @lru_cache(1 << 18)  # noqa: B019
+    @lru_cache(1 << 17)  # noqa: B019
     def fits(self, left: str, right: str) -> bool:
         """Whether the encoding of left + right is these two tokens: no merge crosses their boundary."""
         limit = 1 << 62
@@ -108,94 +108,90 @@ class Merges:
 class Encoder:
     """Turns texts into token ids; holds a bounded store of words already encoded."""
 
-    def __init__(self, merges: Merges, store: int = 300_000, longest: int = 64):
+    def __init__(self, merges: Merges, store: int = 200_000, longest: int = 64):
         self.m, self.store, self.longest = merges, store, longest
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Token ids of one word, each as soon as it is stable."""
-        m = self.m
-        text: list[str] = []  # symbols not yet sent
-        last: list[str] = []  # last[i]: last token of the encoding of the part that ends with symbol i
-        back: list[int] = []  # where that token starts
-        before = ""  # the last token sent
-        for s in symbols:
-            text.append(s)
-            n = len(text)
-            joined, choice, start = "", "", n
-            for size in range(1, min(n, m.longest) + 1):
-                joined = text[n - size] + joined
-                if joined in m.vocab:
-                    left = last[n - size - 1] if n > size else before
-                    if not left or m.fits(left, joined):
-                        choice, start = joined, n - size
-                        break
-            last.append(choice)
-            back.append(start)
-            if n >= m.longest + 8:
-                # the first token is stable when every live end goes through it
-                firsts = set()
-                for end in range(n - m.longest, n):
-                    i = end
-                    while back[i] > 0:
-                        i = back[i] - 1
-                    firsts.add(i)
-                if len(firsts) == 1:
-                    i = firsts.pop()
-                    yield m.vocab[last[i]]
-                    before = last[i]
-                    text, last, back = text[i + 1 :], last[i + 1 :], [x - i - 1 for x in back[i + 1 :]]
-            assert len(text) <= m.lookahead + m.longest, "the merge list's lookahead was exceeded"
-        path, i = [], len(text) - 1
-        while i >= 0:
-            path.append(last[i])
-            i = back[i] - 1
-        yield from (m.vocab[t] for t in reversed(path))
-
-    def short(self, letters: str) -> list[int]:
-        """`stream` for a word that fits within the lookahead: longest tokens first, taken back while
-        they are not stable. The last token of each prefix is unique, so no place is left twice."""
-        vocab, fits, longest, n = self.m.vocab, self.m.fits, self.m.longest, len(letters)
-        path: list[str] = []
-        ends: list[int] = []
-        dead: set[int] = set()
-        at, before, end = 0, "", min(n, longest)
-        while at < n:
-            while end > at:
-                token = letters[at:end] if end < n else letters[at:] + END
-                if token in vocab and end not in dead and (not before or fits(before, token)):
-                    break
-                end -= 1
-            if end > at:
-                path.append(token)
-                ends.append(end)
-                at, before = end, token
-                end = min(n, at + longest)
-            else:
-                dead.add(at)
-                path.pop()
-                end = ends.pop() - 1
-                at, before = (ends[-1], path[-1]) if ends else (0, "")
-        return [vocab[t] for t in path]
+    def stream(self, letters: Iterable[str]) -> Iterator[int]:
+        """Token ids of one word, given in pieces of byte letters, each as soon as it is stable.
+
+        back[n] is where the last token of the encoding of the unsent part's first n letters starts (None: not
+        asked for yet, -1: no encoding ends there). That token is unique: of the vocabulary's strings that end
+        at n, the one that stays whole next to the token before it. Once the unsent part is twice the
+        lookahead, the tokens are sent that the paths of all letters after which a later token can start have
+        in common; the bound says how many these are at least."""
+        vocab, fits, longest, ahead = self.m.vocab, self.m.fits, self.m.longest, self.m.lookahead
+        text, held, before, mark = "", "", "", ""
+        back: list[int | None] = [0]
+
+        def state(n: int) -> int:
+            end = mark if n == len(text) else ""
+            for start in range(n - longest if n > longest else 0, n):
+                token = text[start:n] + end
+                if token in vocab:
+                    if start:
+                        first = back[start]
+                        if first is None:
+                            first = state(start)
+                        if first < 0 or not fits(text[first:start], token):
+                            continue
+                    elif before and not fits(before, token):
+                        continue
+                    back[n] = start
+                    return start
+            back[n] = -1
+            return -1
+
+        for piece in letters:
+            if piece:
+                # the word's last letter carries its end: one letter is held until the next comes
+                text, held = text + held + piece[:-1], piece[-1]
+            if len(text) > 2 * ahead:
+                back.extend([None] * (len(text) + 1 - len(back)))
+                for n in range(1, len(text) + 1):
+                    if back[n] is None:
+                        state(n)
+                common: set[int] | None = None
+                for n in range(len(text) - longest + 1, len(text) + 1):
+                    if back[n] >= 0:
+                        path = {n}
+                        while back[n]:
+                            n = back[n]
+                            path.add(n)
+                        common = path if common is None else common & path
+                stable = sorted(common or ())
+                if not stable or stable[-1] < len(text) - ahead - longest:
+                    raise RuntimeError("a token is not stable within the lookahead of the merge list")
+                yield from [vocab[text[back[n] : n]] for n in stable]
+                n = stable[-1]
+                before, text, back = text[back[n] : n], text[n:], [0, *(x - n if x is not None and x >= n else -1 for x in back[n + 1 :])]
+        text, mark = text + held, END
+        back.extend([None] * (len(text) + 1 - len(back)))
+        for n in range(256, len(text), 256):  # so that asking never goes deep
+            for i in range(n - 255, n + 1):
+                if back[i] is None:
+                    state(i)
+        n, path = len(text), []
+        back[n] = state(n)
+        while n:
+            start = back[n]
+            path.append(vocab[text[start:n] + (END if n == len(text) else "")])
+            n = start
+        path.reverse()
+        yield from path
 
     def word(self, word: str) -> tuple[int, ...]:
         got = self.known.get(word)
         if got is None:
             letters = self.m.letters
             data = word.encode("utf-8")
-            got = tuple(self.letters("".join([letters[b] for b in data])))
+            got = tuple(self.stream(("".join([letters[b] for b in data]),)))
             if len(word) <= self.longest:
                 if len(self.known) >= self.store:
                     self.known.clear()
                 self.known[word] = got
         return got
 
-    def letters(self, letters: str) -> Iterable[int]:
-        """Ids of a word that is already written in byte letters."""
-        if len(letters) <= 2 * self.longest:
-            return self.short(letters)
-        return self.stream(c + (END if i == len(letters) - 1 else "") for i, c in enumerate(letters))
-
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text, as the tokenizer file's normalizer, split and merges define them."""
         if not text:
@@ -210,7 +206,7 @@ class Encoder:
                 # rarer scripts: characters' classes differ between Unicode versions, so the file's own
                 # normalizer and split cut the words; the transducer still encodes them
                 for w, _ in self.m.library.pre_tokenizer.pre_tokenize_str(self.m.library.normalizer.normalize_str(part)):
-                    out.extend(self.letters(w))
+                    out.extend(self.stream((w,)))
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             known = self.known

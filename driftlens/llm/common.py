@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,10 +35,19 @@ def parts(spark: SparkSession) -> int:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run` for mapInArrow; at its end the worker, which Spark uses again, gives back the memory that Arrow holds unused."""
+    """`run` for mapInArrow; at its end the worker, which Spark uses again, gives back the memory that it holds unused."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return wrapped
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow's pool and of the C library to the system, where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        pass

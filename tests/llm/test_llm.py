@@ -66,12 +66,25 @@ def test_bpe_equals_the_library_and_comes_back(spark, frame, docs):
 
 
 def test_bpe_streams_in_bounded_memory():
+    from tokenizers import Tokenizer
+
     encoder, decoder = bpe.ready(queries.tokenizer_path())
-    text = "".join(random.Random(2).choice("theinar") for _ in range(20000))
-    symbols = [*text[:-1], text[-1] + bpe.END]
-    first = next(iter(encoder.stream(iter(symbols))))
-    assert list(encoder.stream(iter(symbols)))[0] == first
-    assert list(encoder.stream(iter(symbols[:40] + [symbols[40] + bpe.END]))) == encoder.encode(text[:41])
+    own = Tokenizer.from_file(queries.tokenizer_path())
+    own.no_truncation()
+    for n in (1, 7, 41, 300, 9000, 40000):
+        text = "".join(random.Random(n).choice("theinar") for _ in range(n))
+        read = 0
+
+        def letters(text=text):
+            nonlocal read
+            for at in range(0, len(text), 50):
+                read = at
+                yield text[at : at + 50]
+
+        out = encoder.stream(letters())
+        first = next(out)
+        assert read <= 2 * encoder.m.lookahead + 50  # a stable token leaves before more is read
+        assert [first, *out] == own.encode(text, add_special_tokens=False).ids
     pieces = list(decoder.text(encoder.encode("é" * 900), step=1))
     assert "".join(pieces).strip() == "é" * 900
 
