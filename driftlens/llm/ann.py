@@ -3,7 +3,10 @@
 Every distinct vector is a node of one shard's graph. Nodes enter in batches: a greedy beam search over
 the graph so far proposes neighbours, and robust pruning keeps a neighbour only if no kept one is closer
 to it by the factor 1 / ALPHA, so that edges point in different directions. A query walks every shard's
-graph with a beam, and its best finds are ranked together by exact distance.
+graph with a beam, and all finds of the beam are ranked together by exact distance. Distances are in double
+precision; a shard's vectors are centred and scaled before they are compared, so that neither large values
+nor a large common part lose what tells them apart. Nodes that no path from the entry reaches become entries
+themselves: each node of a shard can be found, and a shard of fewer nodes than the beam is searched whole.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
 id; equal vectors share one node, which carries as many of their smallest ids as a result can show;
@@ -20,19 +23,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 2000, 32, 64, 128, 1.2
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 20_000, 32, 64, 128, 1.2
 
 
 class Graph:
     """A directed graph over the rows of a matrix, each with up to DEGREE edges."""
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, batch: int = 256):
-        self.x = np.ascontiguousarray(vectors, np.float32)
+        self.largest = float(np.abs(vectors).max()) or 1.0
+        scaled = vectors / self.largest
+        self.middle = scaled.mean(0)
+        self.unit = float(np.abs(scaled - self.middle).max()) or 1.0
+        self.x = self.placed(vectors)
         n = len(self.x)
-        self.degree, self.alpha2 = degree, np.float32(alpha * alpha)
+        self.degree, self.alpha2 = degree, alpha * alpha
         self.edges = np.full((n, degree), -1, np.int32)
-        mean = self.x.mean(0)
-        self.start = int(((self.x - mean) ** 2).sum(1).argmin())
+        self.start = int((self.x**2).sum(1).argmin())
+        self.entries = np.array([self.start])
         order = np.random.default_rng(n).permutation(n)
         order = np.concatenate([[self.start], order[order != self.start]])
         done = 1
@@ -42,17 +49,40 @@ class Graph:
             self.edges[new] = self.prune(new, ids, dist)
             self._back(new)
             done += len(new)
+        self._reach()
+
+    def placed(self, vectors: np.ndarray) -> np.ndarray:
+        """Vectors as the graph compares them: centred and scaled."""
+        return np.ascontiguousarray((vectors / self.largest - self.middle) / self.unit, np.float64)
+
+    def _reach(self) -> None:
+        """More entries, until every node is reached from one."""
+        met = np.zeros(len(self.x), bool)
+        front, entries = self.entries, [self.start]
+        while True:
+            while len(front):
+                met[front] = True
+                near = np.unique(self.edges[front])
+                front = near[(near >= 0) & ~met[near]]
+            left = np.flatnonzero(~met)
+            if not len(left):
+                break
+            front = left[:1]
+            entries.append(int(left[0]))
+        self.entries = np.array(entries)
 
     def walk(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of all queries at once: (ids, squared distances) of each beam, nearest first; -1 pads."""
         b, n = len(queries), len(self.x)
         rows = np.arange(b)
         seen = np.zeros((b, n), bool)
+        first = len(self.entries)
+        beam = max(beam, first)
         ids = np.full((b, beam), -1, np.int32)
-        dist = np.full((b, beam), np.inf, np.float32)
+        dist = np.full((b, beam), np.inf)
         left = np.zeros((b, beam), bool)
-        ids[:, 0], left[:, 0], seen[:, self.start] = self.start, True, True
-        dist[:, 0] = ((queries - self.x[self.start]) ** 2).sum(1)
+        ids[:, :first], left[:, :first], seen[:, self.entries] = self.entries, True, True
+        dist[:, :first] = ((queries[:, None, :] - self.x[self.entries]) ** 2).sum(2)
         while True:
             going = np.where(left, dist, np.inf)
             at = going.argmin(1)
@@ -115,9 +145,20 @@ class Graph:
             by = dist.argsort(1, kind="stable")
             self.edges[nodes[part]] = self.prune(nodes[part], np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1))
 
-    def nearest(self, queries: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
-        """Ids of the k nearest found for each query; -1 pads."""
-        return np.vstack([self.walk(np.ascontiguousarray(queries[i : i + 256], np.float32), max(beam, k))[0][:, :k] for i in range(0, len(queries), 256)])
+    def nearest(self, queries: np.ndarray, beam: int = BEAM) -> Iterator[tuple[int, np.ndarray]]:
+        """For each query its number and the nodes of its beam, nearest first."""
+        for i in range(0, len(queries), 128):
+            for j, ids in enumerate(self.walk(self.placed(queries[i : i + 128]), beam)[0]):
+                yield i + j, ids[ids >= 0]
+
+
+def distance(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; also right where squares would overflow or vanish."""
+    gap = rows - query
+    largest = np.abs(gap).max(initial=0.0)
+    if 0 < largest < 1e-140 or largest > 1e140:
+        return largest * np.sqrt(((gap / largest) ** 2).sum(1))
+    return np.sqrt((gap**2).sum(1))
 
 
 def usable(vector: Column) -> Column:
@@ -148,21 +189,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
         if left.num_rows and right.num_rows:
             x, q = _matrix(left.column("v")), _matrix(right.column("q"))
             members = left.column("members").to_pylist()
-            found = Graph(x).nearest(q, k + 1)
-            who, at = np.nonzero(found >= 0)
-            ids = found[who, at]
-            score = np.sqrt(((x[ids] - q[who]) ** 2).sum(1))
-            times = np.array([len(m) for m in members])[ids]
-            out = {"query_id": np.repeat(right.column("query_id").to_numpy()[who], times), "vec_id": np.array([m for i in ids for m in members[i]], np.int64), "score": np.repeat(score, times)}
+            asking, rows = right.column("query_id").to_numpy(), []
+            for i, ids in Graph(x).nearest(q, max(BEAM, k + 1)):
+                far = distance(x[ids], q[i])
+                # of one shard no more than k + 1 nodes can be among the k nearest; ties at the edge stay
+                edge = np.partition(far, k)[k] if len(far) > k else np.inf
+                rows += [(asking[i], m, d) for j, d in zip(ids[far <= edge].tolist(), far[far <= edge].tolist(), strict=True) for m in members[j]]
+            if rows:
+                out = {n: np.array(c) for n, c in zip(out, zip(*rows, strict=True), strict=True)}
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
+    # a query's own vector may stand in the shard: k + 1 members of a node leave k others
     found = nodes.groupBy("d", "shard").cogroup(asked.groupBy("d", "shard")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.filter("query_id <> vec_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def exact(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int = 10) -> Iterator[int]:
-    """Brute force for one query, to measure recall."""
-    dist = np.sqrt(((rows - query) ** 2).sum(1))
-    order = np.lexsort((ids, dist))
-    yield from [int(ids[i]) for i in order if ids[i] != own][:k]

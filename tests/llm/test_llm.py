@@ -309,6 +309,39 @@ def test_maximal_repeats_name_all_occurrences():
     assert (7, 3, (0, 1, 2)) in found and (8, 4, (0, 1)) in found
 
 
+def nearest_by_brute_force(ids, matrix, q, k=10):
+    dist = ann.distance(matrix, matrix[list(ids).index(q)])
+    return [int(ids[i]) for i in np.lexsort((ids, dist)) if ids[i] != q][:k]
+
+
+@pytest.mark.parametrize(("common", "size"), [(0.0, 1e22), (0.0, 1e200), (1e6, 1e-4)])
+def test_ann_of_large_and_close_values(spark, common, size):
+    x = common + np.random.default_rng(6).normal(size=(300, 8)) * size
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for g in sorted(ann.search(frame, frame.filter("vec_id % 100 = 0")).collect(), key=lambda g: g["rank"]):
+        got.setdefault(g["query_id"], []).append(g["vec_id"])
+    hits = [len(set(found) & set(nearest_by_brute_force(np.arange(300), x, q))) for q, found in got.items()]
+    assert sorted(got) == [0, 100, 200] and sum(hits) >= 27
+
+
+def test_ann_recall_on_the_embeddings(spark):
+    """One shard of all 2,000 vectors: recall at 10 against brute force, and the share of nodes met."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter(ann.usable(F.col("embedding")))
+    own = {r["vec_id"]: r["embedding"] for r in rows.collect()}
+    ids, matrix = np.array(list(own)), np.array(list(own.values()), float)
+    got = {}
+    for g in ann.search(rows, rows.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    hits = sum(len(found & set(nearest_by_brute_force(ids, matrix, q))) for q, found in got.items())
+    assert len(got) >= 15 and hits >= 0.9 * 10 * len(got)
+
+
+def test_every_node_of_a_graph_is_reached():
+    x = np.vstack([np.random.default_rng(1).normal(size=(40, 4)) + 1000 * i for i in range(12)])
+    assert sorted(next(ann.Graph(x, degree=4, beam=8).nearest(x[:1], beam=len(x)))[1].tolist()) == list(range(len(x)))
+
+
 def test_ann_recall_and_order(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(1500, 16))
