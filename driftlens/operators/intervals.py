@@ -57,3 +57,34 @@ def nearest_fitted(df: DataFrame, by: list[str], position: str = "position", rol
     after = F.first("_fit", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     near = places.withColumn("distance", F.least(F.col(position) - before, after - F.col(position)))
     return near.filter("_test").select(*by, position, "distance")
+
+
+def fitted_radius(df: DataFrame, by: list[str], item: str, coverage: float = 0.8, role: str = "role", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
+    """Test rows with lower and upper: predicted, less and plus the pooled radius of their group's train rows."""
+    radius = conformal_radius(df.filter(F.col(role) == "train"), by, item, coverage, observed, predicted)
+    rows = df.filter(F.col(role) == "test").join(radius, by)
+    return rows.withColumns({"lower": F.col(predicted) - F.col("radius"), "upper": F.col(predicted) + F.col("radius")})
+
+
+def position_gap(df: DataFrame, by: list[str], position: str = "position") -> DataFrame:
+    """(by, gap): median gap between neighbouring distinct positions; 1 if there is one position."""
+    steps = df.select(*by, position).distinct().withColumn("_gap", F.col(position) - F.lag(position).over(Window.partitionBy(*by).orderBy(position)))
+    return steps.groupBy(*by).agg(F.coalesce(F.median("_gap"), F.lit(1.0)).alias("gap"))
+
+
+def distance_scaled(df: DataFrame, by: list[str], item: str, coverage: float = 0.8, position: str = "position", role: str = "role", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
+    """Test rows with a half width that grows with the distance to the nearest fitted position.
+
+    role: fit, calibration or test. Residuals of calibration rows are divided by sqrt(1 + distance / gap),
+    gap being the median gap of fitted positions (1 at least), and the radius is multiplied by it again."""
+    fitted = F.when(F.col(role) == "fit", F.col(position))
+    order = Window.partitionBy(*by).orderBy(position)
+    places = df.groupBy(*by, position).agg(F.max(fitted).alias("_fit"))
+    before = F.last("_fit", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_fit", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    near = places.select(*by, position, F.least(F.col(position) - before, after - F.col(position)).alias("_far"))
+    gaps = position_gap(df.filter(F.col(role) == "fit"), by, position)
+    rows = df.filter(F.col(role) != "fit").join(near, [*by, position]).join(gaps, by).withColumn("_scale", F.sqrt(1 + F.col("_far") / F.greatest(F.col("gap"), F.lit(1.0))))
+    scaled = rows.filter(F.col(role) == "calibration").withColumns({"_o": (F.col(observed) - F.col(predicted)) / F.col("_scale"), "_p": F.lit(0.0)})
+    radius = conformal_radius(scaled, by, item, coverage, "_o", "_p")
+    return rows.filter(F.col(role) == "test").join(radius, by).withColumn("half_width", F.col("radius") * F.col("_scale")).drop("_far", "_scale", "gap", "radius")

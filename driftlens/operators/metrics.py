@@ -42,20 +42,36 @@ def top_selection(df: DataFrame, by: list[str], item: str, fraction: float = 0.1
 def ndcg(df: DataFrame, by: list[str], item: str, observed: str = "observed", predicted: str = "predicted") -> DataFrame:
     """Discounted gain with relevance rank / n, over its best value."""
     own = Window.partitionBy(*by)
-    rows = df.withColumn("_rel", F.row_number().over(own.orderBy(observed, item)) / F.count(F.lit(1)).over(own)).withColumn("_p", F.row_number().over(own.orderBy(F.desc(predicted), item))).withColumn("_b", F.row_number().over(own.orderBy(F.desc(observed), F.desc(item))))
+    rows = df.filter(finite(observed) & finite(predicted)).withColumn("_rel", F.row_number().over(own.orderBy(observed, item)) / F.count(F.lit(1)).over(own)).withColumn("_p", F.row_number().over(own.orderBy(F.desc(predicted), item))).withColumn("_b", F.row_number().over(own.orderBy(F.desc(observed), F.desc(item))))
     gain = F.pow(F.lit(2.0), F.col("_rel")) - 1
     return rows.groupBy(*by).agg((F.sum(gain / F.log2(F.col("_p") + 1)) / F.sum(gain / F.log2(F.col("_b") + 1))).alias("ndcg"))
 
 
 def conformal_radius(df: DataFrame, by: list[str], item: str, coverage: float = 0.8, observed: str = "observed", predicted: str = "predicted") -> DataFrame:
-    """The min(n, ceil((n + 1) * coverage))-th smallest absolute residual."""
+    """The min(n, ceil((n + 1) * coverage))-th smallest absolute residual; rows that are not finite are left out."""
     own = Window.partitionBy(*by)
-    rows = df.withColumn("_r", F.abs(F.col(observed) - F.col(predicted))).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_i", F.row_number().over(own.orderBy("_r", item)))
+    rows = df.filter(finite(observed) & finite(predicted)).withColumn("_r", F.abs(F.col(observed) - F.col(predicted))).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_i", F.row_number().over(own.orderBy("_r", item)))
     return rows.filter(F.col("_i") == F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * F.lit(coverage)))).select(*by, F.col("_r").alias("radius"))
 
 
 def risk_coverage(df: DataFrame, by: list[str], item: str, uncertainty: str, fractions: list[float], observed: str = "observed", predicted: str = "predicted") -> DataFrame:
     """Mean absolute error and threshold among the ceil(n * fraction) least uncertain rows."""
     own = Window.partitionBy(*by)
-    rows = df.withColumn("_i", F.row_number().over(own.orderBy(uncertainty, item))).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("coverage", F.explode(F.array(*map(F.lit, fractions))))
+    rows = df.filter(finite(observed) & finite(predicted) & finite(uncertainty)).withColumn("_i", F.row_number().over(own.orderBy(uncertainty, item))).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("coverage", F.explode(F.array(*map(F.lit, fractions))))
     return rows.filter(F.col("_i") <= F.ceil(F.col("_n") * F.col("coverage"))).groupBy(*by, "coverage").agg(F.count(F.lit(1)).alias("retained"), F.avg(F.abs(F.col(observed) - F.col(predicted))).alias("mae"), F.max(uncertainty).alias("threshold"))
+
+
+def empirical_percentile(reference: DataFrame, values: DataFrame, by: list[str], item: str, value: str) -> DataFrame:
+    """(by, item, percentile): the share of the reference that is at most each value, both rounded to 12 digits."""
+    both = reference.select(*by, F.lit(None).cast(values.schema[item].dataType).alias(item), F.round(value, 12).alias("_v"), F.lit(1).alias("_ref")).unionByName(values.select(*by, item, F.round(value, 12).alias("_v"), F.lit(0).alias("_ref")))
+    upto = F.sum("_ref").over(Window.partitionBy(*by).orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))
+    share = F.try_divide(upto, F.sum("_ref").over(Window.partitionBy(*by)))
+    return both.withColumn("percentile", share).filter("_ref = 0").select(*by, item, "percentile")
+
+
+def auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """(by, n, positives, auc, brier, accuracy) of a score for a 0/1 label; auc by average ranks, null for one class."""
+    rows = df.filter(finite(score) & F.col(label).isNotNull()).withColumn("_r", average_rank(score, by))
+    pos, neg = F.sum(label), F.sum(1 - F.col(label))
+    area = (F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / (pos * neg)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pos.alias("positives"), F.when((pos > 0) & (neg > 0), area).alias("auc"), F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"), F.avg(((F.col(score) >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))

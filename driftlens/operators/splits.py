@@ -26,6 +26,36 @@ def position(df: DataFrame, by: list[str], unit: str = "position", share: float
     return df.join(test, [*by, unit], "left").withColumn("role", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
 
 
+def bridge(df: DataFrame, held: DataFrame, by: list[str], places: str = "places") -> DataFrame:
+    """role of rows with an array of positions: test if all are held(by, position), train if none is.
+
+    Rows that bridge both, and rows without positions, are excluded."""
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    met = rows.select("_row", *by, F.explode(places).alias("position")).join(held.select(*by, "position").distinct().withColumn("_held", F.lit(1)), [*by, "position"], "left")
+    counts = met.groupBy("_row").agg(F.count("_held").alias("_in"), F.count(F.lit(1)).alias("_all"))
+    role = F.when(F.col("_in") == F.col("_all"), "test").when(F.col("_in") == 0, "train")
+    return rows.join(counts, "_row", "left").withColumn("role", F.coalesce(role, F.lit("excluded"))).drop("_row", "_in", "_all")
+
+
+def held_positions(df: DataFrame, by: list[str], share: float = 0.2, seed: int = 1, unit: str = "position") -> DataFrame:
+    """(by, position) of the held-out positions of each group; a group of a single position raises."""
+    units = df.select(*by, unit).distinct()
+    number = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share), 0)))
+    several = F.when(F.col("_n") > 1, number).otherwise(F.raise_error(F.lit("a group has a single position")).cast("double"))
+    return _chosen(units, by, unit, seed, several)
+
+
+def group_shuffle(df: DataFrame, by: list[str], group: str, share: float = 0.25, seed: int = 1) -> DataFrame:
+    """role calibration for ceil(share * groups) whole groups, fit for the others."""
+    picked = _chosen(df.select(*by, group).distinct(), by, group, seed, F.ceil(F.col("_n") * F.lit(share))).withColumn("_t", F.lit(True))
+    return df.join(picked, [*by, group], "left").withColumn("role", F.when(F.col("_t"), "calibration").otherwise("fit")).drop("_t")
+
+
+def leave_panel(df: DataFrame, panel: str, panels: list[str]) -> DataFrame:
+    """A copy of the rows for each panel left out, with the role they have in it."""
+    return df.withColumn("left_out", F.explode(F.array(*map(F.lit, panels)))).withColumn("role", F.when(F.col(panel) == F.col("left_out"), "test").otherwise("train"))
+
+
 def modulo(df: DataFrame, fold: int, folds: int = 5, unit: str = "position") -> DataFrame:
     return df.withColumn("role", F.when(F.col(unit) % folds == fold, "test").otherwise("train"))
 

@@ -40,3 +40,15 @@ def holm(df: DataFrame, by: list[str], name: str, p: str) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(p, name)
     left = F.count(F.lit(1)).over(Window.partitionBy(*by)) - F.row_number().over(order) + 1
     return df.withColumn("_a", F.least(F.lit(1.0), left * F.col(p))).withColumn("adjusted", F.max("_a").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_a")
+
+
+def multi(df: DataFrame, by: list[str], unit: str, value: str) -> DataFrame:
+    """Over units that weigh the same: their number, mean, median, and the share above 0."""
+    units = df.groupBy(*by, unit).agg(F.avg(value).alias("_v"))
+    return units.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.avg("_v").alias("mean"), F.median("_v").alias("median"), F.avg((F.col("_v") > 0).cast("double")).alias("positive_share"))
+
+
+def clusters(df: DataFrame, group: str, item: str) -> DataFrame:
+    """One row: groups, groups of one item, and items of the largest."""
+    sizes = df.groupBy(group).agg(F.count_distinct(item).alias("_n"))
+    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("_n") == 1).alias("singles"), F.max("_n").alias("largest"))

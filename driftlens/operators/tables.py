@@ -17,10 +17,15 @@ def substitutions(df: DataFrame, sequence: str) -> DataFrame:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """rows and a digest that no order of rows or columns changes."""
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)))
-    part = F.conv(F.substr(F.sha2(text, 256), F.lit(1), F.lit(15)), 16, 10).cast("decimal(20,0)")
-    return df.select(part.alias("_part")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_part"), F.lit(0)).cast("string").alias("digest"))
+    """rows and a digest of names, types and values that no order of rows or columns changes.
+
+    A value is written with its length before it, a null as a mark of its own, so that no two rows and no
+    two headers read alike."""
+    names = sorted(df.columns)
+    head = "".join(f"{len(c)}:{c}={t};" for c, t in sorted(df.dtypes))
+    value = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    part = F.conv(F.substr(F.sha2(F.concat(F.lit(head), *map(value, names)), 256), F.lit(1), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    return df.select(part.alias("_part")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_part"), F.lit(0)).cast("string").alias("digest")).withColumn("head", F.sha2(F.lit(head), 256))
 
 
 def align(source: DataFrame, scores: DataFrame, by: list[str], item: str, value: str) -> DataFrame:

@@ -98,12 +98,17 @@ def p_substitution_universe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p_table_digest(spark: SparkSession, d: str) -> DataFrame:
-    return tables.table_digest(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    rows = rows.withColumns({"o_totalprice": F.round(F.col("o_totalprice") * 100).cast("long"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority": F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderpriority"))})
+    return tables.table_digest(rows)
 
 
 def j_align_scores(spark: SparkSession, d: str) -> DataFrame:
     source = items(spark, d)
+    # some source rows and some scores stand twice
+    source = source.unionByName(source.filter("position % 17 = 0"))
     stored = source.filter("position % 11 <> 0").select("assay_id", "code", F.when(F.col("position") % 13 != 0, F.col("qty")).alias("qty"))
+    stored = stored.unionByName(stored.filter("substr(code, 2) LIKE '2%'"))
     return _round(tables.align(source, stored, ["assay_id"], "code", "qty"), "share")
 
 
@@ -136,6 +141,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_HEAD = "10:o_orderkey=bigint;9:o_custkey=bigint;13:o_orderstatus=string;12:o_totalprice=bigint;11:o_orderdate=string;15:o_orderpriority=string;"
+_HEAD = "".join(sorted((x + ";" for x in _HEAD[:-1].split(";")), key=lambda x: x.split(":")[1]))
+_PART = "coalesce(length({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_DIGEST = f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice * 100)::BIGINT AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders)
+SELECT count(*) AS rows, coalesce(sum(('0x' || substr(sha256('{_HEAD}' || {" || ".join(_PART.format(c) for c in sorted(("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))}), 1, 15))::BIGINT), 0)::VARCHAR AS digest, sha256('{_HEAD}') AS head FROM o"""
 _TAKE = "row_number() OVER (PARTITION BY {} ORDER BY r, {})"
 ORACLES: dict[str, str] = {
     "w_pct_rank": f"WITH {_SCORES}, {_ranked('scores', _TASK_SQL)} SELECT {_TASK_SQL}, code, round(rp / count(*) OVER (PARTITION BY {_TASK_SQL}), 9) AS pct_rank FROM ranked",
@@ -160,9 +170,11 @@ SELECT h.assay_id, h.position, min(abs(h.position - f.position)) AS distance FRO
 SELECT model_id, round(sum(strip), 6) AS area FROM l GROUP BY 1""",
     "p_substitution_universe": f"""WITH s AS (SELECT s_suppkey, repeat('{RESIDUES}', 3) AS q FROM supplier), p AS (SELECT s_suppkey, i::INTEGER AS position, substr(q, i, 1) AS ref FROM s, range(1, 61) r(i))
 SELECT s_suppkey, position, ref, alt, ref || position || alt AS code FROM p, (SELECT unnest(string_split('{" ".join(RESIDUES)}', ' ')) AS alt) WHERE alt <> ref""",
-    "p_table_digest": """SELECT count(*) AS rows, coalesce(sum(('0x' || substr(sha256(concat_ws('|', coalesce(o_custkey::VARCHAR, ''), coalesce(o_orderkey::VARCHAR, ''), coalesce(o_orderpriority, ''), coalesce(o_orderstatus, ''))), 1, 15))::BIGINT), 0)::VARCHAR AS digest FROM orders""",
-    "j_align_scores": f"""WITH items AS ({_ITEMS}), stored AS (SELECT assay_id, code, CASE WHEN position % 13 <> 0 THEN qty END AS qty FROM items WHERE position % 11 <> 0)
-SELECT i.assay_id, count(*) AS source_rows, count(s.code) AS matched, 0::BIGINT AS source_repeats, 0::BIGINT AS score_repeats, round(count(s.qty) / count(*), 9) AS share FROM items i LEFT JOIN stored s USING (assay_id, code) GROUP BY 1""",
+    "p_table_digest": _DIGEST,
+    "j_align_scores": f"""WITH one AS ({_ITEMS}), items AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE position % 17 = 0),
+once AS (SELECT assay_id, code, CASE WHEN position % 13 <> 0 THEN qty END AS qty FROM items WHERE position % 11 <> 0), stored AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE substr(code, 2) LIKE '2%'),
+l AS (SELECT assay_id, code, count(*) AS n FROM items GROUP BY ALL), r AS (SELECT assay_id, code, count(*) AS m, count(qty) AS v FROM stored GROUP BY ALL)
+SELECT assay_id, sum(n)::BIGINT AS source_rows, count(m) AS matched, count(*) FILTER (n > 1) AS source_repeats, count(*) FILTER (m > 1) AS score_repeats, round(count(*) FILTER (v > 0) / count(*), 9) AS share FROM l LEFT JOIN r USING (assay_id, code) GROUP BY 1""",
     "sp_depth": """WITH o AS (SELECT l_orderkey, string_agg('A' || l_linenumber || 'C', '/' ORDER BY l_linenumber) AS code, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1)
 SELECT l_orderkey, code, CASE WHEN n <= 1 THEN 'train' WHEN n <= 5 THEN 'test' END AS role FROM o""",
     "sp_group_kfold": f"""WITH {_SCORES}, s AS (SELECT model_id, protein_id, count(*) AS n FROM scores GROUP BY ALL),

@@ -22,3 +22,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, a row for each of three predictors (model_id, predicted)."""
     return items(spark, sf_dir).unpivot(["assay_id", "protein_id", "family_id", "position", "code", "observed"], ["qty", "disc", "tax"], "model_id", "predicted").withColumn("predicted", F.col("predicted") * 1000.0)
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, code): the substitutions of each order's lines, one a position, joined by / in order of positions."""
+    letter = lambda i: F.substr(F.lit(RESIDUES), (i % 20 + 1).cast("int"), F.lit(1))
+    place = F.col("l_partkey") % 60 + 1
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", place.alias("position"), letter(place - 1).alias("ref"), letter(place + F.col("l_linenumber")).alias("alt")).filter("ref <> alt")
+    one = rows.groupBy("l_orderkey", "position").agg(F.min(F.concat("ref", F.col("position").cast("string"), "alt")).alias("code"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "code"))), lambda x: x["code"])
+    return one.groupBy("l_orderkey").agg(F.array_join(ordered, "/").alias("code"))

@@ -104,10 +104,11 @@ def b_holm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g_components(spark: SparkSession, d: str) -> DataFrame:
+    """Users and the events they share."""
     events = spark.read.parquet(f"{d}/events.parquet").filter("user_id IS NOT NULL")
-    edges = events.filter("event_id % 7 = 0").select(F.col("user_id").alias("a"), ((F.col("user_id") * 31 + F.col("event_id")) % 400).alias("b"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    return graph.components(nodes, edges)
+    event = F.col("event_id") + 1_000_000_000
+    edges = events.select(F.col("user_id").alias("a"), event.alias("b"))
+    return graph.components(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), edges)
 
 
 def g_components_all(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +178,7 @@ SELECT family_id, round(CASE WHEN max(n) > 1 THEN quantile_cont(mean, 0.025) END
     "b_holm": """WITH p AS (SELECT s_nationkey AS g, s_name, (abs(s_acctbal) % 1000) / 10000.0::DOUBLE AS p FROM supplier),
 a AS (SELECT *, least(1.0::DOUBLE, (count(*) OVER (PARTITION BY g) - row_number() OVER (PARTITION BY g ORDER BY p, s_name) + 1) * p) AS a FROM p)
 SELECT g, s_name, round(p, 9) AS p, round(max(a) OVER (PARTITION BY g ORDER BY p, s_name ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM a""",
-    "g_components": """WITH RECURSIVE e AS (SELECT user_id AS a, (user_id * 31 + event_id) % 400 AS b FROM events WHERE event_id % 7 = 0 AND user_id IS NOT NULL),
+    "g_components": """WITH RECURSIVE e AS (SELECT user_id AS a, event_id + 1000000000 AS b FROM events WHERE user_id IS NOT NULL),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS reach FROM both_ways UNION SELECT r.node, w.b FROM r JOIN both_ways w ON r.reach = w.a)
 SELECT node, min(reach) AS component FROM r GROUP BY 1""",
 }
