@@ -13,17 +13,24 @@ def _chosen(units: DataFrame, by: list[str], unit: str, seed: int, number: Colum
     return units.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= number).select(*by, unit)
 
 
+def _placed(df: DataFrame, by: list[str], unit: str, order: list) -> DataFrame:
+    """df with _i, the place of each row's unit among its group's distinct units, and _n, their number: windows
+    over one partitioning, no join."""
+    own = Window.partitionBy(*by)
+    return df.withColumn("_i", F.dense_rank().over(own.orderBy(*order))).withColumn("_n", F.max("_i").over(own))
+
+
 def random_item(df: DataFrame, by: list[str], unit: str = "code", share: float = 0.2, seed: int = 1) -> DataFrame:
     """role test for ceil(share * units) whole units of each group, train for the others."""
-    test = _chosen(df.select(*by, unit).distinct(), by, unit, seed, F.ceil(F.col("_n") * F.lit(share))).withColumn("_t", F.lit(True))
-    return df.join(test, [*by, unit], "left").withColumn("role", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
+    rows = _placed(df, by, unit, [draw(seed, F.col(unit)), F.col(unit)])
+    return rows.withColumn("role", F.when(F.col("_i") <= F.ceil(F.col("_n") * F.lit(share)), "test").otherwise("train")).drop("_i", "_n")
 
 
 def position(df: DataFrame, by: list[str], unit: str = "position", share: float = 0.2, seed: int = 1) -> DataFrame:
     """Whole positions are held out: min(P - 1, max(1, round(P * share))) of each group's P."""
     number = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share), 0)))
-    test = _chosen(df.select(*by, unit).distinct(), by, unit, seed, number).withColumn("_t", F.lit(True))
-    return df.join(test, [*by, unit], "left").withColumn("role", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
+    rows = _placed(df, by, unit, [draw(seed, F.col(unit)), F.col(unit)])
+    return rows.withColumn("role", F.when(F.col("_i") <= number, "test").otherwise("train")).drop("_i", "_n")
 
 
 def bridge(df: DataFrame, held: DataFrame, by: list[str], places: str = "places") -> DataFrame:
@@ -62,8 +69,11 @@ def modulo(df: DataFrame, fold: int, folds: int = 5, unit: str = "position") ->
 
 def contiguous(df: DataFrame, by: list[str], fold: int, folds: int = 5, unit: str = "position") -> DataFrame:
     """A block of neighbouring observed positions is held out; the first blocks are the larger ones."""
-    block = df.select(*by, unit).distinct().withColumn("_b", F.ntile(folds).over(Window.partitionBy(*by).orderBy(unit)) - 1)
-    return df.join(block, [*by, unit]).withColumn("role", F.when(F.col("_b") == fold, "test").otherwise("train")).drop("_b")
+    rows = _placed(df, by, unit, [F.col(unit)])
+    small, more = F.floor(F.col("_n") / folds), F.col("_n") % folds
+    in_large = F.floor((F.col("_i") - 1) / (small + 1))
+    block = F.when(in_large < more, in_large).otherwise(more + F.floor(F.try_divide(F.col("_i") - 1 - more * (small + 1), small)))
+    return rows.withColumn("role", F.when(block == fold, "test").otherwise("train")).drop("_i", "_n")
 
 
 def leakage(df: DataFrame, by: list[str]) -> DataFrame:

@@ -31,9 +31,8 @@ def _with_radius(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w_pct_rank(spark: SparkSession, d: str) -> DataFrame:
-    ranked = scores(spark, d).select(*TASK, "code", metrics.average_rank("predicted", TASK).alias("rank"))
-    sizes = scores(spark, d).groupBy(*TASK).agg(F.count(F.lit(1)).alias("n"))
-    return _round(ranked.join(sizes, TASK).select(*TASK, "code", (F.col("rank") / F.col("n")).alias("pct_rank")), "pct_rank")
+    share = metrics.average_rank("predicted", TASK) / F.count(F.lit(1)).over(metrics.Window.partitionBy(*TASK))
+    return _round(scores(spark, d).select(*TASK, "code", share.alias("pct_rank")), "pct_rank")
 
 
 def m_interval_metrics(spark: SparkSession, d: str) -> DataFrame:

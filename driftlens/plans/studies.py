@@ -75,9 +75,12 @@ def a_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = scores(spark, d)
-    both = splits.random_item(rows, ["assay_id"]).withColumn("split", F.lit("random")).unionByName(splits.position(rows, ["assay_id"]).withColumn("split", F.lit("position")))
-    return metrics.regression(both.filter("role = 'test'"), ["protein_id", *TASK, "split"])
+    rows = splits.random_item(items(spark, d), ["assay_id"]).withColumnRenamed("role", "by_code")
+    rows = splits.position(rows, ["assay_id"]).withColumnRenamed("role", "by_position")
+    tested = F.array_compact(F.array(F.when(F.col("by_code") == "test", "random"), F.when(F.col("by_position") == "test", "position")))
+    kept = ["protein_id", "assay_id", "split", "code", "observed"]
+    long = rows.withColumn("split", F.explode(tested)).unpivot(kept, ["qty", "disc", "tax"], "model_id", "predicted").withColumn("predicted", F.col("predicted") * 1000.0)
+    return metrics.regression(long, ["protein_id", *TASK, "split"])
 
 
 def run_fixed_scores(spark: SparkSession, d: str) -> DataFrame:
