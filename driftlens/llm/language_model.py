@@ -36,6 +36,8 @@ from driftlens.llm.hashing import pieces, word_hashes
 #: Restaurants of classes of preceding words; text bytes for each restaurant of preceding words, and the most of these.
 CLASSES, CONTEXT_BYTES, MOST_CONTEXTS = 256, 16 << 10, 1 << 20
 SWEEPS, BURN_IN, STRENGTH = 6, 2, 1.0
+#: Numbers of a vector of totals that travel as one row.
+CHUNK = 4096
 #: Text bytes for each bucket of the vocabulary, and bytes of text that one block stands for, about.
 BUCKET_BYTES, PIECE_BYTES = 16 << 20, 4 << 20
 END = np.uint64(0xE0D0C0B0A0908070)
@@ -222,16 +224,17 @@ def _sums(counts: DataFrame, of_row) -> np.ndarray:
                 value = of_row(row)
                 total = value.astype(float) if total is None else total + value
         if total is not None:
-            place = np.flatnonzero(total) if len(total) > 1 else np.arange(1)
-            place = np.union1d(place, [len(total) - 1])
-            yield pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int32()), "value": pa.array(total[place], pa.float64())})
+            chunks = [total[i : i + CHUNK] for i in range(0, len(total), CHUNK)]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(chunks)), pa.int32()), "numbers": pa.array([x.tobytes() for x in chunks], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(x, np.float64) for x in sorted(group.column("numbers").to_pylist()))
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "numbers": pa.array([whole.tobytes()], pa.binary())})
 
     # a task sums some buckets before its sums are sent
-    rows = counts.coalesce(max(16, parts(counts.sparkSession) // 4)).mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-    place = rows.column("place").to_numpy()
-    out = np.zeros(int(place.max()) + 1 if len(place) else 0)
-    out[place] = rows.column("value").to_numpy()
-    return out
+    made = counts.coalesce(max(16, parts(counts.sparkSession) // 4)).mapInArrow(run, "chunk int, numbers binary")
+    rows = made.groupBy("chunk").applyInArrow(add, "chunk int, numbers binary").orderBy("chunk").toArrow()
+    return np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in rows.column("numbers").to_pylist())])
 
 
 def train(counts: DataFrame, contexts: int = CLASSES) -> dict:
