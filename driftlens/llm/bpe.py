@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from driftlens.llm.common import tidy
+from driftlens.llm.hashing import pieces
+
 END = "</w>"
 #: Characters outside Latin letters and common punctuation.
 FAR = regex.compile(r"[^\x00-\u024F\u2010-\u2027\u20AC]")
@@ -263,15 +266,16 @@ def _with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name not in names), *fields])
 
 
-def _map(df: DataFrame, path: str, fields: list[T.StructField], make) -> DataFrame:
-    """`df` with columns made from 512 rows at a time by make(encoder, decoder, rows)."""
+def _map(df: DataFrame, path: str, fields: list[T.StructField], make, text: str | None = None) -> DataFrame:
+    """`df` with columns made by make(encoder, decoder, rows), from rows whose texts hold about a megabyte at a time
+    (64 rows where no text is named)."""
     schema = _with(df, fields)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = ready(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in pieces(batch, text, 1 << 20) if text else (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 yield _append(part, schema, make(encoder, decoder, part))
 
     return df.mapInArrow(run, schema)
@@ -287,7 +291,7 @@ _IDS = T.ArrayType(T.IntegerType(), False)
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """`df` with the token ids of each whole text in column `into` (array<int>)."""
-    return _map(df, path, [T.StructField(into, _IDS)], lambda e, d, part: {into: _lists([e.encode(x) for x in part.column(text).to_pylist()])})
+    return _map(df, path, [T.StructField(into, _IDS)], lambda e, d, part: {into: _lists([e.encode(x) for x in part.column(text).to_pylist()])}, text)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", plain: bool = False) -> DataFrame:
@@ -309,4 +313,4 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
         lists = [e.encode(x) for x in part.column(text).to_pylist()]
         return {ids: _lists(lists), decoded: pa.array(["".join(d.text(x)) if plain else d.strings_of(x) for x in lists], pa.string())}
 
-    return _map(df, path, [T.StructField(ids, _IDS), T.StructField(decoded, T.StringType())], make)
+    return _map(df, path, [T.StructField(ids, _IDS), T.StructField(decoded, T.StringType())], make, text)

@@ -5,8 +5,8 @@ at least `least` pages, and which stand on at least `holders` of them, are dropp
 the other lines keep their order. A line that stands twice on a page counts its page once.
 
 Null or empty texts have no lines and give an empty text; a null site is a site of its own; repeated
-rows are pages of their own; an empty table gives an empty result. Columns that this operator adds
-replace columns of the same name. The lines over the ratio on one site number at most the mean number
+rows are pages of their own; an empty table gives an empty result. Other columns are kept whatever their names;
+the text column and n_lines, n_dropped replace columns of the same name. The lines over the ratio on one site number at most the mean number
 of lines of a page divided by the ratio, which bounds the list that is joined back to the pages. Counts are
 keyed by (site, line) and pages meet their site's list by (site, salt), so that a large site is spread
 over all tasks; a site's list is repeated for the salts that its pages have, at most one a page.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import parts
 
 RATIO, LEAST = 0.2, 5
-BLOCKS = "p|br|div|li|ul|ol|nav|article|footer|header|h1|h2|h3|h4|h5|h6|title|head|body|html|table|tr|td|th|section|blockquote|b|a|span"
+BLOCKS = "p|br|div|li|ul|ol|nav|article|footer|header|h1|h2|h3|h4|h5|h6|title|head|body|html|table|tr|td|th|section|blockquote"
 
 
 def host(url: Column) -> Column:
@@ -50,17 +50,22 @@ def _mark(line: Column) -> Column:
 def drop_site_lines(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST, into: str | None = None, holders: int = 2) -> DataFrame:
     """pages with `into` (default: the text column) without its site's frequent lines, and n_lines, n_dropped."""
     into = into or text
-    base = pages.withColumns({"_lines": lines(F.col(text)), "_known": F.col(site).isNotNull(), "_site": F.coalesce(F.col(site).cast("string"), F.lit(""))})
+    kept_columns = [c for c in pages.columns if c not in (into, "n_lines", "n_dropped")]
+    other = [F.col(f"`{c}`") for c, kind in pages.dtypes if c != text and "map<" not in kind and "variant" not in kind]
+    # the salt of a page follows from its other columns alone: a task run again deals it alike, and counting salts reads no texts
+    salts = parts(pages.sparkSession)
+    # the rows travel as one column, so that no name of theirs meets a name used here
+    base = pages.select(
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept_columns)).alias("row"), lines(F.col(f"`{text}`")).alias("_lines"), F.col(f"`{site}`").isNotNull().alias("_known"),
+        F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("")).alias("_site"), F.pmod(F.xxhash64(F.lit(0), *other), F.lit(salts)).alias("_salt"),
+    )
     here = ["_known", "_site"]
     totals = base.groupBy(*here).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= least)
     counts = base.select(*here, F.explode(F.array_distinct(F.transform("_lines", _mark))).alias("_mark")).groupBy(*here, "_mark").agg(F.count(F.lit(1)).alias("_with"))
     frequent = counts.filter(F.col("_with") >= holders).join(totals, here).filter(F.col("_with") > ratio * F.col("_pages")).groupBy(*here).agg(F.collect_set("_mark").alias("_frequent"))
-    # the salt of a page follows from its other columns alone: a task run again deals it alike, and counting salts reads no texts
-    salts = parts(pages.sparkSession)
-    base = base.withColumn("_salt", F.pmod(F.xxhash64(F.lit(0), *(F.col(c) for c, kind in pages.dtypes if c != text and "map<" not in kind and "variant" not in kind)), F.lit(salts)))
     salted = base.groupBy(*here, "_salt").agg(F.count(F.lit(1)).alias("_in")).select(*here, "_salt").join(frequent, here)
     joined = base.join(salted, [*here, "_salt"], "left")
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     kept = F.filter("_lines", lambda x: ~F.array_contains(F.coalesce("_frequent", none), _mark(x)))
     added = {into: F.array_join(kept, "\n"), "n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size(kept)).cast("long")}
-    return joined.select(*(c for c in pages.columns if c not in added), *(v.alias(k) for k, v in added.items()))
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in kept_columns), *(v.alias(k) for k, v in added.items()))

@@ -10,8 +10,8 @@ fractions crosses a whole number; the words taken stay within about one document
 
 Null sizes do not occur (a null text has size 0 and is never taken); a null source is a source of its
 own, last in order; repeated rows are documents of their own (the copies they get may be exchanged among
-equal rows); an empty table gives an empty result; other columns are kept, and the names this operator
-adds replace columns of the same name.
+equal rows); an empty table gives an empty result; other columns are kept whatever their names, and the
+names in ADDED replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -89,8 +89,13 @@ def balance(cells: DataFrame, goals: DataFrame, cap: float = 3.0, steps: int = 4
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cap: float = 3.0) -> DataFrame:
     """docs with size, source_size, target, rate, copies (whole) and taken = copies * size."""
-    kept = docs.select(*(c for c in docs.columns if c not in ADDED))
-    sized = kept.withColumns({"size": words(F.col(text)), "missing": F.col(source).isNull(), "name": F.coalesce(F.col(source).cast("string"), F.lit("")), "salt": F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")})
+    kept = [c for c in docs.columns if c not in ADDED]
+    # the rows travel as one column, so that no name of theirs meets a name used here
+    own = [F.col(f"`{c}`") for c in kept]
+    sized = docs.select(
+        F.struct(*own).alias("row"), words(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").isNull().alias("missing"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("name"),
+        F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(SALTS)).cast("int").alias("salt"), F.struct(F.xxhash64(F.lit(7), F.col(f"`{key}`")).alias("h"), F.col(f"`{key}`").alias("k")).alias("order"),
+    )
     by = ["missing", "name", "size", "salt"]
     cells = cut(sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
     by_source = cells.groupBy("missing", "name").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
@@ -98,16 +103,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     mean = F.col("source_size") / F.col("docs")
     scaled = cells.join(goals.select("missing", "name", "source_size", "docs"), ["missing", "name"]).withColumn("z", F.when(F.col("source_size") > 0, F.col("size") / mean).otherwise(0.0))
     solved = balance(scaled.filter("size > 0").groupBy("missing", "name", "size", "z").agg(F.sum("n").alias("n")), goals, cap)
-    running = Window.partitionBy("missing", "name").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    rated = (
-        scaled.filter("size > 0")
-        .join(solved.select("missing", "name", "target", "lam"), ["missing", "name"])
-        .withColumn("rate", _rate(cap))
-        .withColumn("part", F.col("rate") - F.floor("rate"))
-        .withColumn("offset", F.coalesce(F.sum(F.col("part") * F.col("n")).over(running), F.lit(0.0)) + 0.5)
-        .select(*by, "rate", "part", "offset")
-    )
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(7), F.col(key)), F.col(key)))
+    # sums over a source's distinct sizes first, then over the salts within one size: no task holds a source's documents
+    rated = scaled.filter("size > 0").join(solved.select("missing", "name", "target", "lam"), ["missing", "name"]).withColumn("rate", _rate(cap)).withColumn("part", F.col("rate") - F.floor("rate"))
+    before = lambda w: F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sizes = rated.groupBy(*by[:3]).agg(F.sum(F.col("part") * F.col("n")).alias("sum"))
+    starts = sizes.select(*by[:3], before(Window.partitionBy("missing", "name").orderBy("size")).alias("start"))
+    within = rated.withColumn("sum", F.col("part") * F.col("n")).select(*by, "rate", "part", before(Window.partitionBy(*by[:3]).orderBy("salt")).alias("inner"))
+    rated = within.join(starts, by[:3]).select(*by, "rate", "part", (F.col("start") + F.col("inner") + 0.5).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("order"))
     place = F.col("offset") + F.col("part") * F.col("rank")
     copies = F.floor("rate") + F.floor(place) - F.floor(place - F.col("part"))
     return (
@@ -115,7 +118,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .join(goals.select("missing", "name", "source_size", "target"), ["missing", "name"])
         .withColumn("rank", F.when(F.col("rate").isNotNull(), rank))
         .withColumn("copies", F.coalesce(F.least(copies, F.lit(int(cap))), F.lit(0)).cast("int"))
-        .select(*kept.columns, "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(*(F.col("row").getField(c).alias(c) for c in kept), "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.llm import ann, bpe, language_model, line_dedup, media, mixing, ngram_join, repeats, toxicity, warc
@@ -38,22 +38,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
-def _damage(records: DataFrame) -> DataFrame:
-    """A second replica: some records with one byte changed, some cut short, so that later ones move."""
-    draw = F.conv(F.substr(F.md5(F.concat(F.lit("damage|"), F.coalesce(F.col("record_id").cast("string"), F.lit("")))), F.lit(1), F.lit(8)), 16, 10).cast("long")
-    changed = F.when(draw % 997 == 3, F.expr("substring(record, 1, length(record) - 9)")).when(draw % 101 == 7, F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.lit("#").cast("binary"), F.expr("substring(record, length(record) - 3, 4)"))).otherwise(F.col("record"))
-    order = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    out = records.withColumn("record", changed).withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256))
-    return out.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
+def _damaged(record: Column, record_id: Column) -> Column:
+    """A record as a second replica holds it: some with one byte changed, some cut short, so that later ones move."""
+    draw = F.conv(F.substr(F.md5(F.concat(F.lit("damage|"), F.coalesce(record_id.cast("string"), F.lit("")))), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    part = lambda start, n: F.substr(record, start, n)
+    size = F.octet_length(record)
+    changed = F.concat(part(F.lit(1), size - 5), F.lit("#").cast("binary"), part(size - 3, F.lit(4)))
+    return F.when(draw % 997 == 3, part(F.lit(1), size - 9)).when(draw % 101 == 7, changed).otherwise(record)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a second replica that is made from the first one's records, damaged by rule. Both are listed
+    from one reading: digests and lengths are taken before records meet by file, so that no body is shuffled."""
     pages = table(spark, sf_dir, "pages")
     files = max(1, -(-pages.count() // warc.RECORDS))
-    first = warc.write_records(pages, files)
-    second = _damage(first)
-    keys = ("file", "place", "offset", "length", "record_id", "digest")
-    return warc.audit(cut(first.select(*keys)), cut(second.select(*keys))).select("record_id", "file", "place", "offset", "length", "status")
+    made = warc.dealt_records(pages, files).withColumn("other", _damaged(F.col("record"), F.col("record_id")))
+    made = made.withColumns({"other_length": F.octet_length("other").cast("long"), "other_digest": F.sha2("other", 256)}).drop("record", "other")
+    # places follow the first replica's digests; offsets are each replica's own
+    both = cut(warc.placed(made))
+    before = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    second = both.select("file", "place", F.coalesce(F.sum("other_length").over(before), F.lit(0)).cast("long").alias("offset"), F.col("other_length").alias("length"), "record_id", F.col("other_digest").alias("digest"))
+    return warc.audit(both.select("file", "place", "offset", "length", "record_id", "digest"), cut(second)).select("record_id", "file", "place", "offset", "length", "status")
 
 
 _OP3_HEX = "('0x' || substr({}, 1, 8))::BIGINT"

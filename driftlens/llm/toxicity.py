@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.llm.common import crc_mod
+from driftlens.llm.common import crc_mod, tidy
+from driftlens.llm.hashing import pieces
 
 DECAY, LETTERS, WINDOW = 0.6, 32, 16
 #: Labelled documents to learn from, at most, of each class; the others are not read for fitting.
@@ -193,7 +194,7 @@ class Model:
 class Scorer:
     """Scores texts; holds a bounded store of unit margins."""
 
-    def __init__(self, model: Model, store: int = 400_000):
+    def __init__(self, model: Model, store: int = 150_000):
         self.model, self.store, self.known = model, store, {}
 
     def top(self, texts: list[str | None]) -> np.ndarray:
@@ -324,13 +325,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     """docs with the toxicity of each whole text, 0 to 1, in `into`."""
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != into), T.StructField(into, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    store: dict[int, Scorer] = {}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = store.setdefault(0, Scorer(sent.value))
+        scorer = Scorer(sent.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in pieces(batch, text, 1 << 20):
                 got = pa.array(scorer.score(part.column(text).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_pydict({f.name: got if f.name == into else part.column(f.name) for f in schema.fields})
 

@@ -31,17 +31,28 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(head.cast("binary"), content, F.lit("\r\n\r\n").cast("binary"))
 
 
-def write_records(pages: DataFrame, files: int, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """pages as records(file, place, offset, length, record_id, digest, record), dealt to `files` WARC files.
+def placed(made: DataFrame) -> DataFrame:
+    """made(file, record_id, _url, digest, length, ...) with place and offset in its file."""
+    order = Window.partitionBy("file").orderBy(F.col("record_id").asc_nulls_first(), F.col("_url").asc_nulls_first(), "digest")
+    offset = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    return made.withColumn("place", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", offset)
 
-    The file of a page follows from the md5 of its id and address, its place from id, address and body."""
+
+def dealt_records(pages: DataFrame, files: int, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """pages as records(file, record_id, _url, record, length, digest), not yet in order: no shuffle so far.
+
+    The file of a page follows from the md5 of its id and address."""
     named = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit(""))))
     dealt = F.pmod(F.conv(F.substr(named, F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(files)).cast("int")
     made = pages.select(dealt.alias("file"), F.col(key).alias("record_id"), F.col(url).alias("_url"), record(F.col(key), F.col(url), F.col(body)).alias("record"))
-    made = made.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256))
-    order = Window.partitionBy("file").orderBy(F.col("record_id").asc_nulls_first(), F.col("_url").asc_nulls_first(), "digest")
-    offset = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return made.withColumn("place", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", offset).select("file", "place", "offset", "length", "record_id", "digest", "record")
+    return made.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256))
+
+
+def write_records(pages: DataFrame, files: int, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """pages as records(file, place, offset, length, record_id, digest, record), dealt to `files` WARC files.
+
+    The file of a page follows from the md5 of its id and address, its place from id, address and body."""
+    return placed(dealt_records(pages, files, key, url, body)).select("file", "place", "offset", "length", "record_id", "digest", "record")
 
 
 def leaves(records: DataFrame) -> DataFrame:

@@ -400,6 +400,15 @@ def test_mixing_meets_targets(spark, frame):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixing_and_lines_keep_clashing_names(spark):
+    names = ["part", "offset", "name", "rank", "salt", "missing", "row", "sum", "n", "_lines", "_known", "_site", "_salt", "a.b"]
+    rows = [(i, "w " * (i % 5 + 1) + "\nmenu", "s", *(f"{n}{i}" for n in names)) for i in range(12)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for out in (mixing.mix(frame), line_dedup.drop_site_lines(frame, "source", "text", ratio=0.5)):
+        assert [c for c in out.columns if c in names] == names
+        assert {r["doc_id"]: tuple(r[n] for n in names) for r in out.collect()} == {r[0]: r[3:] for r in rows}
+
+
 def test_lines_by_site(spark):
     rows = [(i, "a", f"menu\nbody {i}\n menu \nlast{i % 3}") for i in range(10)] + [(i, None, f"menu {i % 2}\nx{i}") for i in range(20, 30)] + [(40, "b", "menu\nonly"), (41, "b", None), (42, "c", ""), (1, "a", "menu\nbody 1")]
     got = line_dedup.drop_site_lines(spark.createDataFrame([(*x, "k") for x in rows], "id long, site string, text string, n_lines string"), "site", "text", ratio=0.4).collect()
