@@ -183,18 +183,51 @@ class Encoder:
         path.reverse()
         yield from path
 
+    def short(self, letters: str) -> list[int]:
+        """`stream` for a whole word that is far shorter than the lookahead, of which nothing can leave before its
+        end: its path is searched from the left, longest tokens first, taken back where they do not stay whole
+        next to the token before. The last token of each prefix is unique, so no place is left twice."""
+        vocab, fits, longest, n = self.m.vocab, self.m.fits, self.m.longest, len(letters)
+        path: list[str] = []
+        ends: list[int] = []
+        dead: set[int] = set()
+        at, before, end = 0, "", min(n, longest)
+        while at < n:
+            while end > at:
+                token = letters[at:end] if end < n else letters[at:] + END
+                if token in vocab and end not in dead and (not before or fits(before, token)):
+                    break
+                end -= 1
+            if end > at:
+                path.append(token)
+                ends.append(end)
+                at, before = end, token
+                end = min(n, at + longest)
+            else:
+                dead.add(at)
+                path.pop()
+                end = ends.pop() - 1
+                at, before = (ends[-1], path[-1]) if ends else (0, "")
+        return [vocab[t] for t in path]
+
     def word(self, word: str) -> tuple[int, ...]:
         got = self.known.get(word)
         if got is None:
             letters = self.m.letters
             data = word.encode("utf-8")
-            got = tuple(self.stream(("".join([letters[b] for b in data]),)))
+            got = tuple(self.letters("".join([letters[b] for b in data])))
             if len(word) <= self.longest:
                 if len(self.known) >= self.store:
                     self.known.clear()
                 self.known[word] = got
         return got
 
+    def letters(self, letters: str) -> Iterable[int]:
+        """Ids of a word that is already written in byte letters."""
+        if len(letters) <= 2 * self.longest:
+            return self.short(letters)
+        return self.stream((letters,))
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text, as the tokenizer file's normalizer, split and merges define them."""
         if not text:
@@ -209,7 +242,7 @@ class Encoder:
                 # rarer scripts: characters' classes differ between Unicode versions, so the file's own
                 # normalizer and split cut the words; the transducer still encodes them
                 for w, _ in self.m.library.pre_tokenizer.pre_tokenize_str(self.m.library.normalizer.normalize_str(part)):
-                    out.extend(self.stream((w,)))
+                    out.extend(self.letters(w))
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             known = self.known

@@ -194,7 +194,7 @@ class Model:
 class Scorer:
     """Scores texts; holds a bounded store of unit margins."""
 
-    def __init__(self, model: Model, store: int = 150_000):
+    def __init__(self, model: Model, store: int = 250_000):
         self.model, self.store, self.known = model, store, {}
 
     def top(self, texts: list[str | None]) -> np.ndarray:
