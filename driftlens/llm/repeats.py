@@ -14,7 +14,9 @@ consecutive; together they make its segment.
    tells which strings of LENGTH bytes they share. The first occurrence of each string stays.
 
 Nulls are empty texts; matches never cross documents; a string is earlier by (id, place), a null id
-before all others; rows with the same id count as one place, so that a row does not repeat its own copy;
+before all others, and between different texts of one id (null ids too) by the texts' hashes. A row is told
+by its id and its text's hash, so that nothing found in one text is cut from another of the same id; rows
+equal in both count as one place, so that a row does not repeat its own copy;
 shorter texts than LENGTH have no repeats; an empty table gives an empty result; very long texts are
 handled whole by one task; other columns are dropped.
 """
@@ -40,6 +42,26 @@ SCANNED = 48
 _VALUE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _PLACE = (1 << 28) - 1
 NO_ID = -(1 << 63)
+#: A row: its id and the hash of its text.
+ROW = np.dtype([("id", "<i8"), ("tag", "<i8")])
+
+
+def rows_of(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The columns id and tag as ROW."""
+    out = np.empty(table.num_rows, ROW)
+    for name in ROW.names:
+        out[name] = table.column(name).to_numpy()
+    return out
+
+
+def numbered(*arrays: np.ndarray) -> list[np.ndarray]:
+    """A number for each ROW, the same for equal ones in all arrays, in their order."""
+    whole = np.concatenate(arrays)
+    order = np.lexsort((whole["tag"], whole["id"]))
+    new = whole[order][1:] != whole[order][:-1]
+    number = np.zeros(len(whole), np.int64)
+    number[order[1:]] = np.cumsum(new)
+    return np.split(number, np.cumsum([len(a) for a in arrays])[:-1])
 
 
 class Text:
@@ -86,12 +108,13 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def home(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a document; `home_column` says the same of a column."""
-    x = ids.astype(np.int64).view(np.uint64)
+    """Bucket of a ROW; `home_column` says the same of the columns id and tag."""
+    x = (ids["id"] ^ ids["tag"]).view(np.uint64)
     return ((x ^ (x >> U(7)) ^ (x >> U(17))) & U((1 << 62) - 1)).astype(np.int64) % buckets
 
 
-def home_column(ids: Column, buckets: int) -> Column:
+def home_column(buckets: int) -> Column:
+    ids = F.col("id").bitwiseXOR(F.col("tag"))
     mixed = ids.bitwiseXOR(F.shiftrightunsigned(ids, 7)).bitwiseXOR(F.shiftrightunsigned(ids, 17)).bitwiseAND(F.lit((1 << 62) - 1))
     return F.pmod(mixed, F.lit(buckets).cast("long")).cast("int")
 
@@ -121,7 +144,7 @@ def equal_segments(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text", 3 << 20):
                 found = segments(*raw(part.column("text")))
-                ids = part.column("id").to_numpy()
+                ids = rows_of(part)
                 bucket = ((found["anchor"] >> U(11)) % U(buckets)).astype(np.int64)
                 order = bucket.argsort(kind="stable")
                 used, first = np.unique(bucket[order], return_index=True)
@@ -138,20 +161,20 @@ def equal_segments(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     def gather(table: pa.Table) -> pa.Table:
         column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         anchor, content = column("anchor", np.uint64), column("content", np.uint64)
-        ids = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(r, np.uint32)] for i, r in zip(table.column("id").to_pylist(), table.column("row").to_pylist(), strict=True)])
+        ids = np.concatenate([np.frombuffer(i, ROW)[np.frombuffer(r, np.uint32)] for i, r in zip(table.column("id").to_pylist(), table.column("row").to_pylist(), strict=True)])
         start, lead, count = column("start", np.uint32), column("lead", np.uint8), column("count", np.uint8)
         order = anchor.argsort(kind="stable")
         same = np.flatnonzero(anchor[order][1:] == anchor[order][:-1])
         often = order[np.unique(np.concatenate([same, same + 1]))]
         anchor, content, ids, start, lead, count = (x[often] for x in (anchor, content, ids, start, lead, count))
-        order = np.lexsort((start, ids, content, anchor))
+        order = np.lexsort((start, ids["tag"], ids["id"], content, anchor))
         anchor, content, ids, start, lead, count = (x[order] for x in (anchor, content, ids, start, lead, count))
         if not len(anchor):
             return _table([])
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
         begin = start.astype(np.int64)
-        # the same place of a repeated id is no repeat of itself
+        # the same place of a repeated row is no repeat of itself
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         itself = (ids == ids[first]) & (begin == begin[first])
         again = ~itself
@@ -185,15 +208,12 @@ def fetch(docs: DataFrame, asked: DataFrame, homes: int, buckets: int) -> DataFr
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {n: [] for n in schema.names}
         if left.num_rows and right.num_rows:
-            column = lambda name: np.frombuffer(b"".join(right.column(name).to_pylist()), np.int64)
-            ids, start, stop, anchor = (column(n) for n in ("ids", "starts", "stops", "anchors"))
+            column = lambda name, kind=np.int64: np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
+            ids, start, stop, anchor = column("ids", ROW), column("starts"), column("stops"), column("anchors")
             data, offsets = raw(left.column("text"))
-            own = left.column("id").to_numpy()
+            own, wanted = numbered(rows_of(left), ids)
             by = own.argsort(kind="stable")
-            row = by[np.searchsorted(own[by], ids)]
-            # a repeated id may have texts of different lengths: only whole segments are read
-            fits = stop <= np.diff(offsets)[row]
-            ids, start, stop, anchor, row = (x[fits] for x in (ids, start, stop, anchor, row))
+            row = by[np.searchsorted(own[by], wanted)]
             base = offsets[row]
             padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
             lead, count = anchor - start, stop - start - LENGTH + 1
@@ -263,12 +283,12 @@ def compare(blocks: DataFrame, homes: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        key, ids, place = column("key", np.uint64), column("id", np.int64), column("place", np.int64)
+        key, ids, place = column("key", np.uint64), column("id", ROW), column("place", np.int64)
         lead, low, high, size = (column(n, np.uint8).astype(np.int64) for n in ("lead", "low", "high", "right"))
         order = key.argsort(kind="stable")
         same = np.flatnonzero(key[order][1:] == key[order][:-1])
         order = order[np.unique(np.concatenate([same, same + 1]))]
-        order = order[np.lexsort((place[order], ids[order], key[order]))]  # members of a key by occurrence
+        order = order[np.lexsort((place[order], ids["tag"][order], ids["id"][order], key[order]))]  # members of a key by occurrence
         if not len(order):
             return _table([])
         data = column("bytes", np.uint8).reshape(-1, reach)[order]
@@ -313,14 +333,15 @@ def cut_out(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     kept_schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        column = lambda name: np.frombuffer(b"".join(right.column(name).to_pylist()), np.int64) if right.num_rows else np.zeros(0, np.int64)
-        ids, start, stop = column("ids"), column("starts"), column("stops")
+        column = lambda name, kind=np.int64: np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
+        own, ids = numbered(rows_of(left), column("ids", ROW))
+        start, stop = column("starts"), column("stops")
         order = np.lexsort((start, ids))
         ids, start, stop = ids[order], start[order], stop[order]
         rows = []
-        for i, text in zip(left.column("id").to_pylist(), left.column("text").to_pylist(), strict=True):
+        first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        for i, a, b, text in zip(left.column("id").to_pylist(), first.tolist(), last.tolist(), left.column("text").to_pylist(), strict=True):
             data = (text or "").encode("utf-8")
-            a, b = np.searchsorted(ids, [i, i], "left")[0], np.searchsorted(ids, i, "right")
             spans: list[list[int]] = []
             if b > a:
                 s, e = start[a:b], np.minimum(np.maximum.accumulate(stop[a:b]), len(data))
@@ -338,8 +359,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     least = parts(docs.sparkSession)
     buckets, homes = max(least, -(-size // ANCHOR_BYTES)), max(least, -(-size // TEXT_BYTES))
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = own.select(home_column(F.col("id"), homes).alias("at"), "id", "text")
+    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
+    dealt = own.select(home_column(homes).alias("at"), "id", "tag", "text")
     found = cut(equal_segments(own, buckets, homes))
     blocks = fetch(dealt, found.filter("kind = 1"), homes, buckets)
     ranges = found.filter("kind = 0").unionByName(compare(blocks, homes))

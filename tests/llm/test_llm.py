@@ -297,6 +297,20 @@ def test_repeats_equal_brute_force(spark, monkeypatch, docs, scanned):
     assert repeats.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("name", [None, 7])
+def test_repeats_of_one_id_with_different_texts(spark, name):
+    """What two texts of one id share goes from one of them; neither loses anything else, a copy loses nothing."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared, own, other = word(150), word(400), word(900)
+    texts = [own[:200] + shared + own[200:], other[:600] + shared + other[600:]]
+    rows = [(name, texts[0]), (name, texts[1]), (name, texts[1]), (9, shared)]
+    got = [(x["doc_id"], bytes(x["kept"]).decode()) for x in repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    kept = sorted(t for i, t in got if i == name)
+    assert dict(got)[9] == "" and len(got) == 4
+    assert kept in (sorted([own, texts[1], texts[1]]), sorted([texts[0], other, other]))
+
+
 def test_maximal_repeats_name_all_occurrences():
     texts = [b"xxHELLOWORLDaa", b"yxHELLOWORLDab", b"zzHELLOWORLDcc"]
     at = 5
