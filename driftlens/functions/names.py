@@ -94,3 +94,9 @@ def window_of(position: Column, spans: Column) -> Column:
     inside = F.filter(spans, lambda w: (w["start"] <= at) & (at < w["stop"]))
     ranked = F.transform(inside, lambda w: F.struct(F.least(at - w["start"], w["stop"] - 1 - at).alias("context"), (-w["start"]).alias("early"), w.alias("w")))
     return F.array_max(ranked)["w"]
+
+
+def domain_unit(family: Column, clan: Column) -> Column:
+    """clan:X, or pfam:Y where there is no clan (null, blank); null without a family."""
+    own = F.trim(F.coalesce(clan, F.lit("")))
+    return F.when(family.isNotNull(), F.when(own != "", F.concat(F.lit("clan:"), own)).otherwise(F.concat(F.lit("pfam:"), family)))

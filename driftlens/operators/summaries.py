@@ -25,15 +25,19 @@ def balanced(df: DataFrame, by: list[str], levels: list[str], value: str) -> Dat
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.avg(value).alias("mean"))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, repeats: int = 200, seed: int = 1) -> DataFrame:
-    """lower and upper 2.5 % of means over units drawn with replacement; null for fewer than two units."""
+def replicates(df: DataFrame, by: list[str], unit: str, values: list[str], repeats: int = 200, seed: int = 1) -> DataFrame:
+    """(by, _rep, _n, values): means over each group's units drawn with replacement; all values share the draws."""
     own = Window.partitionBy(*by)
     units = df.withColumn("_i", F.row_number().over(own.orderBy(unit)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
     slots = units.select(*by, "_n", F.col("_i").alias("_slot")).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     drawn = slots.withColumn("_i", F.pmod(draw(seed, F.col("_rep"), F.col("_slot")), F.col("_n")).cast("int")).select(*by, "_rep", "_i", "_n")
-    means = drawn.join(units.select(*by, "_i", value), [*by, "_i"]).groupBy(*by, "_rep", "_n").agg(F.avg(value).alias("_mean"))
-    edge = lambda q: F.when(F.max("_n") > 1, F.percentile("_mean", F.lit(q)))
-    return means.groupBy(*by).agg(edge(0.025).alias("lower"), edge(0.975).alias("upper"))
+    return drawn.join(units.select(*by, "_i", *values), [*by, "_i"]).groupBy(*by, "_rep", "_n").agg(*(F.avg(v).alias(v) for v in values))
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, repeats: int = 200, seed: int = 1) -> DataFrame:
+    """lower and upper 2.5 % of means over units drawn with replacement; null for fewer than two units."""
+    edge = lambda q: F.when(F.max("_n") > 1, F.percentile(value, F.lit(q)))
+    return replicates(df, by, unit, [value], repeats, seed).groupBy(*by).agg(edge(0.025).alias("lower"), edge(0.975).alias("upper"))
 
 
 def holm(df: DataFrame, by: list[str], name: str, p: str) -> DataFrame:
