@@ -29,7 +29,7 @@ def _number(c: str) -> Column:
 # roll-ups
 
 def s_multi_gaps(spark, d):
-    made = panels.pivot_gaps(_split_runs(spark, d), _RUN, "split", ["spearman", "rmse", "mae"], "random", "position")
+    made = panels.pivot_gaps(_split_runs(spark, d), _RUN, "split", ["spearman", "rmse", "r2"], "random", "position")
     return _round(made, *made.columns[3:], digits=6)
 
 
@@ -39,9 +39,9 @@ def s_zero_diff(spark, d):
 
 
 def s_assays(spark, d):
-    made = panels.pivot_gaps(_split_runs(spark, d), _RUN, "split", ["spearman", "mae"], "random", "position")
-    made = panels.over_repeats(made, ["protein_id", "model_id"], "assay_id", ["spearman_gap", "mae_gap"])
-    return _round(made, "spearman_gap", "mae_gap", digits=6)
+    made = panels.pivot_gaps(_split_runs(spark, d), _RUN, "split", ["spearman", "rmse"], "random", "position")
+    made = panels.over_repeats(made, ["protein_id", "model_id"], "assay_id", ["spearman_gap", "rmse_gap"])
+    return _round(made, "spearman_gap", "rmse_gap", digits=6)
 
 
 def s_official(spark, d):
@@ -362,7 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_FULL = f"{_RUNS}, full_runs AS (SELECT protein_id, assay_id, model_id, split, {_FLAT} AS spearman, sqrt(avg(pow(observed - predicted, 2))) AS rmse, avg(abs(observed - predicted)) AS mae FROM ranked GROUP BY ALL)"
+_FULL = f"{_RUNS}, full_runs AS (SELECT protein_id, assay_id, model_id, split, {_FLAT} AS spearman, sqrt(avg(pow(observed - predicted, 2))) AS rmse, 1 - sum(pow(observed - predicted, 2)) / sum(pow(observed - mu, 2)) AS r2 FROM (SELECT *, avg(observed) OVER (PARTITION BY protein_id, assay_id, model_id, split) AS mu FROM ranked) GROUP BY ALL)"
 
 
 def _sides(*values: str, name: str = "{}_gap") -> str:
@@ -427,10 +427,10 @@ def _rho_rows(source: str, by: str, x: str, y: str, name: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "s_multi_gaps": f"{_FULL} SELECT protein_id, assay_id, model_id, {_sides('spearman', 'rmse', 'mae')} FROM full_runs GROUP BY ALL",
+    "s_multi_gaps": f"{_FULL} SELECT protein_id, assay_id, model_id, {_sides('spearman', 'rmse', 'r2')} FROM full_runs GROUP BY ALL",
     "s_zero_diff": f"{_FULL} SELECT protein_id, assay_id, model_id, {_sides('spearman', 'rmse', name='subset_{}_difference')} FROM full_runs GROUP BY ALL",
-    "s_assays": f"""{_FULL}, g AS (SELECT protein_id, assay_id, model_id, max(spearman) FILTER (split = 'random') - max(spearman) FILTER (split = 'position') AS s, max(mae) FILTER (split = 'random') - max(mae) FILTER (split = 'position') AS m FROM full_runs GROUP BY ALL)
-SELECT protein_id, model_id, count(DISTINCT assay_id) AS repeats, round(avg(s), 6) AS spearman_gap, round(avg(m), 6) AS mae_gap FROM g GROUP BY ALL""",
+    "s_assays": f"""{_FULL}, g AS (SELECT protein_id, assay_id, model_id, max(spearman) FILTER (split = 'random') - max(spearman) FILTER (split = 'position') AS s, max(rmse) FILTER (split = 'random') - max(rmse) FILTER (split = 'position') AS m FROM full_runs GROUP BY ALL)
+SELECT protein_id, model_id, count(DISTINCT assay_id) AS repeats, round(avg(s), 6) AS spearman_gap, round(avg(m), 6) AS rmse_gap FROM g GROUP BY ALL""",
     "s_official": _summary_sql(_RUNS, "runs", "model_id, split", ["spearman"]),
     "s_modern": _summary_sql(_SEL, "sel", "model_id", ["spearman", "gain_sd", "top_recall"]),
     "s_external": f"{_SEL}, q AS (SELECT model_id, protein_id, avg(top_recall) AS v FROM sel GROUP BY ALL) SELECT model_id, count(*) AS units, round(avg(v), 9) AS mean FROM q GROUP BY 1",

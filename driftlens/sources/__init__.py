@@ -1 +1 @@
-"""Reserved: the inputs are finished tables read by Spark itself."""
+"""Readers of the files that studies start from, and audits of stored files."""
