@@ -42,3 +42,28 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", rounds: i
         last, down = down, stored(_stars(down))
         discard(last)
     return nodes.select(node).join(down.select(F.col("u").alias(node), "v"), node, "left").select(node, F.coalesce("v", node).alias("component"))
+
+
+def star(members: DataFrame, node: str, group: str) -> DataFrame:
+    """edges(a, b) that hang the members of each group on its least one; null groups hold nothing together."""
+    known = members.filter(F.col(group).isNotNull())
+    least = known.groupBy(group).agg(F.min(node).alias("b"))
+    return known.join(least, group).select(F.col(node).alias("a"), "b").filter("a <> b")
+
+
+def union(nodes: DataFrame, groups: list[DataFrame], edges: DataFrame | None = None, node: str = "node") -> DataFrame:
+    """components of nodes held together by any of groups(node, group) and by edges(a, b)."""
+    made = edges.select("a", "b") if edges is not None else None
+    for members in groups:
+        more = star(members, node, "group")
+        made = more if made is None else made.unionByName(more)
+    return components(nodes.select(node).distinct(), made, node)
+
+
+def sensitivity(nodes: DataFrame, edges: DataFrame, value: str, thresholds: list[float], node: str = "node") -> DataFrame:
+    """(threshold, node, component) over edges(a, b, value) of at least each threshold; one propagation for all."""
+    levels = F.array(*map(F.lit, thresholds))
+    at = lambda c: F.struct("threshold", F.col(c).alias("id"))
+    every = nodes.select(node).distinct().withColumn("threshold", F.explode(levels)).select(at(node).alias("node"))
+    kept = edges.withColumn("threshold", F.explode(levels)).filter(F.col(value) >= F.col("threshold")).select(at("a").alias("a"), at("b").alias("b"))
+    return components(every, kept).select("node.threshold", F.col("node.id").alias(node), F.col("component.id").alias("component"))

@@ -88,3 +88,25 @@ def distance_scaled(df: DataFrame, by: list[str], item: str, coverage: float = 0
     scaled = rows.filter(F.col(role) == "calibration").withColumns({"_o": (F.col(observed) - F.col(predicted)) / F.col("_scale"), "_p": F.lit(0.0)})
     radius = conformal_radius(scaled, by, item, coverage, "_o", "_p")
     return rows.filter(F.col(role) == "test").join(radius, by).withColumn("half_width", F.col("radius") * F.col("_scale")).drop("_far", "_scale", "gap", "radius")
+
+
+def suite(df: DataFrame, by: list[str], item: str, group: str, coverage: float = 0.8, least: int = 20, position: str = "position", role: str = "role", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
+    """Test rows three times, method standard, classes or distance, with a half_width from calibration rows.
+
+    role: fit, calibration or test. Classes that calibration rows lack take the pooled radius."""
+    fitted, test = df.filter(F.col(role) == "calibration"), df.filter(F.col(role) == "test")
+    pooled = conformal_radius(fitted, by, item, coverage, observed, predicted)
+    own = mondrian_radius(fitted, by, group, item, coverage, least, observed, predicted).select(*by, group, F.col("radius").alias("_own"))
+    standard = test.join(pooled, by).select(*df.columns, F.lit("standard").alias("method"), F.col("radius").alias("half_width"))
+    classes = test.join(pooled, by).join(own, [*by, group], "left").select(*df.columns, F.lit("classes").alias("method"), F.coalesce("_own", "radius").alias("half_width"))
+    distance = distance_scaled(df, by, item, coverage, position, role, observed, predicted).select(*df.columns, F.lit("distance").alias("method"), "half_width")
+    return standard.unionByName(classes).unionByName(distance)
+
+
+def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q: float) -> DataFrame:
+    """(by, quantile): the least value up to which a share q of the group's weight lies. Equal values are one
+    row before the window; null values and weights weigh nothing."""
+    own = Window.partitionBy(*by)
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    rows = rows.withColumn("_upto", F.sum("_w").over(own.orderBy(value))).withColumn("_total", F.sum("_w").over(own))
+    return rows.filter(F.col("_upto") >= F.col("_total") * F.lit(q) - 1e-9).groupBy(*by).agg(F.min(value).alias("quantile"))

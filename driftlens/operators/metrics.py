@@ -75,3 +75,21 @@ def auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     pos, neg = F.sum(label), F.sum(1 - F.col(label))
     area = (F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / (pos * neg)
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pos.alias("positives"), F.when((pos > 0) & (neg > 0), area).alias("auc"), F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"), F.avg(((F.col(score) >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
+
+
+def training_properties(df: DataFrame, by: list[str], position: str = "position", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
+    """What a group's training rows look like: sizes, spread over positions, and the score's rank correlation.
+
+    Ratios to the target's sd are null where it does not vary. The skew is corrected for the number of rows."""
+    rows = df.filter(finite(observed))
+    n, sd = F.count(F.lit(1)), F.stddev_pop(observed)
+    skew = F.when(n > 2, F.coalesce(F.skewness(observed) * F.sqrt(n * (n - 1)) / (n - 2), F.lit(0.0))).otherwise(0.0)
+    whole = rows.groupBy(*by).agg(n.alias("train_rows"), sd.alias("target_sd"), (F.percentile(observed, F.lit(0.75)) - F.percentile(observed, F.lit(0.25))).alias("target_iqr"), skew.alias("target_skew"))
+    sites = rows.groupBy(*by, position).agg(n.alias("_c"), F.avg(observed).alias("_mu"), sd.alias("_sd")).join(whole.select(*by, F.when(F.col("target_sd") > 1e-12, F.col("target_sd")).alias("_all")), by)
+    places = sites.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("train_positions"), F.avg("_c").alias("per_position"), (F.stddev_pop("_c") / F.avg("_c")).alias("per_position_cv"), (F.stddev_pop("_mu") / F.max("_all")).alias("site_mean_spread"),
+        F.avg((F.col("_sd") / F.col("_all") > 0.7).cast("double")).alias("variable_sites"), (F.avg("_sd") / F.max("_all")).alias("site_sd_ratio"),
+    )
+    made = whole.join(places, by).join(regression(rows, by, observed, predicted).select(*by, F.col("spearman").alias("score_spearman")), by, "left")
+    made = made.withColumn("density", F.col("train_rows") / (F.col("train_positions") * 19))
+    return made.select(*by, "train_rows", "train_positions", "density", "per_position", "per_position_cv", "target_sd", "target_iqr", "target_skew", "site_mean_spread", "variable_sites", "site_sd_ratio", "score_spearman")
