@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.metrics import regression
+
 
 def mean(df: DataFrame, by: list[str], role: str = "role", target: str = "observed") -> DataFrame:
     """df's test rows with `predicted`, the mean target of their group's train rows (null without any)."""
@@ -51,3 +53,10 @@ def ridge(df: DataFrame, by: list[str], features: list[str], role: str = "role",
     x = F.array(*(F.col(c).cast("double") for c in features))
     dot = F.aggregate(F.zip_with(x, "_w", lambda a, b: a * b), F.col("_b"), lambda s, v: s + v)
     return df.filter(F.col(role) == "test").join(fitted, by, "left").withColumn("predicted", dot).drop("_w", "_b")
+
+
+def best_single(df: DataFrame, by: list[str], model: str, role: str = "role", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
+    """df's test rows of the one model that ranks its group's train rows best (ties: least name), with train_spearman."""
+    ranks = regression(df.filter(F.col(role) == "train"), [*by, model], observed, predicted).select(*by, model, F.round("spearman", 9).alias("train_spearman"))
+    best = ranks.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("train_spearman"), model))).filter("_i = 1").drop("_i")
+    return df.filter(F.col(role) == "test").join(best, [*by, model])

@@ -67,3 +67,14 @@ def sensitivity(nodes: DataFrame, edges: DataFrame, value: str, thresholds: list
     every = nodes.select(node).distinct().withColumn("threshold", F.explode(levels)).select(at(node).alias("node"))
     kept = edges.withColumn("threshold", F.explode(levels)).filter(F.col(value) >= F.col("threshold")).select(at("a").alias("a"), at("b").alias("b"))
     return components(every, kept).select("node.threshold", F.col("node.id").alias(node), F.col("component.id").alias("component"))
+
+
+def joint(development: DataFrame, targets: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """(node, family) of targets in one graph with development(node, group): the component as text, or
+    `undocumented` for targets that no edge(a, b) to a known node holds."""
+    nodes = development.select(node).unionByName(targets.select(node)).distinct()
+    found = union(nodes, [development], edges)
+    known = edges.filter("a <> b").join(nodes.select(F.col(node).alias("a")), "a", "left_semi").join(nodes.select(F.col(node).alias("b")), "b", "left_semi")
+    held = known.select(F.col("a").alias(node)).unionByName(known.select(F.col("b").alias(node))).distinct().withColumn("_held", F.lit(True))
+    rows = targets.select(node).distinct().join(found, node).join(held, node, "left")
+    return rows.select(node, F.when(F.col("_held"), F.col("component").cast("string")).otherwise("undocumented").alias("family"))

@@ -83,3 +83,11 @@ def paired(df: DataFrame, key: list[str], side: str, first: str, second: str, va
     rows = df.filter(F.col(side).isin(first, second)).groupBy(*key).agg(fits.alias("_fits"), *(b.alias(f"_b{i}") for i, b in enumerate(ones[second])), *(a.alias(f"_a{i}") for i, a in enumerate(ones[first])))
     checked: Column = F.when(F.col("_fits"), F.lit(True)).otherwise(F.raise_error(F.lit("a key is not paired")).cast("boolean"))
     return rows.filter(checked).select(*key, *(c.alias(n) for i, v in enumerate(values) for n, c in ((f"{first}_{v}", F.col(f"_a{i}")), (f"{second}_{v}", F.col(f"_b{i}")), (f"{v}_delta", F.col(f"_b{i}") - F.col(f"_a{i}")))))
+
+
+def align_models(source: DataFrame, stored: DataFrame, by: list[str], item: str, models: list[str]) -> DataFrame:
+    """(by, items, matched, finite_<model>...): distinct items of source, those that stored holds, and those with a
+    finite score of each model in any of their stored rows."""
+    seen = stored.groupBy(*by, item).agg(F.lit(1).alias("_matched"), *(F.max(finite(m).cast("int")).alias(f"_finite_{m}") for m in models))
+    rows = source.select(*by, item).distinct().join(seen, [*by, item], "left")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("items"), F.count("_matched").alias("matched"), *(F.count_if(F.col(f"_finite_{m}") == 1).alias(f"finite_{m}") for m in models))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.operators import graph, intervals, metrics, nested, panels, registries
+from driftlens.operators import fits, graph, intervals, joins, metrics, nested, panels, registries, summaries
 from driftlens.plans.audits import _TOP, _chosen
 from driftlens.plans.bindings import items, scores
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _SCORES, _TASK_SQL, TASK, _ranked, _round
@@ -112,6 +112,25 @@ def run_landscape(spark, d):
     return _round(panels.selection(long, TASK, "code"), "spearman", "gain_sd", "top_recall")
 
 
+def ml_span(spark, d):
+    """Of each assay the predictor that ranks its train rows best, on its test rows."""
+    rows = scores(spark, d).withColumn("role", F.when(F.col("position") % 5 == 2, "test").otherwise("train"))
+    chosen = fits.best_single(rows, ["assay_id"], "model_id")
+    return _round(metrics.regression(chosen, [*TASK, "train_spearman"]).select(*TASK, "train_spearman", "n", "spearman"), "train_spearman", "spearman")
+
+
+def s_heldout(spark, d):
+    rows = scores(spark, d).withColumn("unc", F.abs("predicted"))
+    kept = metrics.risk_coverage(rows, ["protein_id", *TASK], "code", "unc", [0.25, 0.5, 1.0])
+    return _round(summaries.balanced(kept, ["model_id", "coverage"], ["protein_id"], "mae"), "mean", digits=2)
+
+
+def j_align_fold_scores(spark, d):
+    source = items(spark, d)
+    stored = source.filter("position % 11 <> 0").select("assay_id", "code", F.when(F.col("position") % 13 != 0, F.col("qty")).alias("qty"), F.when(F.col("position") % 6 != 0, F.col("disc")).otherwise(F.lit(float("nan"))).alias("disc"))
+    return joins.align_models(source, stored, ["assay_id"], "code", ["qty", "disc"])
+
+
 # graphs
 
 def _families(spark, d):
@@ -138,6 +157,12 @@ def g_sensitivity(spark, d):
     return graph.sensitivity(_families(spark, d).select("node"), links, "tm", [0.5, 0.7, 0.9])
 
 
+def g_joint_families(spark, d):
+    nodes = _families(spark, d)
+    known = nodes.filter("node % 3 <> 0").select("node", F.col("family").alias("group"))
+    return graph.joint(known, nodes.filter("node % 3 = 0"), _links(spark, d).filter("tm >= 0.6"))
+
+
 # registries
 
 def p_condition_columns(spark, d):
@@ -177,7 +202,7 @@ def a_model_eligibility(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        b_hierarchical_mean, b_pair_differences, b_paired_group, b_position_rank, pl_abstain_stats, b_improvements, a_gates_development, c_suite, w_weighted_quantile, m_training_properties, run_landscape,
+        b_hierarchical_mean, b_pair_differences, b_paired_group, b_position_rank, pl_abstain_stats, b_improvements, a_gates_development, c_suite, w_weighted_quantile, m_training_properties, run_landscape, ml_span, s_heldout, j_align_fold_scores, g_joint_families,
         g_union_families, g_union_annotations, g_sensitivity, p_condition_columns, p_outcome_firewall, p_metadata_candidates, p_complement_candidates, p_task_registry, a_model_eligibility,
     )
 }
@@ -281,6 +306,17 @@ SELECT {_TASK_SQL}, count(*) AS n, round({_FLAT}, 9) AS spearman, round(CASE WHE
   round(count(*) FILTER (a <= kk AND b <= kk) / max(kk), 9) AS top_recall FROM k GROUP BY ALL""",
     "g_union_families": f"""WITH RECURSIVE n AS (SELECT s_suppkey AS node, s_suppkey // 4 AS family FROM supplier), {_LINKS}, e AS ({_STAR.format('family')} UNION SELECT a, b FROM l WHERE tm >= 0.6::DOUBLE AND cov >= 0.6::DOUBLE), {_REACH}""",
     "g_union_annotations": f"""WITH RECURSIVE n AS (SELECT s_suppkey AS node, s_suppkey // 4 AS family, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 40 END AS clan FROM supplier), e AS ({_STAR.format('family')} UNION {_STAR.format('clan')}), {_REACH}""",
+    "ml_span": f"""WITH {_SCORES}, x AS (SELECT *, position % 5 = 2 AS test FROM scores), {_ranked("x", _TASK_SQL + ", test")}, t AS (SELECT {_TASK_SQL}, test, count(*) AS n, round({_FLAT}, 9) AS rho FROM ranked GROUP BY ALL),
+b AS (SELECT {_TASK_SQL}, rho AS train_spearman FROM (SELECT *, row_number() OVER (PARTITION BY assay_id ORDER BY rho DESC, model_id) AS i FROM t WHERE NOT test) WHERE i = 1)
+SELECT {_TASK_SQL}, train_spearman, n, rho AS spearman FROM b JOIN t USING ({_TASK_SQL}) WHERE test""",
+    "s_heldout": f"""WITH {_SCORES}, r AS (SELECT *, count(*) OVER (PARTITION BY {_TASK_SQL}) AS n, row_number() OVER (PARTITION BY {_TASK_SQL} ORDER BY abs(predicted), code) AS i FROM scores),
+a AS (SELECT protein_id, {_TASK_SQL}, c::DOUBLE AS coverage, avg(abs(observed - predicted)) AS mae FROM r, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) v(c) WHERE i <= ceil(n * c) GROUP BY ALL),
+p AS (SELECT model_id, coverage, protein_id, avg(mae) AS mae FROM a GROUP BY ALL) SELECT model_id, coverage, count(*) AS units, round(avg(mae), 2) AS mean FROM p GROUP BY ALL""",
+    "j_align_fold_scores": f"""WITH items AS ({_ITEMS}) SELECT assay_id, count(*) AS items, count(*) FILTER (position % 11 <> 0) AS matched, count(*) FILTER (position % 11 <> 0 AND position % 13 <> 0) AS finite_qty,
+  count(*) FILTER (position % 11 <> 0 AND position % 6 <> 0) AS finite_disc FROM items GROUP BY 1""",
+    "g_joint_families": f"""WITH RECURSIVE n AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey // 4 END AS family FROM supplier), {_LINKS}, k AS (SELECT a, b FROM l WHERE tm >= 0.6::DOUBLE AND a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)),
+e AS ({_STAR.format('family')} UNION SELECT a, b FROM k), {_REACH.replace('SELECT node, min(reach) AS component FROM r GROUP BY 1', '')}
+SELECT node, CASE WHEN node IN (SELECT a FROM k UNION SELECT b FROM k) THEN min(reach)::VARCHAR ELSE 'undocumented' END AS family FROM r WHERE node % 3 = 0 GROUP BY node""",
     "g_sensitivity": f"""WITH RECURSIVE {_LINKS}, s AS (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE]) AS threshold), n AS (SELECT threshold, s_suppkey AS node FROM s, supplier), e AS (SELECT threshold, a, b FROM s, l WHERE cov >= 0.5::DOUBLE AND tm >= threshold),
 both_ways AS (SELECT threshold, a, b FROM e UNION SELECT threshold, b, a FROM e), r AS (SELECT threshold, node, node AS reach FROM n UNION SELECT r.threshold, r.node, w.b FROM r JOIN both_ways w ON r.threshold = w.threshold AND r.reach = w.a JOIN n ON n.threshold = w.threshold AND n.node = w.b)
 SELECT threshold, node, min(reach) AS component FROM r GROUP BY ALL""",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.operators import graph, intervals, nested, registries
+from driftlens.operators import fits, graph, intervals, joins, nested, registries
 
 
 def test_draws_within_levels_keep_the_nesting(spark):
@@ -76,3 +76,22 @@ def test_registries(spark):
     assert got == {1: ("prior", False), 2: ("", True), 3: ("", False), 4: ("", False)}
     seen = registries.eligibility(spark.createDataFrame([("passed",), ("failed",), (None,)], "s string"), "s").collect()
     assert [(r["eligible"], r["reason"]) for r in seen] == [(True, ""), (False, "qualification_failed"), (False, "not_qualified")]
+
+
+def test_best_single_is_chosen_on_train_rows(spark):
+    rows = [("a", m, role, float(i), float(i if good == (role == "train") else -i)) for m, good in (("m", False), ("n", True)) for role in ("train", "test") for i in range(5)]
+    got = fits.best_single(spark.createDataFrame(rows, "g string, model string, role string, observed double, predicted double"), ["g"], "model").collect()
+    assert {(r["model"], r["role"], r["train_spearman"]) for r in got} == {("n", "test", 1.0)} and len(got) == 5
+
+
+def test_align_models_counts_finite_scores(spark):
+    source = spark.createDataFrame([("g", "x"), ("g", "x"), ("g", "y"), ("g", "z"), ("h", "x")], "g string, c string")
+    stored = spark.createDataFrame([("g", "x", 1.0, None), ("g", "x", None, None), ("g", "y", float("nan"), 1.0), ("g", "w", 1.0, 1.0)], "g string, c string, m double, n double")
+    assert sorted(map(tuple, joins.align_models(source, stored, ["g"], "c", ["m", "n"]).collect())) == [("g", 3, 2, 1, 1), ("h", 1, 0, 0, 0)]
+
+
+def test_joint_families_name_only_what_is_held(spark):
+    known = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "node long, group string")
+    edges = spark.createDataFrame([(2, 10, 1.0), (11, 99, 1.0), (12, 12, 1.0)], "a long, b long, s double")
+    targets = spark.createDataFrame([(10,), (11,), (12,)], "node long")
+    assert sorted(map(tuple, graph.joint(known, targets, edges).collect())) == [(10, "1"), (11, "undocumented"), (12, "undocumented")]
