@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm import ann, bpe, language_model, line_dedup, media, mixing, ngram_join, repeats, toxicity, warc
+from driftlens.llm import ann, bpe, collocations, language_model, line_dedup, media, mixing, ngram_join, packing, repeats, resampling, toxicity, warc
 from driftlens.llm.common import crc_mod, cut, table
 
 
@@ -134,6 +134,48 @@ SELECT c.page_id, c.host, len(c.ls)::BIGINT AS n_lines, (len(c.ls) - coalesce(k.
 FROM cut c LEFT JOIN kept k USING (r)
 """
 
+
+def byte_tokenizer_path() -> str:
+    """The byte-level tokenizer file: DRIFTLENS_BYTE_TOKENIZER, or the public one that is installed."""
+    if own := os.environ.get("DRIFTLENS_BYTE_TOKENIZER"):
+        return own
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_tokenizer_path())
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return resampling.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = rf"""
+WITH line AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+run AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM line),
+gram AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM run, (VALUES (1), (2), (3)) AS v(k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS c FROM gram GROUP BY ALL),
+total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND c >= {collocations.LEAST}),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM cand c, (VALUES (1), (2)) AS v(j) WHERE j < c.k),
+scored AS (SELECT t.lang, t.k, t.phrase, t.a, t.j, x.c AS l, y.c AS r, (1000000::HUGEINT * t.a * t.a) // (x.c * y.c) AS score FROM cuts t
+  JOIN f x ON x.lang = t.lang AND x.phrase = t.head AND x.k = t.j JOIN f y ON y.lang = t.lang AND y.phrase = t.tail AND y.k = t.k - t.j),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner2 AS (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM cand WHERE k = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM cand WHERE k = 3),
+kept AS (SELECT * FROM lowest o WHERE k = 3 OR NOT EXISTS (SELECT 1 FROM inner2 i WHERE i.lang = o.lang AND i.phrase = o.phrase AND 100 * i.a >= {collocations.SHARE} * o.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n AS n, score::BIGINT AS score
+FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= {collocations.MOST}
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -145,5 +187,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
+    "op11_packing": op11_packing,
+    "op12_resampling": op12_resampling,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op3_warc": OP3_SQL, "op10_lines": OP10_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op10_lines": OP10_SQL, "op13_collocations": OP13_SQL}
