@@ -10,9 +10,9 @@ of its beginnings and marks those extended to the right. No table of counts is h
 Rows are dealt by ranges of the order; a range that begins within a word's phrases starts from the last shorter rows
 of the ranges before it, one row each.
 
-Counting leaves out early what cannot matter: a phrase is as rare as its rarest part at most. Two-word phrases
-that reach the least count set bits, and a longer phrase is only counted where the bits of its parts are set. The bits
-have a fixed number, so that they may let rarer phrases through, but never hold back one that counts.
+Counting leaves out early what cannot matter: a phrase is no more frequent than its parts. Words that reach the least
+count set bits, and a phrase of two words is only counted where the bits of both are set; so do these for
+three words. The bits have a fixed number, so that they may let rarer phrases through, but never hold back one that counts.
 
 Defined results: null texts count as empty, a null language as `und`; empty tables give no rows; repeated rows count
 each time; ties are ordered by count and phrase. Only the text and the language are read, so that other columns of any
@@ -40,17 +40,15 @@ IS_BREAK = byte_class(BREAKS)
 #: Words of the longest phrase; the least count of a candidate; what share of it (in hundredths) a longer phrase must
 #: have to replace it; rows of each language.
 LONGEST, LEAST, SHARE, MOST = 3, 10, 50, 2000
-#: Bits of the filter of frequent shorter phrases (16 MB), in parts of 2^PART_BITS.
-FILTER_BITS, PART_BITS = 27, 15
+#: Bytes of text that are counted at a time, and bits of the filter of frequent shorter phrases (16 MB), in parts of 2^PART_BITS.
+AT_ONCE, FILTER_BITS, PART_BITS = 2 << 20, 27, 15
 _MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5)]
 
 
 def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The words at these spans, lowered."""
-    size = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(LOWER[data[at]]))
+    """The words at these spans, lowered: all solid bytes, one word after the other."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(LOWER[data[SOLID[data]]]))
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -63,7 +61,7 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]])
 
 
-def _together(parts: list[np.ndarray], bits: int) -> np.ndarray:
+def _together(parts: list[np.ndarray], bits: int = FILTER_BITS) -> np.ndarray:
     """Filter places of phrases, from the hashes of their language and words."""
     made = np.zeros(len(parts[0]), np.uint64)
     for i, h in enumerate(parts):
@@ -73,26 +71,27 @@ def _together(parts: list[np.ndarray], bits: int) -> np.ndarray:
 
 def _counted(codes: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct tuples of codes and how often each stands there, by sorting."""
+    if np.prod([float(max(s, 1)) for s in sizes]) >= 2**62:  # the first two made dense
+        pair, back = np.unique(codes[0] * max(sizes[1], 1) + codes[1], return_inverse=True)
+        found, n = _counted([back, *codes[2:]], [len(pair), *sizes[2:]])
+        return [*np.divmod(pair[found[0]], max(sizes[1], 1)), *found[1:]], n
     key = np.zeros(len(codes[0]), np.int64)
-    if np.prod([float(max(s, 1)) for s in sizes]) < 2**62:
-        for c, s in zip(codes, sizes, strict=True):
-            key = key * max(s, 1) + c
-    else:  # one code after the other, made dense in between
-        for c, s in zip(codes, sizes, strict=True):
-            key = np.unique(key, return_inverse=True)[1] * max(s, 1) + c
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return [c[first] for c in codes], n
-
-
-def counts(docs: DataFrame, text: str, lang: str, orders: list[int], known: tuple[int, list] | None = None) -> DataFrame:
-    """(lang, w1 .. wk, n) for the asked numbers of words, words beyond a phrase's own empty.
-
-    known: (number of words, filter) - phrases whose parts of that many words are not in the filter are left out."""
-    longest = max(orders)
-    names = [f"w{i + 1}" for i in range(longest)]
+    for c, s in zip(codes, sizes, strict=True):
+        key = key * max(s, 1) + c
+    key, n = np.unique(key, return_counts=True)
+    made = []
+    for s in reversed(sizes[1:]):
+        key, last = np.divmod(key, max(s, 1))
+        made.append(last)
+    return [key, *reversed(made)], n
+
+
+def counts(docs: DataFrame, text: str, lang: str, k: int, known: list | None = None) -> DataFrame:
+    """(lang, phrase, n) of the phrases of k words, words joined by one blank.
+
+    known: the filter of frequent phrases of k - 1 words - phrases that begin or end with another are left out."""
     kept = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
-    packed = docs.sparkSession.sparkContext.broadcast(known[1]) if known else None
-    k_known = known[0] if known else 0
+    packed = docs.sparkSession.sparkContext.broadcast(known) if known else None
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,56 +100,50 @@ def counts(docs: DataFrame, text: str, lang: str, orders: list[int], known: tupl
             langs = batch.column("lang").cast(pa.large_string()).dictionary_encode()
             lang_code, lang_words = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary
             lang_hash = _hashes(lang_words) if len(lang_words) else None
-            for part in stretches(batch, "text", SOLID, longest - 1, 8 << 20):
+            for part in stretches(batch, "text", SOLID, k - 1, AT_ONCE):
                 starts, ends, row = word_spans(part.data, part.offsets, SOLID)
-                if not len(starts):
+                n = len(starts)
+                if n < k:
                     continue
-                # a phrase goes on while no break and no other row comes between its words
-                breaks = np.concatenate([[0], np.cumsum(IS_BREAK[part.data], dtype=np.int32)])
-                joined = (row[1:] == row[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
                 table = _strings(part.data, starts, ends).dictionary_encode()
                 code = table.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 speech = lang_code[part.first + row].astype(np.int64)
-                del starts, ends, row, breaks
-                hashed = _hashes(table.dictionary) if flags is not None else None
-                through = [np.ones(len(code), bool)]
-                for j in range(1, longest):
-                    through.append(through[-1][: len(joined) - j + 1] & joined[j - 1 :] if len(joined) >= j else np.zeros(0, bool))
-                if k_known:
-                    k, n = k_known, len(code)
-                    there = np.zeros(max(0, n - k + 1), bool)
-                    at = np.flatnonzero(through[k - 1])
-                    bit = _together([lang_hash[speech[at]], *(hashed[code[at + j]] for j in range(k))], FILTER_BITS)
-                    there[at] = (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-                for k in orders:
-                    ok = through[k - 1].copy()
-                    ok[: max(0, part.overlap - k + 1)] = False
-                    if k_known:
-                        for j in range(k - k_known + 1):
-                            ok &= there[j : j + len(ok)]
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    found, n = _counted([speech[at], *(code[at + j] for j in range(k))], [len(lang_words), *[len(table.dictionary)] * k])
-                    blank = pa.nulls(len(n), pa.large_string()).fill_null("")
-                    words = [table.dictionary.take(pa.array(found[1 + j])) if j < k else blank for j in range(longest)]
-                    made = {"lang": lang_words.take(pa.array(found[0])), **dict(zip(names, words, strict=True))}
-                    made = {name: column.cast(pa.string()) for name, column in made.items()}
-                    whole = pa.RecordBatch.from_pydict(made | {"n": pa.array(n.astype(np.int64))})
-                    yield from (whole.slice(i, 1 << 16) for i in range(0, len(n), 1 << 16))
-
-    schema = "lang string, " + ", ".join(f"{w} string" for w in names) + ", n long"
-    return kept.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").cast("long").alias("n"))
-
-
-def phrase_filter(phrases: DataFrame, k: int) -> tuple[int, list]:
-    """(k, bits of the phrases' filter places in parts): 2^FILTER_BITS bits, however many phrases there are."""
+                ok = np.ones(n - k + 1, bool)
+                if k > 1:
+                    # a phrase goes on while no break and no other row comes between its words
+                    breaks = np.cumsum(IS_BREAK[part.data], dtype=np.int32)
+                    joined = (row[1:] == row[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1] - 1])
+                    for j in range(k - 1):
+                        ok &= joined[j : j + len(ok)]
+                    del breaks, joined
+                del starts, ends, row
+                ok[: max(0, part.overlap - k + 1)] = False
+                if flags is not None:
+                    hashed = _hashes(table.dictionary)
+                    for j in range(2):
+                        at = np.flatnonzero(ok)
+                        bit = _together([lang_hash[speech[at]], *(hashed[code[at + j + i]] for i in range(k - 1))])
+                        ok[at] = (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                found, times = _counted([speech[at], *(code[at + j] for j in range(k))], [len(lang_words), *[len(table.dictionary)] * k])
+                for i in range(0, len(times), 1 << 15):
+                    words = [table.dictionary.take(pa.array(c[i : i + (1 << 15)])) for c in found[1:]]
+                    phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if k > 1 else words[0]
+                    yield pa.RecordBatch.from_pydict({"lang": lang_words.take(pa.array(found[0][i : i + (1 << 15)])).cast(pa.string()), "phrase": phrase.cast(pa.string()), "n": pa.array(times[i : i + (1 << 15)].astype(np.int64))})
+
+    return kept.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("n"))
+
+
+def phrase_filter(phrases: DataFrame, k: int) -> list:
+    """The bits of the filter places of phrases of k words, in parts: 2^FILTER_BITS bits, however many phrases there are."""
     size = 1 << PART_BITS
 
     @tidy
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = _together([_hashes(batch.column(i).cast(pa.large_string())) for i in range(k + 1)], FILTER_BITS) if batch.num_rows else np.zeros(0, np.int64)
+            bit = _together([_hashes(batch.column(i).cast(pa.large_string())) for i in range(k + 1)]) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"part": pa.array((bit >> (PART_BITS + 3)).astype(np.int32)), "bit": pa.array((bit & (size * 8 - 1)).astype(np.int32))})
 
     def gather(key: tuple, found: pa.Table) -> pa.Table:
@@ -164,7 +157,7 @@ def phrase_filter(phrases: DataFrame, k: int) -> tuple[int, list]:
     parts = [bytes(size)] * (1 << (FILTER_BITS - PART_BITS - 3))
     for r in rows:
         parts[r["part"]] = bytes(r["bits"])
-    return k, parts
+    return parts
 
 
 def in_step(stream: DataFrame, key: list[str], beginnings: str, extended: str, share: int) -> DataFrame:
@@ -255,13 +248,15 @@ def _top(made: pa.Table, most: int) -> pa.Table:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, share: int = SHARE, most: int = MOST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best `most` phrases of two and three words of each language."""
     names = [f"w{i + 1}" for i in range(LONGEST)]
+    word = lambda i: F.coalesce(F.get(F.split("phrase", " "), F.lit(i)), F.lit("")).alias(f"w{i + 1}")
+    split = lambda df: df.filter(F.col("n") >= least).select("lang", *(word(i) for i in range(LONGEST)), "n")
     # numbers of words by language need all words, also the rare ones
-    short = cut(counts(docs, text, lang, [1, 2]).withColumn("size", F.when(F.col("w2") == "", 1).otherwise(2)).filter((F.col("size") == 1) | (F.col("n") >= least)))
-    totals = short.filter("size = 1").groupBy("lang").agg(F.sum("n").cast("long").alias("total"))
-    frequent = short.filter(F.col("n") >= least).select("lang", "w1", "w2", F.lit("").alias("w3"), "n")
-    known = phrase_filter(frequent.filter("w2 <> ''"), 2)
-    third = counts(docs, text, lang, [3], known).filter(F.col("n") >= least)
-    stream = frequent.unionByName(third).withColumn("extended", F.lit(False))
+    words = cut(counts(docs, text, lang, 1))
+    totals = words.groupBy("lang").agg(F.sum("n").cast("long").alias("total"))
+    one = split(words)
+    two = cut(split(counts(docs, text, lang, 2, phrase_filter(one, 1))))
+    three = split(counts(docs, text, lang, 3, phrase_filter(two, 2)))
+    stream = one.unionByName(two).unionByName(three).withColumn("extended", F.lit(False))
     # suffix order: words from the end, so that w1 is the last one
     backwards = F.reverse(F.filter(F.array(*names), lambda w: w != ""))
     turned = stream.select("lang", *(F.coalesce(F.get(backwards, F.lit(i)), F.lit("")).alias(f"e{i + 1}") for i in range(LONGEST)), *names, "n", "extended")
