@@ -99,12 +99,13 @@ def shared_by_all(df: DataFrame, item: str, member: str, among: list[str] | None
 
 
 def linspace_sample(df: DataFrame, by: list[str], item: str, most: int) -> DataFrame:
-    """Of each group at most `most` rows: those at int(i * (n - 1) / (most - 1)) in order of items."""
+    """Of each group at most `most` rows: those at int(i * (n - 1) / (most - 1)) in order of items; the first one if
+    `most` is 1."""
     own = Window.partitionBy(*by)
     rows = df.withColumn("_i", F.row_number().over(own.orderBy(item)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
     # row i is taken if some whole j has floor(j * (n - 1) / (most - 1)) = i
-    low = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
-    hit = F.floor(low * (F.col("_n") - 1) / (most - 1)) == F.col("_i")
+    low = F.ceil(F.try_divide(F.col("_i") * (most - 1), F.col("_n") - 1))
+    hit = F.floor(low * (F.col("_n") - 1) / (most - 1)) == F.col("_i") if most > 1 else F.col("_i") == 0
     return rows.filter((F.col("_n") <= most) | ((F.col("_n") > most) & hit)).drop("_i", "_n")
 
 

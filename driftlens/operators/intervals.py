@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators.metrics import conformal_radius
+from driftlens.operators.metrics import conformal_radius, finite
 
 
 def mondrian_radius(df: DataFrame, by: list[str], group: str, item: str, coverage: float = 0.8, least: int = 20, observed: str = "observed", predicted: str = "predicted") -> DataFrame:
@@ -18,25 +18,35 @@ def mondrian_radius(df: DataFrame, by: list[str], group: str, item: str, coverag
 
 
 def group_max_radius(df: DataFrame, by: list[str], group: str, coverage: float = 0.8, observed: str = "observed", predicted: str = "predicted") -> DataFrame:
-    """The radius from the largest absolute residual of each group instead of from single rows."""
-    worst = df.groupBy(*by, group).agg(F.max(F.abs(F.col(observed) - F.col(predicted))).alias("_worst"), F.lit(0.0).alias("_zero"))
+    """The radius from the largest absolute residual of each group instead of from single rows; rows that are not
+    finite are left out, and groups without any other."""
+    rows = df.filter(finite(observed) & finite(predicted))
+    worst = rows.groupBy(*by, group).agg(F.max(F.abs(F.col(observed) - F.col(predicted))).alias("_worst"), F.lit(0.0).alias("_zero"))
     return conformal_radius(worst, by, group, coverage, "_worst", "_zero")
 
 
 def hierarchical_radius(df: DataFrame, by: list[str], group: str, item: str, coverage: float = 0.8, observed: str = "observed", predicted: str = "predicted") -> DataFrame:
-    """Each of G groups has mass 1 / (G + 1), shared by its rows, and the rest lies at infinity; the first
-    residual at which the mass reaches the coverage, null if none does."""
+    """`hierarchical_quantile` of the absolute residuals; rows that are not finite take no part."""
+    rows = df.filter(finite(observed) & finite(predicted)).withColumn("_r", F.abs(F.col(observed) - F.col(predicted)))
+    return hierarchical_quantile(rows, by, group, item, "_r", coverage)
+
+
+def hierarchical_quantile(df: DataFrame, by: list[str], group: str, item: str, value: str, coverage: float = 0.8) -> DataFrame:
+    """(by, radius): each of G groups has mass 1 / (G + 1), shared by its rows, and the rest lies at infinity; the first
+    value at which the mass reaches the coverage, null if none does."""
     own = Window.partitionBy(*by)
     groups = df.select(*by, group).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_g"))
-    rows = df.withColumn("_r", F.abs(F.col(observed) - F.col(predicted))).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*by, group))).join(groups, by)
-    mass = F.sum(1 / ((F.col("_g") + 1) * F.col("_size"))).over(own.orderBy("_r", item).rowsBetween(Window.unboundedPreceding, 0))
+    sized = df.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*by, group)))
+    rows = sized.join(groups, by) if by else sized.crossJoin(groups)
+    mass = F.sum(1 / ((F.col("_g") + 1) * F.col("_size"))).over(own.orderBy(value, item).rowsBetween(Window.unboundedPreceding, 0))
     # sums of reciprocals miss the coverage by their last digits
-    return rows.withColumn("_mass", mass).groupBy(*by).agg(F.min(F.when(F.col("_mass") >= coverage - 1e-9, F.col("_r"))).alias("radius"))
+    return rows.withColumn("_mass", mass).groupBy(*by).agg(F.min(F.when(F.col("_mass") >= coverage - 1e-9, F.col(value))).alias("radius"))
 
 
 def interval_metrics(df: DataFrame, by: list[str], lower: str, upper: str, observed: str = "observed") -> DataFrame:
-    """coverage, mean_width and median_width."""
-    width = F.col(upper) - F.col(lower)
+    """coverage, mean_width and median_width; a lower limit above the upper one raises."""
+    crossed = F.raise_error(F.lit("a lower limit lies above its upper one")).cast("double")
+    width = F.when(F.col(lower) > F.col(upper), crossed).otherwise(F.col(upper) - F.col(lower))
     inside = ((F.col(observed) >= F.col(lower)) & (F.col(observed) <= F.col(upper))).cast("double")
     return df.groupBy(*by).agg(F.avg(inside).alias("coverage"), F.avg(width).alias("mean_width"), F.median(width).alias("median_width"))
 
