@@ -160,8 +160,15 @@ def fit(df: DataFrame, by: list[str], features: list[str], target: str, weight:
                 m, g, h, node, b = m[here], g[here], h[here], node[here], b[here]
                 # one key for group, node, feature and bin
                 key = (((m.astype(np.int64)[:, None] << 16) + node[:, None]) * p + np.arange(p)) * 256 + b
-                found_, inverse = np.unique(key.ravel(), return_inverse=True)
-                n, gs, hs = (np.bincount(inverse, np.repeat(v, p), len(found_)) for v in (np.ones(len(m)), g, h))
+                key = key.ravel()
+                low = int(key.min(initial=0))
+                if int(key.max(initial=0)) - low < 8 * len(key):  # dense enough to count in place
+                    n, gs, hs = (np.bincount(key - low, np.repeat(v, p)) for v in (np.ones(len(m)), g, h))
+                    found_ = np.flatnonzero(n)
+                    n, gs, hs, found_ = n[found_], gs[found_], hs[found_], found_ + low
+                else:
+                    found_, inverse = np.unique(key, return_inverse=True)
+                    n, gs, hs = (np.bincount(inverse, np.repeat(v, p), len(found_)) for v in (np.ones(len(m)), g, h))
                 rest, bin_ = np.divmod(found_, 256)
                 rest, feature = np.divmod(rest, p)
                 yield pa.RecordBatch.from_pydict({"_m": pa.array((rest >> 16).astype(np.int32)), "node": pa.array((rest & 65535).astype(np.int32)), "feature": pa.array(feature.astype(np.int32)), "bin": pa.array(bin_.astype(np.int32)), "n": pa.array(n.astype(np.int64)), "g": pa.array(gs), "h": pa.array(hs)})

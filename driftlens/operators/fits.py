@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators import linear
 from driftlens.operators.metrics import regression
 
 
@@ -21,38 +18,10 @@ def mean(df: DataFrame, by: list[str], role: str = "role", target: str = "observ
 def ridge(df: DataFrame, by: list[str], features: list[str], role: str = "role", target: str = "observed", alpha: float = 10.0) -> DataFrame:
     """df's test rows with `predicted` from a ridge regression on standardised features of their group's train rows.
 
-    The train rows are reduced to sums of products, 0.5 * (features + 2)^2 numbers a group; features that do
-    not vary count as 0. Groups without train rows give null."""
-    p = len(features)
-    names = [*features, target]
-    products = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    # products about the group's first row: sums of squares of large values would lose digits
-    train = df.filter(F.col(role) == "train").select(*by, *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)))
-    centre = train.groupBy(*by).agg(*(F.avg(f"_{i}").alias(f"_m{i}") for i in range(p + 1)))
-    moved = train.join(centre, by).select(*by, *(F.col(f"_m{i}") for i in range(p + 1)), *((F.col(f"_{i}") - F.col(f"_m{i}")).alias(f"_{i}") for i in range(p + 1)))
-    sums = moved.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array(*(F.first(f"_m{i}") for i in range(p + 1))).alias("_means"), F.array(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i, j in products)).alias("_sums"))
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for n, means, values in zip(frame["_n"], frame["_means"], frame["_sums"], strict=True):
-                full = np.zeros((p + 1, p + 1))
-                for (i, j), v in zip(products, values, strict=True):
-                    full[i, j] = full[j, i] = v
-                sd = np.sqrt(np.maximum(np.diag(full)[:p], 0) / n)
-                sd[sd < 1e-12] = 1.0
-                gram = full[:p, :p] / np.outer(sd, sd)
-                w = np.linalg.solve(gram + alpha * np.eye(p), full[:p, p] / sd) / sd
-                rows.append((w, means[p] - float(w @ np.array(means[:p]))))
-            out = frame[by].copy()
-            out["_w"], out["_b"] = [list(r[0]) for r in rows], [r[1] for r in rows]
-            yield out
-
-    keys = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
-    fitted = sums.mapInPandas(solve, f"{keys}, _w array<double>, _b double")
-    x = F.array(*(F.col(c).cast("double") for c in features))
-    dot = F.aggregate(F.zip_with(x, "_w", lambda a, b: a * b), F.col("_b"), lambda s, v: s + v)
-    return df.filter(F.col(role) == "test").join(fitted, by, "left").withColumn("predicted", dot).drop("_w", "_b")
+    The train rows are read once and reduced to moments; features that do not vary count as 0. Groups without
+    train rows give null."""
+    fitted = linear.ridge(df.filter(F.col(role) == "train"), by, features, target, alpha)
+    return linear.predict(df.filter(F.col(role) == "test"), fitted, by, features)
 
 
 def best_single(df: DataFrame, by: list[str], model: str, role: str = "role", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
