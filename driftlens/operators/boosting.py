@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.operators.linear import vector
+from driftlens.operators.linear import matrix, vector, whole as finite_rows
 from driftlens.operators.storage import discard, stored
 
 
@@ -102,7 +102,9 @@ def fit(df: DataFrame, by: list[str], features: list[str], target: str, weight:
     if loss == "absolute" and weight is not None:
         raise ValueError("absolute loss takes no weights")
     p = len(features)
-    kept = df.select(*by, vector([*features, target]).alias("_x"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_w")).filter("_x IS NOT NULL AND _w > 0")
+    kept = df.select(*by, vector([*features, target]).alias("_x"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_w"))
+    held_rows = stored(kept)
+    kept = held_rows.filter(finite_rows("_x") & (F.col("_w") > 0))
     groups = [tuple(r[c] for c in by) for r in kept.select(*by).distinct().collect()] if by else [()]
     numbers = {k: i for i, k in enumerate(sorted(groups, key=str))}
     rows = stored(_numbered(kept, by, numbers).select("_m", "_x", "_w"))
@@ -121,7 +123,7 @@ def fit(df: DataFrame, by: list[str], features: list[str], target: str, weight:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m, x = batch.column("_m").to_numpy(), np.stack(batch.column("_x").to_numpy(zero_copy_only=False)).reshape(-1, p + 1)
+            m, x = batch.column("_m").to_numpy(), matrix(batch.column("_x"), p + 1)[0]
             made, w, f = np.zeros((len(m), p), np.uint8), batch.column("_w").to_numpy().copy(), np.zeros(len(m))
             for i in np.unique(m).tolist():
                 at = m == i
@@ -131,7 +133,7 @@ def fit(df: DataFrame, by: list[str], features: list[str], target: str, weight:
 
     columns = "_m int, _y double, _w double, _f double, _b binary"
     table = stored(rows.mapInArrow(cut_up, columns))
-    discard(rows)
+    discard(rows, held_rows)
     trees: dict[int, list[Tree]] = {i: [] for i in numbers.values()}
     pending: dict[int, list[Tree]] = {i: [] for i in numbers.values()}
 
@@ -253,14 +255,13 @@ def predict(df: DataFrame, model: Model, by: list[str], into: str = "predicted")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = batch.column("_m").to_numpy()
-            there = batch.column("_x").is_valid().to_numpy(zero_copy_only=False)
+            x, there = matrix(batch.column("_x"), p)
             out = np.full(batch.num_rows, np.nan)
             for i in np.unique(m).tolist():
                 at = np.flatnonzero((m == i) & there)
                 if i < 0 or not len(at):
                     continue
-                x = np.stack(batch.column("_x").take(pa.array(at)).to_numpy(zero_copy_only=False)).reshape(-1, p)
-                b, f = _binned(x, model.edges[i]), np.full(len(at), model.base[i])
+                b, f = _binned(x[at], model.edges[i]), np.full(len(at), model.base[i])
                 for tree in model.trees[i]:
                     f += tree.predict(b)
                 out[at] = 1 / (1 + np.exp(-f)) if model.loss == "logistic" else f

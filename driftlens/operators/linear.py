@@ -14,18 +14,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.operators.storage import cut
+from driftlens.operators.storage import cut, stored
 
 #: Numbers of moments a task holds before it hands them on.
 HELD = 1 << 22
-#: How many numbers are summed at a time for the products of a batch.
 _MOMENTS = "_n double, _w double, _umean array<double>, _usquares array<double>, _mean array<double>, _scatter array<double>"
 
 
 def vector(features: list[str]) -> Column:
-    """The features as one array of doubles; null if any is missing or not finite."""
-    whole = F.array(*(F.col(c).cast("double") for c in features))
-    return F.when(F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), whole)
+    """The features as one array of doubles."""
+    return F.array(*(F.col(c).cast("double") for c in features))
+
+
+def whole(x: str) -> Column:
+    """Whether an array column has only finite numbers."""
+    return F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+
+
+def matrix(column: pa.Array, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of p numbers, NaN for null; whether each row is finite) of an array column."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, p)
+    return flat, np.isfinite(flat).all(1)
 
 
 def _keyed(by: list[str]) -> Column:
@@ -50,7 +59,8 @@ def _of(x: np.ndarray, w: np.ndarray) -> tuple:
 def moments(df: DataFrame, by: list[str], features: list[str], target: str, weight: str | None = None) -> DataFrame:
     """(by, moments) of the features and, last, the target; weights must be positive."""
     kept = df.withColumns({"_x": vector([*features, target]), "_v": F.lit(1.0) if weight is None else F.col(weight).cast("double")})
-    kept = kept.filter(F.col("_x").isNotNull() & (F.col("_v") > 0)).select(F.to_json(_keyed(by)).alias("_key"), *by, "_x", "_v")
+    # rows are judged within the task: a filter here would work out costly features twice
+    kept = kept.select(F.to_json(_keyed(by)).alias("_key"), *by, "_x", "_v")
     p = len(features) + 1
     schema = pa.schema([("_n", pa.float64()), ("_w", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("_umean", "_usquares", "_mean", "_scatter"))])
 
@@ -66,8 +76,14 @@ def moments(df: DataFrame, by: list[str], features: list[str], target: str, weig
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack(batch.column("_x").to_numpy(zero_copy_only=False)).reshape(-1, p)
-            w, codes = batch.column("_v").to_numpy(), batch.column("_key").dictionary_encode()
+            x, ok = matrix(batch.column("_x"), p)
+            w = batch.column("_v").to_numpy(zero_copy_only=False)
+            ok &= w > 0
+            if not ok.all():
+                batch, x, w = batch.filter(pa.array(ok)), x[ok], w[ok]
+                if not len(x):
+                    continue
+            codes = batch.column("_key").dictionary_encode()
             place = codes.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(place, kind="stable")
             edges = np.searchsorted(place[order], np.arange(len(codes.dictionary) + 1))
@@ -152,7 +168,8 @@ def elastic_net(df: DataFrame, by: list[str], features: list[str], target: str =
 
 def linear(features: list[str]) -> Column:
     """intercept + coefficients times features; null where a feature is missing."""
-    return F.aggregate(F.zip_with(vector(features), "_coef", lambda a, b: a * b), F.col("_intercept"), lambda s, v: s + v)
+    part = lambda a, b: F.when(F.abs(a) < float("inf"), a * b)
+    return F.aggregate(F.zip_with(vector(features), "_coef", part), F.col("_intercept"), lambda s, v: s + v)
 
 
 def predict(df: DataFrame, fitted: DataFrame, by: list[str], features: list[str], into: str = "predicted") -> DataFrame:
@@ -169,7 +186,7 @@ def logistic(df: DataFrame, by: list[str], features: list[str], target: str = "l
     Groups of one class have no fit."""
     p = len(features)
     keyed = "".join(f"{k} {t}, " for k, t in df.select(*by).dtypes)
-    rows = df.withColumn("_x", vector([*features, target])).filter("_x IS NOT NULL").select(*by, "_x")
+    rows = stored(df.select(*by, vector([*features, target]).alias("_x"))).filter(whole("_x"))
     y = F.element_at("_x", -1)
     stats = moments(df, by, features, target).select(*by, "_n", "_umean", "_usquares").join(rows.groupBy(*by).agg(F.sum(y).alias("_ones")), by) if by else moments(df, by, features, target).crossJoin(rows.agg(F.sum(y).alias("_ones")))
     stats = stats.filter((F.col("_ones") > 0) & (F.col("_ones") < F.col("_n"))).select(*by, "_n", "_ones", F.slice("_umean", 1, p).alias("_umean"), F.slice("_usquares", 1, p).alias("_usquares"))
@@ -219,8 +236,8 @@ def logistic(df: DataFrame, by: list[str], features: list[str], target: str = "l
         parts = join(rows, state.filter(~F.col("_done"))).mapInPandas(sums, keyed + "_sums array<double>")
         # a row a batch and group: the sums of arrays are taken element by element
         at = parts.select(*by, F.posexplode("_sums").alias("_i", "_s")).groupBy(*by, "_i").agg(F.sum("_s").alias("_s"))
-        whole = at.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda v: v["_s"]).alias("_sums"))
-        state = cut(join(state.filter(~F.col("_done")), whole).mapInPandas(stepped, state.schema).unionByName(state.filter("_done")))
+        summed = at.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda v: v["_s"]).alias("_sums"))
+        state = cut(join(state.filter(~F.col("_done")), summed).mapInPandas(stepped, state.schema).unionByName(state.filter("_done")))
     else:
         raise RuntimeError(f"Newton steps did not settle within {most}")
     coef = F.zip_with(F.slice("_at", 1, p), "_sd", lambda a, s: a / s)

@@ -14,7 +14,7 @@ from driftlens.operators.metrics import finite
 from driftlens.operators.storage import discard, stored
 
 
-def sparse_ridge(entries: DataFrame, rows: DataFrame, by: list[str], row: str, alpha: float = 20.0, target: str = "observed", tolerance: float = 1e-9, most: int = 300) -> tuple[DataFrame, DataFrame]:
+def sparse_ridge(entries: DataFrame, rows: DataFrame, by: list[str], row: str, alpha: float = 20.0, target: str = "observed", tolerance: float = 1e-8, most: int = 300) -> tuple[DataFrame, DataFrame]:
     """((by, feature, weight), (by, mean_target, shift)): the prediction of a row is mean_target - shift + its entries
     times weights.
 

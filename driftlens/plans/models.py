@@ -104,7 +104,7 @@ def ml_out_of_group(spark, d):
 
 
 def pl_crossfit(spark, d):
-    made = crossfit.cross_fit(_tasks(spark, d), COLUMNS, folds=3, inner=3, candidates=(SMALL | {"rounds": 2}, SMALL | {"rounds": 2, "leaves": 3}), settings=SMALL | {"rounds": 2})
+    made = crossfit.cross_fit(_tasks(spark, d), COLUMNS, folds=3, inner=3, coverage=0.5, candidates=(SMALL | {"rounds": 2}, SMALL | {"rounds": 2, "leaves": 3}), settings=SMALL | {"rounds": 2})
     return made.select("fold", "candidate", "family_id", *TASK, "gain", "predicted", "prior", "scale", "decision", "quantile", "lower", "selected", "confidence", "trusted")
 
 
