@@ -78,3 +78,22 @@ def joint(development: DataFrame, targets: DataFrame, edges: DataFrame, node: st
     held = known.select(F.col("a").alias(node)).unionByName(known.select(F.col("b").alias(node))).distinct().withColumn("_held", F.lit(True))
     rows = targets.select(node).distinct().join(found, node).join(held, node, "left")
     return rows.select(node, F.when(F.col("_held"), F.col("component").cast("string")).otherwise("undocumented").alias("family"))
+
+
+def families(nodes: DataFrame, alignments: DataFrame, identity: float, coverage: float, node: str = "node", prefix: str = "sf_") -> tuple[DataFrame, DataFrame]:
+    """((node, family_id, family_size), alignments with qualifies, a_family, b_family): components over alignments(a, b,
+    identity, coverage_a, coverage_b) that reach the identity and both coverages.
+
+    A family's id is a digest of its sorted members, so that it does not hang on any one node's name; a family's
+    members meet in one row for it. A qualifying alignment that crosses families raises."""
+    able = (F.col("identity") >= identity) & (F.col("coverage_a") >= coverage) & (F.col("coverage_b") >= coverage)
+    marked = alignments.withColumn("qualifies", F.coalesce(able, F.lit(False)))
+    found = stored(components(nodes.select(node).distinct(), marked.filter("qualifies").select("a", "b"), node))
+    members = F.sort_array(F.collect_set(F.col(node).cast("string")))
+    named = found.groupBy("component").agg(F.concat(F.lit(prefix), F.substr(F.sha2(F.array_join(members, "|"), 256), F.lit(1), F.lit(12))).alias("family_id"), F.count(F.lit(1)).alias("family_size"))
+    made = stored(found.join(named, "component").select(node, "family_id", "family_size"))
+    end = lambda c: made.select(F.col(node).alias(c), F.col("family_id").alias(f"{c}_family"))
+    audited = marked.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    crossing = F.col("qualifies") & (F.col("a_family") != F.col("b_family"))
+    checked = F.when(crossing, F.raise_error(F.lit("a qualifying alignment crosses families")).cast("boolean")).otherwise(F.col("qualifies"))
+    return made, audited.withColumn("qualifies", checked)

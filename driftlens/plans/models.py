@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.codes import RESIDUES, draw
-from driftlens.operators import boosting, crossfit, encoding, linear, metrics, resampling, sparse, splits, supervised
+from driftlens.operators import adapters, crossfit, discovery, encoding, graph, linear, metrics, resampling, sparse, splits, supervised
+from driftlens.operators.storage import shared_folder
 from driftlens.plans.bindings import items, scores
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _SCORES, TASK, _ranked, _round
 
@@ -179,11 +181,67 @@ def b_policy_difference(spark, d):
     return _round(made, "point", "lower", "upper", "above_zero", digits=6)
 
 
+# unknown layouts, resumable scores, families
+
+UNKNOWN = ["Mutant Code", "label", "variant_note", "Activity (A)", "site_score", "other", "constant effect"]
+
+
+def _unknown(spark, d):
+    """Every assay's items in columns of unclear names, some of them decoys, and some empty in some assays."""
+    n, p = F.substr("assay_id", F.lit(2)).cast("int"), F.col("position")
+    cells = [
+        F.when(n % 3 != 0, F.col("code")), F.when(n % 3 == 0, F.concat(F.lit("p."), "code")).otherwise(F.concat(F.lit("n"), p.cast("string"))), F.when(p % 5 == 0, F.col("code")).otherwise("x"),
+        F.when((n % 4 != 0) & (p % 7 != 0), F.floor("observed").cast("string")), p.cast("string"), F.col("qty").cast("string"), F.lit("1"),
+    ]
+    return items(spark, d).select("assay_id", *(c.alias(name) for c, name in zip(cells, UNKNOWN, strict=True)), F.lit(RESIDUES * 3).alias("sequence"), F.when(n % 2 == 0, 1).otherwise(-1).alias("direction"))
+
+
+def a_venus_canonical(spark, d):
+    """Columns chosen in each assay's table of unknown layout, and its substitutions with their median outcome."""
+    rows = _unknown(spark, d)
+    chosen = discovery.choose_columns(rows, ["assay_id"], UNKNOWN, "sequence", "assay_id")
+    made = discovery.canonical(rows, chosen, ["assay_id"], UNKNOWN, "sequence", "direction")
+    return made.join(chosen, "assay_id").select("assay_id", "mutation_column", "outcome_column", "variant_id", F.round("effect", 4).alias("effect"), "source_rows")
+
+
+class Doubled:
+    """A scorer for the query below: twice the place, nothing for every sixth place, and some targets it cannot do."""
+
+    model_id, model_version = "doubled", "1"
+
+    def score_target(self, target, variants):
+        if int(target["target_id"][1:]) % 17 == 3:
+            raise RuntimeError("no scores")
+        place = variants["variant_id"].str.slice(1, -1).astype(int)
+        return variants.assign(score=place * 2.0)[place % 6 != 0]
+
+
+def io_score_panel(spark, d):
+    """The audit of a scoring run that finds the scores of half of its targets from an earlier one."""
+    rows = items(spark, d).select(F.lit("panel").alias("panel_id"), F.col("assay_id").alias("target_id"), F.col("code").alias("variant_id"))
+    targets = rows.select("target_id").distinct().select("target_id", F.lit(RESIDUES * 3).alias("sequence"), F.sha2(F.lit(RESIDUES * 3), 256).alias("sequence_sha256"))
+    store = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    adapters.score_panel(Doubled(), targets.filter(F.substr("target_id", F.lit(2)).cast("int") % 2 == 0), rows, "first", store)
+    made, audit = adapters.score_panel(Doubled(), targets, rows, "second", store)
+    sums = made.groupBy("target_id").agg(F.sum("score").alias("total"))
+    return audit.join(sums, "target_id", "left").select("target_id", "cache_hit", "variants", F.round("coverage", 9).alias("coverage"), "status", "error", "total")
+
+
+def g_families(spark, d):
+    """Families of suppliers over a chained graph whose edges must reach an identity and both coverages."""
+    k = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{d}/supplier.parquet")
+    edges = rows.select(k.alias("a"), (k + k % 9 + 1).alias("b"), (k * 13 % 100 / 100).alias("identity"), (k * 29 % 100 / 100).alias("coverage_a"), (k * 17 % 100 / 100).alias("coverage_b"))
+    made, audited = graph.families(rows.select(k.alias("node")), edges, 0.3, 0.3)
+    kept = audited.filter("qualifies AND b_family IS NOT NULL").groupBy(F.col("a_family").alias("family_id")).agg(F.count(F.lit(1)).alias("edges"))
+    return made.join(kept, "family_id", "left").select("node", "family_id", "family_size", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ml_additive_ridge, f_cross_protein, ml_pooled, run_group_holdout, run_assays, run_repeated, ml_transport, ml_param_search, ml_out_of_group, pl_crossfit, ml_winner, m_geometry,
-        f_impute_encode, pl_policy_search, c_selected_lower, pl_abstain_scores, b_nested_external, b_policy_difference,
+        f_impute_encode, pl_policy_search, c_selected_lower, pl_abstain_scores, b_nested_external, b_policy_difference, a_venus_canonical, io_score_panel, g_families,
     )
 }
 
@@ -282,4 +340,21 @@ e AS (SELECT side, rep, {_STRIPS.format('regret')} AS regret_area, {_STRIPS.form
 v AS ({' UNION ALL '.join(f"SELECT '{n}' AS endpoint, rep, max({n}) FILTER (side = 'other') - max({n}) FILTER (side = 'ours') AS v FROM e GROUP BY rep" for n in ('regret_area', 'risk_area'))}),
 pt AS ({' UNION ALL '.join(f"SELECT '{n}' AS endpoint, max({n}) FILTER (side = 'other') - max({n}) FILTER (side = 'ours') AS p FROM ep" for n in ('regret_area', 'risk_area'))})
 SELECT endpoint, round(max(p), 6) AS point, {_LIMIT}, round(avg((v > 0)::INT::DOUBLE), 6) AS above_zero FROM v JOIN pt USING (endpoint) GROUP BY 1""",
+    "a_venus_canonical": f"""WITH items AS ({_ITEMS}), u AS (SELECT *, substr(assay_id, 2)::INT AS n, repeat('{RESIDUES}', 3) AS seq FROM items),
+c AS (SELECT row_number() OVER () AS r, assay_id, n, seq, CASE WHEN n % 3 <> 0 THEN code END AS c1, CASE WHEN n % 3 = 0 THEN 'p.' || code ELSE 'n' || position END AS c2, CASE WHEN position % 5 = 0 THEN code ELSE 'x' END AS c3,
+  CASE WHEN n % 4 <> 0 AND position % 7 <> 0 THEN floor(observed)::BIGINT::VARCHAR END AS c4, position::VARCHAR AS c5, qty::VARCHAR AS c6, '1' AS c7 FROM u),
+l AS ({" UNION ALL ".join(f"SELECT r, assay_id, n, seq, '{name}' AS col, {hint} AS hinted, {priority} AS priority, c{i + 1} AS v FROM c" for i, (name, hint, priority) in enumerate((("Mutant Code", 1, 0), ("label", 0, 0), ("variant_note", 1, 0), ("Activity (A)", 0, 1), ("site_score", 0, -1), ("other", 0, 0), ("constant effect", 0, 1))))}),
+q AS (SELECT *, regexp_replace(v, '^p[.]', '') AS b, try_cast(v AS DOUBLE) AS x FROM l), w AS (SELECT *, CASE WHEN regexp_full_match(b, '[A-Z][1-9][0-9]*[A-Z]') AND substr(seq, substr(b, 2, length(b) - 2)::INT, 1) = b[1] AND b[1] <> b[-1] THEN b END AS code FROM q),
+pr AS (SELECT assay_id, col, any_value(hinted) AS hinted, any_value(priority) AS priority, count(code) AS valid, count(x) AS finite, min(x) < max(x) AS varied FROM w GROUP BY ALL),
+mu AS (SELECT assay_id, col AS mutation_column FROM pr WHERE valid > 0 QUALIFY row_number() OVER (PARTITION BY assay_id ORDER BY hinted DESC, valid DESC, col) = 1),
+ou AS (SELECT assay_id, mutation_column, col AS outcome_column FROM pr JOIN mu USING (assay_id) WHERE col <> mutation_column AND finite >= 3 AND varied QUALIFY row_number() OVER (PARTITION BY assay_id ORDER BY priority DESC, finite DESC, col) = 1),
+e AS (SELECT o.*, a.code AS variant_id, b.x * CASE WHEN a.n % 2 = 0 THEN 1 ELSE -1 END AS effect FROM ou o JOIN w a ON a.assay_id = o.assay_id AND a.col = o.mutation_column JOIN w b ON b.r = a.r AND b.col = o.outcome_column WHERE a.code IS NOT NULL AND b.x IS NOT NULL)
+SELECT assay_id, mutation_column, outcome_column, variant_id, round(median(effect), 4) AS effect, count(*) AS source_rows FROM e GROUP BY ALL""",
+    "io_score_panel": f"""WITH items AS ({_ITEMS}), t AS (SELECT assay_id AS target_id, substr(assay_id, 2)::INT AS n, count(*) AS variants, count(*) FILTER (position % 6 <> 0) AS found, sum(position * 2.0::DOUBLE) FILTER (position % 6 <> 0) AS total FROM items GROUP BY ALL)
+SELECT target_id, n % 2 = 0 AND n % 17 <> 3 AS cache_hit, variants, CASE WHEN n % 17 = 3 THEN 0.0::DOUBLE ELSE round(found / variants::DOUBLE, 9) END AS coverage, CASE WHEN n % 17 = 3 THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN n % 17 = 3 THEN 'RuntimeError: no scores' ELSE '' END AS error, CASE WHEN n % 17 <> 3 THEN total END AS total FROM t""",
+    "g_families": """WITH RECURSIVE n AS (SELECT s_suppkey AS node FROM supplier), l AS (SELECT s_suppkey AS a, s_suppkey + s_suppkey % 9 + 1 AS b FROM supplier WHERE s_suppkey * 13 % 100 >= 30 AND s_suppkey * 29 % 100 >= 30 AND s_suppkey * 17 % 100 >= 30),
+k AS (SELECT * FROM l WHERE b IN (SELECT node FROM n)), both_ways AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT node, node AS reach FROM n UNION SELECT r.node, w.b FROM r JOIN both_ways w ON r.reach = w.a),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1), f AS (SELECT component, 'sf_' || substr(sha256(string_agg(node::VARCHAR, '|' ORDER BY node::VARCHAR)), 1, 12) AS family_id, count(*) AS family_size FROM c GROUP BY 1),
+e AS (SELECT component, count(*) AS edges FROM k JOIN c ON c.node = k.a GROUP BY 1) SELECT node, family_id, family_size, coalesce(edges, 0) AS edges FROM c JOIN f USING (component) LEFT JOIN e USING (component)""",
 }

@@ -384,3 +384,107 @@ def test_a_sample_of_one(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 7)], "g string, i int")
     assert sorted((r["g"], r["i"]) for r in contracts.linspace_sample(df, ["g"], "i", 1).collect()) == [("a", 0), ("b", 7)]
     assert sorted(r["i"] for r in contracts.linspace_sample(df, ["g"], "i", 3).filter("g = 'a'").collect()) == [0, 2, 4]
+
+
+def test_columns_of_unknown_tables_are_found(spark):
+    from driftlens.operators import discovery
+
+    rows = [("t1", "A1C", "3", "1.5", "7"), ("t1", "p.Cys2Asp", "2", "2.5", "7"), ("t1", "A1C", "1", "3.5", "7"), ("t1", "C2C", "4", "x", "7"), ("t2", "zz", "1", "1", "7"), ("t3", "A1D", "1", "NaN", "7"), ("t3", "A1C", "1", None, "7")]
+    df = spark.createDataFrame([(*r, "ACD", -1) for r in rows], "t string, mut string, position string, `my value` string, same string, seq string, sign int")
+    columns = ["mut", "position", "my value", "same"]
+    chosen = discovery.choose_columns(df, ["t"], columns, "seq", "t")
+    assert {r["t"]: tuple(r)[1:] for r in chosen.collect()} == {
+        "t1": ("mut", "my value", None), "t2": (None, None, "no column of single substitutions"), "t3": ("mut", None, "no finite outcome that varies"),
+    }
+    got = {tuple(r) for r in discovery.canonical(df, chosen, ["t"], columns, "seq", "sign").collect()}
+    assert got == {("t1", "A1C", -2.5, 2), ("t1", "C2D", -2.5, 1)}
+
+
+def test_scoring_resumes(spark, tmp_path):
+    from driftlens.operators import adapters
+
+    class Counting:
+        model_id, model_version = "counting", "1"
+
+        def __init__(self, folder, bad=(), twice=()):
+            self.folder, self.bad, self.twice = folder, bad, twice
+
+        def score_target(self, target, variants):
+            (self.folder / f"{target['target_id']}-{random.random()}").touch()
+            if target["target_id"] in self.bad:
+                raise RuntimeError("down")
+            made = variants.assign(score=[len(v) * 1.0 if v != "A9C" else None for v in variants["variant_id"]])
+            return pd.concat([made, made]) if target["target_id"] in self.twice else made
+
+    targets = spark.createDataFrame([(f"t{i}", "ACD", f"sha{i}") for i in range(4)], "target_id string, sequence string, sequence_sha256 string")
+    variants = spark.createDataFrame([("p", f"t{i}", v) for i in range(4) for v in ("A1C", "C12D", "A9C")], "panel_id string, target_id string, variant_id string")
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    store = str(tmp_path / "store")
+    count = lambda: len(list(seen.iterdir()))
+    made, audit = adapters.score_panel(Counting(seen, bad=("t2",), twice=("t3",)), targets, variants, "x", store)
+    first = {r["target_id"]: r for r in audit.collect()}
+    assert count() == 4 and {k: (r["cache_hit"], r["status"], r["coverage"]) for k, r in first.items()} == {"t0": (False, "ok", 2 / 3), "t1": (False, "ok", 2 / 3), "t2": (False, "failed", 0.0), "t3": (False, "failed", 0.0)}
+    assert first["t2"]["error"] == "RuntimeError: down" and "twice" in first["t3"]["error"] and made.count() == 6
+    made, audit = adapters.score_panel(Counting(seen), targets, variants, "x", store)
+    assert count() == 6 and sorted(r["target_id"] for r in audit.filter("cache_hit").collect()) == ["t0", "t1"]
+    made, audit = adapters.score_panel(Counting(seen), targets, variants, "x", store)
+    assert count() == 6 and audit.filter("NOT cache_hit").count() == 0 and made.filter("status = 'ok'").count() == 8
+    adapters.score_panel(Counting(seen), targets, variants.filter("variant_id <> 'A1C' OR target_id <> 't1'"), "x", store)
+    assert count() == 7
+    with pytest.raises(RuntimeError, match="failed on every target"):
+        adapters.score_panel(Counting(seen, bad=("t0",)), targets.filter("target_id = 't0'"), variants, "x", str(tmp_path / "other"))
+
+
+def test_families_of_a_chain(spark):
+    import hashlib
+
+    from driftlens.operators import graph
+
+    nodes = spark.createDataFrame([(i,) for i in range(8)], "node int")
+    edges = [(0, 1, 0.9, 0.9, 0.9), (2, 1, 0.9, 0.8, 0.8), (2, 3, 0.9, 0.9, 0.7), (4, 5, 0.5, 1.0, 1.0), (3, 6, None, 1.0, 1.0), (6, 7, 0.6, 0.8, 0.8), (6, 99, 1.0, 1.0, 1.0)]
+    made, audited = graph.families(nodes, spark.createDataFrame(edges, "a int, b int, identity double, coverage_a double, coverage_b double"), 0.6, 0.8)
+    name = lambda *m: "sf_" + hashlib.sha256("|".join(map(str, m)).encode()).hexdigest()[:12]
+    got = {r["node"]: (r["family_id"], r["family_size"]) for r in made.collect()}
+    assert got == {0: (name(0, 1, 2), 3), 1: (name(0, 1, 2), 3), 2: (name(0, 1, 2), 3), 3: (name(3), 1), 4: (name(4), 1), 5: (name(5), 1), 6: (name(6, 7), 2), 7: (name(6, 7), 2)}
+    assert sorted((r["a"], r["b"]) for r in audited.filter("qualifies").collect()) == [(0, 1), (2, 1), (6, 7), (6, 99)]
+
+
+def test_pooled_models_weigh_assays_and_leave_groups_out(spark):
+    from driftlens.operators import supervised
+
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(160):
+        assay = i % 8 if i < 80 else 0
+        a, b = r.normal(), r.normal()
+        rows.append((f"P{assay // 2}", f"A{assay}", i, float(a), float(b), float(a - 0.5 * b + r.normal(0, 0.1))))
+    df = spark.createDataFrame(rows, "protein string, assay string, row int, a double, s double, target double")
+    got = supervised.pooled(df, ["a", "s"], ["s"], "protein", "assay", folds=4, settings={"rounds": 2, "least": 5, "leaves": 3, "depth": 2}).toPandas()
+    assert got.groupby("model").size().to_dict() == {m: 160 for m in ("ridge", "boosted", "ridge_mutation_only", "boosted_mutation_only")}
+    table_ = pd.DataFrame(rows, columns=["protein", "assay", "row", "a", "s", "target"])
+    own = got[got["model"] == "ridge"]
+    for fold, part in own.groupby("fold"):
+        train = table_[~table_["protein"].isin(part["protein"])]
+        w = (1 / train.groupby("assay")["row"].transform("size")).to_numpy()
+        w = w / w.mean()
+        x = train[["a", "s"]].to_numpy()
+        z = (x - x.mean(0)) / x.std(0)
+        zc, yc = z - np.average(z, axis=0, weights=w), train["target"].to_numpy() - np.average(train["target"], weights=w)
+        coef = np.linalg.solve((zc * w[:, None]).T @ zc + 10 * np.eye(2), (zc * w[:, None]).T @ yc) / x.std(0)
+        want = np.average(train["target"], weights=w) + (part[["a", "s"]].to_numpy() - np.average(x, axis=0, weights=w)) @ coef
+        assert np.allclose(part["predicted"], want)
+
+
+def test_win_summary(spark):
+    from driftlens.operators import supervised
+
+    r = random.Random(3)
+    rows = [("m", f"g{i % 6}", r.randint(0, 1), round(r.random(), 1)) for i in range(90)]
+    got = supervised.win_summary(spark.createDataFrame(rows, "model string, g string, label int, probability double"), "g").first()
+    pairs = [(p > q) + 0.5 * (p == q) for _, _, a, p in rows if a for _, _, b, q in rows if not b]
+    right = [(g, a, a == (p >= 0.5)) for _, g, a, p in rows]
+    assert math.isclose(got["roc_auc"], np.mean(pairs))
+    assert math.isclose(got["brier"], np.mean([(p - a) ** 2 for *_, a, p in rows]))
+    assert math.isclose(got["balanced_accuracy"], (np.mean([c for _, a, c in right if a]) + np.mean([c for _, a, c in right if not a])) / 2)
+    assert math.isclose(got["mean_group_accuracy"], np.mean([np.mean([c for h, _, c in right if h == g]) for g in {g for g, *_ in right}]))
