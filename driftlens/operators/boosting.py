@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.operators.linear import matrix, vector, whole as finite_rows
+from driftlens.functions.codes import draw
+from driftlens.operators.linear import matrix, vector
+from driftlens.operators.linear import whole as finite_rows
 from driftlens.operators.storage import discard, stored
 
 
@@ -93,12 +95,13 @@ def _numbered(df: DataFrame, by: list[str], numbers: dict[tuple, int]) -> DataFr
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), by)
 
 
-def fit(df: DataFrame, by: list[str], features: list[str], target: str, weight: str | None = None, rounds: int = 150, rate: float = 0.05, leaves: int = 31, least: int = 40, l2: float = 1.0, bins: int = 64, depth: int = 6, loss: str = "squared", keep: int = 10) -> Model:
+def fit(df: DataFrame, by: list[str], features: list[str], target: str, weight: str | None = None, rounds: int = 150, rate: float = 0.05, leaves: int = 31, least: int = 40, l2: float = 1.0, bins: int = 64, depth: int = 6, loss: str = "squared", keep: int = 10, drawn: tuple[int, float] | None = None) -> Model:
     """Boosted trees of each group's rows. Rows without a finite target or feature take no part.
 
     loss: squared, absolute (leaves take the median residual; no weights) or logistic (target 0 or 1). Trees are grown
     to `depth` levels and pruned to the `leaves` that best-first growth takes. Every `keep` rounds the sums of the
-    trees so far are written with the rows, so that a pass evaluates at most `keep` trees."""
+    trees so far are written with the rows, so that a pass evaluates at most `keep` trees.
+    drawn: (seed, share) - a node tries one drawn bin of each of a drawn share of the features, in place of all."""
     if loss == "absolute" and weight is not None:
         raise ValueError("absolute loss takes no weights")
     p = len(features)
@@ -182,6 +185,14 @@ def fit(df: DataFrame, by: list[str], features: list[str], target: str, weight:
         whole = Window.partitionBy("_m", "node", "feature")
         left = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         rows_ = hist.select("_m", "node", "feature", "bin", *(F.sum(c).over(left).alias(f"{c}l") for c in ("n", "g", "h")), *(F.sum(c).over(whole).alias(c) for c in ("n", "g", "h")))
+        if drawn is not None:
+            # a place between a node's least and largest bin of the feature, the same on any cluster
+            at = lambda *what: draw(drawn[0], *what, F.col("_m"), F.col("node"), F.col("feature")) / F.lit(2.0**32)
+            low, high = F.min("bin").over(whole), F.max("bin").over(whole)
+            rows_ = rows_.withColumns({"_cut": low + at("cut") * (high - low), "_turn": at("feature")})
+            rows_ = rows_.withColumn("_at", F.max(F.when(F.col("bin") <= F.col("_cut"), F.col("bin"))).over(whole)).filter("bin = _at")
+            turn = F.row_number().over(Window.partitionBy("_m", "node").orderBy("_turn", "feature"))
+            rows_ = rows_.withColumn("_i", turn).filter(F.col("_i") <= max(1, round(drawn[1] * p)))
         gr, hr = F.col("g") - F.col("gl"), F.col("h") - F.col("hl")
         gain = F.col("gl") ** 2 / (F.col("hl") + l2) + gr**2 / (hr + l2) - F.col("g") ** 2 / (F.col("h") + l2)
         able = rows_.filter((F.col("nl") >= least) & (F.col("n") - F.col("nl") >= least)).withColumn("gain", F.round(gain, 9)).filter("gain > 0")
@@ -268,3 +279,23 @@ def predict(df: DataFrame, model: Model, by: list[str], into: str = "predicted")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, mask=np.isnan(out))], [*names, into])
 
     return known.select(*names, "_x", "_m").mapInArrow(run, T.StructType([*schema.fields, T.StructField(into, T.DoubleType())]))
+
+
+def forest(train: DataFrame, test: DataFrame, by: list[str], features: list[str], target: str, weight: str | None = None, trees: int = 250, share: float = 0.7, least: int = 3, depth: int = 8, bins: int = 64, seed: int = 1, into: str = "predicted") -> DataFrame:
+    """test with the mean of randomised trees of its group: every tree sees all train rows, and each node tries one drawn cut of
+    each of a drawn share of the features. All trees of a level grow in one pass; they are held on the driver."""
+    numbered = lambda df: df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    model = fit(numbered(train), [*by, "_tree"], features, target, weight, rounds=1, rate=1.0, leaves=2**depth, least=least, l2=0.0, bins=bins, depth=depth, drawn=(seed, share))
+    rows = test.withColumn("_id", F.monotonically_increasing_id())
+    rows = stored(rows)
+    made = predict(numbered(rows.select(*by, "_id", *(c for c in features if c not in by))), model, [*by, "_tree"], "_one").groupBy("_id").agg(F.avg("_one").alias(into))
+    return rows.join(made, "_id").drop("_id")
+
+
+def components(train: DataFrame, test: DataFrame, by: list[str], parts: dict[str, tuple[str, list[str]]], panel: str, **settings: object) -> DataFrame:
+    """test with a column for each part: a forest of its (target, features), panels weighing the same as each other."""
+    weighted = train.withColumn("_weight", 1 / F.count(F.lit(1)).over(Window.partitionBy(*by, panel)))
+    weighted, out = stored(weighted), test
+    for name, (target, features) in parts.items():
+        out = stored(forest(weighted, out, by, features, target, "_weight", into=name, **settings))
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.codes import RESIDUES, draw
-from driftlens.operators import adapters, crossfit, discovery, encoding, graph, linear, metrics, resampling, sparse, splits, supervised
+from driftlens.operators import adapters, boosting, crossfit, discovery, encoding, graph, linear, metrics, resampling, sparse, splits, supervised
 from driftlens.operators.storage import shared_folder
 from driftlens.plans.bindings import items, scores
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _SCORES, TASK, _ranked, _round
@@ -110,6 +110,17 @@ def pl_crossfit(spark, d):
     return made.select("fold", "candidate", "family_id", *TASK, "gain", "predicted", "prior", "scale", "decision", "quantile", "lower", "selected", "confidence", "trusted")
 
 
+def ml_components(spark, d):
+    """Four forests of regret and gain with balanced panels, for the families left out. Held against a twin in tests."""
+    n = F.substr("family_id", F.lit(2)).cast("int")
+    own = crossfit.Window.partitionBy("assay_id")
+    rows = _tasks(spark, d).withColumns({"panel": F.substr("protein_id", F.lit(2)).cast("int") % 3, "regret": F.max("gain").over(own) - F.col("gain"), "test": n % 4 == 0})
+    shapes, meta = ["f1", "f2"], ["f3", "protein_length"]
+    parts = {"p_regret": ("regret", shapes), "p_gain_meta": ("gain", meta), "p_gain_all": ("gain", [*meta, *shapes]), "p_gain_shape": ("gain", shapes)}
+    made = boosting.components(rows.filter("NOT test"), rows.filter("test"), [], parts, "panel", trees=10, depth=4)
+    return _round(made.select("family_id", *TASK, "gain", "regret", *parts), *parts, digits=6)
+
+
 def ml_winner(spark, d):
     """Whether one predictor gains more than another in an assay, judged by families left out."""
     wide = _tasks(spark, d).groupBy("family_id", "protein_id", "assay_id").pivot("model_id", ["qty", "disc", "tax"]).agg(F.max("gain").alias("gain"), F.max("f1").alias("f1"), F.max("f2").alias("f2"))
@@ -240,7 +251,7 @@ def g_families(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        ml_additive_ridge, f_cross_protein, ml_pooled, run_group_holdout, run_assays, run_repeated, ml_transport, ml_param_search, ml_out_of_group, pl_crossfit, ml_winner, m_geometry,
+        ml_additive_ridge, f_cross_protein, ml_pooled, run_group_holdout, run_assays, run_repeated, ml_transport, ml_param_search, ml_out_of_group, pl_crossfit, ml_components, ml_winner, m_geometry,
         f_impute_encode, pl_policy_search, c_selected_lower, pl_abstain_scores, b_nested_external, b_policy_difference, a_venus_canonical, io_score_panel, g_families,
     )
 }

@@ -217,6 +217,50 @@ def test_boosting_equals_its_twin(data, frame, loss, target, weight, keep):
         boosting.fit(frame, ["grp"], X, "y", "w", loss="absolute")
 
 
+def test_forests_equal_their_twin(spark, data):
+    import hashlib
+
+    rows = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in data[["row", "a", "b", "c", "y", "w"]].itertuples(index=False)]
+    df = spark.createDataFrame(rows, "row int, a double, b double, c double, y double, w double").repartition(3)
+    settings = {"trees": 3, "share": 0.67, "least": 6, "depth": 3, "bins": 16}
+    got = {r["row"]: r["predicted"] for r in boosting.forest(df, df, [], X, "y", "w", **settings).collect()}
+    x, y, w = data[X].to_numpy(), data["y"].to_numpy(), data["w"].to_numpy() / data["w"].mean()
+    edges = []
+    for j in range(3):
+        s = np.sort(x[:, j])
+        edges.append(sorted({s[max(0, math.ceil(i / 16 * len(s)) - 1)] for i in range(1, 16)}))
+    b = np.array([[sum(v > e for e in edges[j]) for j, v in enumerate(row)] for row in x])
+    hit = lambda *v: int(hashlib.md5("|".join(map(str, (1, *v))).encode()).hexdigest()[:8], 16) / 2**32
+    base = (w @ y) / w.sum()
+    g = (base - y) * w
+    total = np.zeros(len(y))
+    for m in range(3):
+        node, leaf = np.zeros(len(y), int), np.zeros(len(y))
+        for level in range(3):
+            for i in range(2**level - 1, 2 ** (level + 1) - 1):
+                at, best = node == i, None
+                if not at.any():
+                    continue
+                order = sorted(range(3), key=lambda j: (hit("feature", m, i, j), j))[:2]
+                for j in sorted(order):
+                    low, high = b[at, j].min(), b[at, j].max()
+                    k = max(v for v in set(b[at, j]) if v <= low + hit("cut", m, i, j) * (high - low))
+                    left = at & (b[:, j] <= k)
+                    right = at & ~left
+                    if left.sum() < 6 or right.sum() < 6:
+                        continue
+                    gain = round(g[left].sum() ** 2 / w[left].sum() + g[right].sum() ** 2 / w[right].sum() - g[at].sum() ** 2 / w[at].sum(), 9)
+                    if gain > 0 and (best is None or gain > best[0]):
+                        best = (gain, j, k)
+                if best:
+                    node[at] = 2 * i + 1 + (b[at, best[1]] > best[2])
+        for i in set(node.tolist()):
+            at = node == i
+            leaf[at] = -g[at].sum() / w[at].sum()
+        total += base + leaf
+    assert np.allclose([got[r] for r in data["row"]], total / 3, rtol=1e-9)
+
+
 def test_encoding_learns_from_train_rows_only(spark):
     rows = [("t", 1.0, "x", "p"), ("t", 2.0, "y", "p"), ("t", None, "y", None), ("t", 9.0, "x", "q"), ("s", 1e9, "new", "z"), ("s", None, None, None), ("s", float("nan"), "x", "p")]
     df = spark.createDataFrame(rows, "role string, n double, k string, m string")
