@@ -22,7 +22,8 @@ _TOP = f"""ranked AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY {_T
 _CURVE = f"""WITH {_SCORES}, {_TOP}, r AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY decision DESC, assay_id) AS i, count(*) OVER (PARTITION BY model_id) AS n FROM chosen),
   g AS (SELECT r.*, c / 10.0::DOUBLE AS coverage, ceil(n * (c / 10.0::DOUBLE)) AS k FROM r, range(1, 11) s(c)),
   t AS (SELECT *, row_number() OVER (PARTITION BY model_id, coverage ORDER BY gain, assay_id) AS low FROM g WHERE i <= k),
-  curve AS (SELECT model_id, coverage, count(*) AS retained, avg((gain <= 0)::INT::DOUBLE) AS failure, avg(gain) AS mean_gain, avg(regret) AS mean_regret, avg(gain) FILTER (low <= ceil(k * 0.2::DOUBLE)) AS tail_gain FROM t GROUP BY ALL)"""
+  curve AS (SELECT model_id, coverage, count(*) AS retained, avg((gain <= 0)::INT::DOUBLE) AS failure, avg(gain) AS mean_gain, avg(regret) AS mean_regret, avg(gain) FILTER (low <= ceil(k * 0.2::DOUBLE)) AS tail_gain,
+    median(gain) AS median_gain, median(regret) AS median_regret, min(decision) AS threshold FROM t GROUP BY ALL)"""
 
 
 def _with_radius(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +81,13 @@ def pl_choose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pl_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _round(policies.curve(_chosen(spark, d), ["model_id"], ["assay_id"], "decision"), "failure", "mean_gain", "mean_regret", "tail_gain", digits=6)
+    return _round(policies.curve(_chosen(spark, d), ["model_id"], ["assay_id"], "decision"), "failure", "mean_gain", "mean_regret", "tail_gain", "median_gain", "median_regret", "threshold", digits=6)
 
 
 def s_policy(spark: SparkSession, d: str) -> DataFrame:
     points = policies.curve(_chosen(spark, d), ["model_id"], ["assay_id"], "decision")
-    return _round(policies.area(points, ["model_id"], "coverage", "mean_regret"), "area", digits=6)
+    made = policies.summary(points, ["model_id"])
+    return _round(made, *made.columns[1:], digits=6)
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -164,9 +166,9 @@ SELECT {_TASK_SQL}, round(min(r) FILTER (mass >= 0.8::DOUBLE - 1e-9::DOUBLE), 4)
     "j_nearest_position": f"""WITH items AS ({_ITEMS}), {_POSITION}, fit AS (SELECT DISTINCT i.assay_id, i.position FROM items i ANTI JOIN held h ON i.assay_id = h.assay_id AND i.position = h.position)
 SELECT h.assay_id, h.position, min(abs(h.position - f.position)) AS distance FROM held h LEFT JOIN fit f USING (assay_id) GROUP BY ALL""",
     "pl_choose": f"WITH {_SCORES}, {_TOP} SELECT protein_id, {_TASK_SQL}, round(decision, 6) AS decision, round(gain, 6) AS gain, round(regret, 6) AS regret FROM chosen",
-    "pl_curve": f"{_CURVE} SELECT model_id, coverage, retained, round(failure, 6) AS failure, round(mean_gain, 6) AS mean_gain, round(mean_regret, 6) AS mean_regret, round(tail_gain, 6) AS tail_gain FROM curve",
-    "s_policy": f"""{_CURVE}, l AS (SELECT model_id, (coverage - lag(coverage) OVER w) * (mean_regret + lag(mean_regret) OVER w) / 2 AS strip FROM curve WINDOW w AS (PARTITION BY model_id ORDER BY coverage))
-SELECT model_id, round(sum(strip), 6) AS area FROM l GROUP BY 1""",
+    "pl_curve": f"{_CURVE} SELECT model_id, coverage, retained, round(failure, 6) AS failure, round(mean_gain, 6) AS mean_gain, round(mean_regret, 6) AS mean_regret, round(tail_gain, 6) AS tail_gain, round(median_gain, 6) AS median_gain, round(median_regret, 6) AS median_regret, round(threshold, 6) AS threshold FROM curve",
+    "s_policy": f"""{_CURVE}, l AS (SELECT model_id, coverage, mean_regret, failure, mean_gain, {", ".join(f"(coverage - lag(coverage) OVER w) * ({v} + lag({v}) OVER w) / 2 AS s_{v}" for v in ("mean_regret", "failure", "mean_gain"))} FROM curve WINDOW w AS (PARTITION BY model_id ORDER BY coverage))
+SELECT model_id, {", ".join(f"round(sum(s_{v}), 6) AS {v}_area, round(max({v}) FILTER (coverage = 0.5::DOUBLE), 6) AS {v}_half" for v in ("mean_regret", "failure", "mean_gain"))} FROM l GROUP BY 1""",
     "p_substitution_universe": f"""WITH s AS (SELECT s_suppkey, repeat('{RESIDUES}', 3) AS q FROM supplier), p AS (SELECT s_suppkey, i::INTEGER AS position, substr(q, i, 1) AS ref FROM s, range(1, 61) r(i))
 SELECT s_suppkey, position, ref, alt, ref || position || alt AS code FROM p, (SELECT unnest(string_split('{" ".join(RESIDUES)}', ' ')) AS alt) WHERE alt <> ref""",
     "p_table_digest": _DIGEST,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.codes import RESIDUES, draw
-from driftlens.operators import adapters, boosting, crossfit, discovery, encoding, graph, linear, metrics, resampling, sparse, splits, supervised
+from driftlens.operators import adapters, boosting, crossfit, discovery, encoding, graph, linear, metrics, policies, resampling, sparse, splits, supervised
 from driftlens.operators.storage import shared_folder
 from driftlens.plans.bindings import items, scores
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _SCORES, TASK, _ranked, _round
@@ -158,6 +158,28 @@ def pl_policy_search(spark, d):
     return _round(made.select("shrinkage", "margin", "regret_area", "mean_regret", "decision_mean", "neff_mean", "length_sd", "chosen"), "regret_area", "mean_regret", "decision_mean", "neff_mean", "length_sd", digits=6)
 
 
+HIGHEST = {"decision_only": ("decision", "decision"), "uncalibrated": ("predicted", "predicted"), "elastic_net": ("elastic", "elastic"), "ablation:msa_only": ("f3", "f3")}
+FIXED = {"always_best": None, "msa_depth": "protein_length", "score_dispersion": "f2"}
+
+
+def pl_policies(spark, d):
+    """The row that each of ten policies takes of each assay; the chosen one by the highest prior plus prediction."""
+    rows = _foreseen(spark, d).withColumns({"decision": F.round(0.75 * F.col("predicted") + 0.25 * F.col("prior"), 6), "elastic": F.round(F.col("f1") / 1000 - F.col("f2") / 900, 6)})
+    first = F.row_number().over(crossfit.Window.partitionBy("assay_id").orderBy(F.desc(F.round(F.col("prior") + F.col("predicted"), 6)), "model_id"))
+    rows = rows.withColumns({"chosen": first == 1, "sure": F.round(F.col("predicted") - 0.1, 6)})
+    made = policies.policy_rows(rows, ["assay_id"], "model_id", "gain", HIGHEST, {"chosen": ("chosen", "sure")}, FIXED, F.col("baseline"))
+    return _round(made.select("policy", *TASK, "gain", "regret", "confidence"), "regret", "confidence", digits=6)
+
+
+def s_panel_policy(spark, d):
+    """What the chosen rows improve over always taking the best model, as areas by panel."""
+    rows = pl_policies(spark, d).filter("policy IN ('chosen', 'always_best')").withColumn("panel", F.substr("assay_id", F.lit(2)).cast("int") % 3)
+    made = crossfit.areas(rows, ["panel", "policy"], [F.desc("confidence"), F.col("assay_id")], {"regret_area": F.col("regret"), "risk_area": (F.col("gain") <= 0).cast("double")})
+    side = lambda p, c: F.max(F.when(F.col("policy") == p, F.col(c)))
+    gains = made.groupBy("panel").agg(*((side("always_best", c) - side("chosen", c)).alias(c) for c in ("regret_area", "risk_area")))
+    return _round(gains, "regret_area", "risk_area", digits=6)
+
+
 def c_selected_lower(spark, d):
     """Bounds of the policy 0.75, 0.1, whose constants come from a third of the families, calibrated on a third."""
     part = F.substr("family_id", F.lit(2)).cast("int") % 3
@@ -252,7 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ml_additive_ridge, f_cross_protein, ml_pooled, run_group_holdout, run_assays, run_repeated, ml_transport, ml_param_search, ml_out_of_group, pl_crossfit, ml_components, ml_winner, m_geometry,
-        f_impute_encode, pl_policy_search, c_selected_lower, pl_abstain_scores, b_nested_external, b_policy_difference, a_venus_canonical, io_score_panel, g_families,
+        f_impute_encode, pl_policy_search, pl_policies, s_panel_policy, c_selected_lower, pl_abstain_scores, b_nested_external, b_policy_difference, a_venus_canonical, io_score_panel, g_families,
     )
 }
 
@@ -298,7 +320,17 @@ def _level(name: str, source: str, above: str, level: str, key: str) -> str:
 _AREAS = """{0} AS (SELECT {1}, c, sum(regret * t) / max(k) AS regret, sum((gain <= 0)::INT * t) / max(k) AS risk FROM (SELECT *, greatest(0, least(times, k - before)) AS t FROM
   (SELECT *, greatest(1, ceil(total * (c / 10.0::DOUBLE))) AS k FROM (SELECT *, coalesce(sum(times) OVER (PARTITION BY {1} ORDER BY confidence DESC, assay_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(times) OVER (PARTITION BY {1}) AS total FROM {2}), range(1, 11) s(c))) GROUP BY {1}, c)"""
 
+_RAND = _DRAW.format("'row|1|' || assay_id || '|' || model_id")
+_WAYS = {name: (c, sure) for name, (c, sure) in HIGHEST.items()} | {"oracle": ("gain", "gain"), "random": (_RAND, _DRAW.format("'confidence|1|' || assay_id") + " / 4294967296.0::DOUBLE"), "chosen": ("round(prior + predicted, 6)", "round(predicted - 0.1::DOUBLE, 6)")}
+_POLICIES = f"""{_TASKS}, z AS (SELECT *, max(gain) OVER (PARTITION BY assay_id) - gain AS regret, round(0.75::DOUBLE * predicted + 0.25::DOUBLE * prior, 6) AS decision, round(f1 / 1000 - f2 / 900, 6) AS elastic FROM seen),
+pol AS ({" UNION ALL ".join(f"SELECT '{n}' AS policy, assay_id, model_id, gain, regret, ({sure})::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY assay_id ORDER BY {c} DESC, model_id) AS i FROM z) WHERE i = 1" for n, (c, sure) in _WAYS.items())}
+UNION ALL {" UNION ALL ".join(f"SELECT '{n}', assay_id, model_id, gain, regret, {sure or 0.0}::DOUBLE FROM z WHERE model_id = baseline" for n, sure in FIXED.items())})"""
+
 ORACLES: dict[str, str] = {
+    "pl_policies": f"{_POLICIES} SELECT policy, assay_id, model_id, gain, round(regret, 6) AS regret, round(confidence, 6) AS confidence FROM pol",
+    "s_panel_policy": f"""{_POLICIES}, s AS (SELECT *, substr(assay_id, 2)::INT % 3 AS panel, 1 AS times FROM (SELECT policy, assay_id, gain, round(regret, 6) AS regret, round(confidence, 6) AS confidence FROM pol) WHERE policy IN ('chosen', 'always_best')),
+{_AREAS.format('ar', 'panel, policy', 's')}, e AS (SELECT panel, policy, {_STRIPS.format('regret')} AS regret_area, {_STRIPS.format('risk')} AS risk_area FROM ar GROUP BY 1, 2)
+SELECT panel, round(max(regret_area) FILTER (policy = 'always_best') - max(regret_area) FILTER (policy = 'chosen'), 6) AS regret_area, round(max(risk_area) FILTER (policy = 'always_best') - max(risk_area) FILTER (policy = 'chosen'), 6) AS risk_area FROM e GROUP BY 1""",
     "f_cross_protein": f"""WITH items AS ({_ITEMS}), o AS (SELECT *, row_number() OVER (PARTITION BY assay_id ORDER BY code) - 1 AS i, count(*) OVER (PARTITION BY assay_id) AS n FROM items),
 t AS (SELECT * FROM o WHERE n <= 1000 OR i IN (SELECT floor(j * (n - 1) / 999.0) FROM range(1000) s(j))),
 h AS (SELECT unnest(['A','C','D','E','F','G','H','I','K','L','M','N','P','Q','R','S','T','V','W','Y']) AS a, unnest([1.8,2.5,-3.5,-3.5,2.8,-0.4,-3.2,4.5,-3.9,3.8,1.9,-3.5,-1.6,-3.5,-4.5,-0.8,-0.7,4.2,-0.9,-1.3]::DOUBLE[]) AS v)
