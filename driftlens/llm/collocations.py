@@ -41,7 +41,7 @@ IS_BREAK = byte_class(BREAKS)
 #: have to replace it; rows of each language.
 LONGEST, LEAST, SHARE, MOST = 3, 10, 50, 2000
 #: Bytes of text that are counted at a time, and bits of the filter of frequent shorter phrases (16 MB), in parts of 2^PART_BITS.
-AT_ONCE, FILTER_BITS, PART_BITS = 2 << 20, 27, 15
+AT_ONCE, FILTER_BITS, PART_BITS = 1 << 20, 27, 15
 _MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5)]
 
 
