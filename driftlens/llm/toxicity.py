@@ -194,7 +194,7 @@ class Model:
 class Scorer:
     """Scores texts; holds a bounded store of unit margins."""
 
-    def __init__(self, model: Model, store: int = 250_000):
+    def __init__(self, model: Model, store: int = 150_000):
         self.model, self.store, self.known = model, store, {}
 
     def top(self, texts: list[str | None]) -> np.ndarray:
@@ -233,8 +233,9 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
 def _unit_counts(sample: DataFrame) -> DataFrame:
     """(unit, toxic, clean): documents of each class that hold a plain unit."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "_text", 1 << 20)):
             count: dict[str, list[int]] = {}
             for t, y in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
                 for u in {w for x in units(t) for w in windows(plain(x))}:
@@ -294,6 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for _ in range(2):  # add the clean units that look most toxic, fit again
             rough = spark.sparkContext.broadcast(Model(weights, bias))
 
+            @tidy
             def margins(batches: Iterator[pa.RecordBatch], rough=rough) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     u = batch.column("unit").to_pylist()
@@ -307,9 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model = Model(weights, bias, share=share)
         sent = spark.sparkContext.broadcast(model)
 
+        @tidy
         def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(sent.value)
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, "_text", 1 << 20)):
                 top = scorer.top(batch.column("_text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"a": pa.array(top[:, 0]), "b": pa.array(top[:, 1]), "y": batch.column("_label")})
 
