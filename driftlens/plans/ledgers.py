@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import codes, names
 from driftlens.functions.codes import RESIDUES
-from driftlens.operators import contracts, features, fits, intervals, joins, metrics, policies, splits, summaries
+from driftlens.operators import contracts, features, fits, intervals, joins, metrics, policies, ranks, splits, summaries
 from driftlens.plans.audits import _TOP, _chosen
 from driftlens.plans.bindings import items, scores, variants
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _POSITION, _RUNS, _SCORES, _TASK_SQL, TASK, _ranked, _round, _split_runs
@@ -306,7 +306,7 @@ def w_ntile_blocks(spark, d):
 
 def m_repeat_classifier(spark, d):
     rows = _t(spark, d, "events").select("event_type", (F.col("event_id") % 3 == 0).cast("int").alias("label"), (F.pmod(F.floor("value"), F.lit(10)) / 10.0).alias("score"))
-    return _round(metrics.auc(rows, ["event_type"], "label", "score"), "auc", "brier", "accuracy")
+    return _round(ranks.auc(rows, ["event_type"], "label", "score"), "auc", "brier", "accuracy", "balanced_accuracy", "majority_rate")
 
 
 # joins
@@ -316,7 +316,7 @@ def m_safe_spearman(spark, d):
 
 
 def j_parity(spark, d):
-    return _round(joins.rank_correlation(scores(spark, d), ["protein_id", "model_id"], "predicted", "observed"), "rho")
+    return _round(ranks.correlation(scores(spark, d), ["protein_id", "model_id"], "predicted", "observed"), "rho")
 
 
 def j_many_to_one_complete(spark, d):
@@ -530,7 +530,8 @@ SELECT {_TASK_SQL}, code, round(p, 9) AS percentile FROM q WHERE NOT ref""",
     "m_repeat_classifier": """WITH e AS (SELECT event_type, (event_id % 3 = 0)::INT AS y, ((floor(value)::BIGINT % 10 + 10) % 10) / 10.0::DOUBLE AS s FROM events WHERE value IS NOT NULL),
 r AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY s) + (count(*) OVER (PARTITION BY event_type, s) - 1) / 2.0::DOUBLE AS r FROM e)
 SELECT event_type, count(*) AS n, sum(y)::BIGINT AS positives, round(CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))) END, 9) AS auc,
-  round(avg(pow(s - y, 2)), 9) AS brier, round(avg(((s >= 0.5)::INT = y)::INT::DOUBLE), 9) AS accuracy FROM r GROUP BY 1""",
+  round(avg(pow(s - y, 2)), 9) AS brier, round(avg(((s >= 0.5)::INT = y)::INT::DOUBLE), 9) AS accuracy,
+  round((avg((s >= 0.5)::INT::DOUBLE) FILTER (y = 1) + avg((s < 0.5)::INT::DOUBLE) FILTER (y = 0)) / 2, 9) AS balanced_accuracy, round(greatest(avg(y), 1 - avg(y)), 9) AS majority_rate FROM r GROUP BY 1""",
     "m_safe_spearman": f"WITH items AS ({_ITEMS}), {_pair_ranks('items', 'assay_id', 'qty', 'observed')} SELECT assay_id, count(*) AS n, round({_RHO.format(3)}, 9) AS rho FROM rk GROUP BY 1",
     "j_parity": f"WITH {_SCORES}, {_pair_ranks('scores', 'protein_id, model_id', 'predicted', 'observed')} SELECT protein_id, model_id, count(*) AS n, round({_RHO.format(2)}, 9) AS rho FROM rk GROUP BY ALL",
     "j_many_to_one_complete": "SELECT o_orderkey, o_custkey, c_mktsegment, c_mktsegment IS NULL AS unmatched FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 3) ON o_custkey = c_custkey",
