@@ -1,15 +1,20 @@
-"""Ridge regression on sparse indicators, for all groups at once, by conjugate gradients over long tables.
+"""Ridge regression on sparse indicators, for all groups at once, by conjugate gradients.
 
-A group's features are those of its own train rows and may be many; they are never gathered. Each step is two
-aggregations: values of rows from weights of features, and back. Products about the mean need no dense matrix: the
-columns' sums stand beside the features."""
+Groups of up to `GATHERED` rows are dealt into buckets, and a task runs the steps of all groups of a bucket over arrays: the
+rows are shuffled once, whatever the number of steps. Larger groups, whose features are never gathered, take the
+same steps over long tables, two aggregations each: values of rows from weights of features, and back. Products
+about the mean need no dense matrix: the columns' sums stand beside the features."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftlens.operators.features import additive
+from driftlens.functions.codes import parse
+from driftlens.operators.features import additive, by_code, indicators
 from driftlens.operators.metrics import finite
 from driftlens.operators.storage import discard, stored
 
@@ -55,10 +60,95 @@ def sparse_ridge(entries: DataFrame, rows: DataFrame, by: list[str], row: str, a
     return state.select(*by, "feature", F.col("_w").alias("weight")), constants
 
 
+#: Rows of the largest group that one task fits, and rows that a bucket of such groups holds about.
+GATHERED, BUCKET = 100_000, 100_000
+
+
+def _steps(group: np.ndarray, y: np.ndarray, row: np.ndarray, feature: np.ndarray, owner: np.ndarray, groups: int, alpha: float, tolerance: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each feature, mean_target - shift of each group) of `sparse_ridge` on indicators.
+
+    group, y: of each train row; row, feature: of each entry; owner: the group of each feature."""
+    size = len(owner)
+    rows = np.bincount(group, minlength=groups)
+    held = np.maximum(rows, 1)
+    mean = np.bincount(group, y, groups) / held
+    total = np.bincount(feature, minlength=size).astype(float)
+    r = np.bincount(feature, (y - mean[group])[row], size)
+    w, p = np.zeros(size), r.copy()
+    rr = np.bincount(owner, r * r, groups)
+    first = rr.copy()
+    for _ in range(most):
+        live = (rr > first * tolerance**2) & (rr > 0)
+        if not live.any():
+            break
+        p[~live[owner]] = 0.0
+        q = np.bincount(row, p[feature], len(y))
+        centre = np.bincount(owner, total * p, groups) / held
+        z = np.bincount(feature, q[row], size) - total * centre[owner] + alpha * p
+        along = np.bincount(owner, p * z, groups)
+        step = np.divide(rr, along, out=np.zeros(groups), where=live)[owner]
+        w += step * p
+        r -= step * z
+        new = np.where(live, np.bincount(owner, r * r, groups), rr)
+        p = r + np.divide(new, rr, out=np.zeros(groups), where=live)[owner] * p
+        rr = new
+    else:
+        raise RuntimeError(f"conjugate gradients did not settle within {most} steps")
+    return w, mean - np.bincount(owner, total * w, groups) / held
+
+
+def _gathered(rows: DataFrame, by: list[str], role: str, target: str, alpha: float, buckets: int, tolerance: float = 1e-8, most: int = 300) -> DataFrame:
+    """The test rows of rows(..., _f: names of indicators) with `predicted`: a task fits all groups of a bucket."""
+    names = [c for c in rows.columns if c != "_f"]
+    fit = (F.col(role) == "train") & finite(target)
+    dealt = rows.filter(fit | (F.col(role) == "test")).select(*names, F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_key"), F.when(fit, F.col(target).cast("double")).alias("_y"), F.coalesce("_f", F.array().cast("array<string>")).alias("_f"), F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("_bucket"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        code = lambda a: (a.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(a.dictionary))
+        flat = lambda name: table.column(name).combine_chunks()
+        one = lambda a: a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+        group, groups = code(one(flat("_key")).dictionary_encode())
+        y = one(flat("_y")).to_numpy(zero_copy_only=False).astype(float)
+        lists = one(flat("_f"))
+        own = np.repeat(np.arange(len(group)), np.diff(lists.offsets.to_numpy()))
+        named, kinds = code(lists.flatten().dictionary_encode())
+        known = ~np.isnan(y)
+        # a feature is one of its group; what no train row has takes no part
+        train = known[own]
+        ids, at = np.unique(group[own[train]] * kinds + named[train], return_inverse=True)
+        place = np.cumsum(known) - 1
+        w, base = _steps(group[known], y[known], place[own[train]], at, ids // max(kinds, 1), groups, alpha, tolerance, most)
+        base[np.bincount(group[known], minlength=groups) == 0] = np.nan
+        wanted, tested = group[own[~train]] * kinds + named[~train], own[~train]
+        found = np.searchsorted(ids, wanted)
+        hit = found < len(ids)
+        hit[hit] = ids[found[hit]] == wanted[hit]
+        out = base[group] + np.bincount(tested[hit], w[found[hit]], len(group))
+        kept = table.select(names).append_column("predicted", pa.array(out, mask=np.isnan(out)))
+        return kept.filter(pa.array(~known))
+
+    return dealt.groupBy("_bucket").applyInArrow(run, T.StructType([*rows.select(*names).schema.fields, T.StructField("predicted", T.DoubleType())]))
+
+
 def additive_ridge(df: DataFrame, by: list[str], code: str = "code", role: str = "role", target: str = "observed", alpha: float = 20.0) -> DataFrame:
     """df's test rows with `predicted` from the additive indicators of their code, fitted on their group's train rows.
 
     Indicators that no train row has count for nothing; invalid codes have none. Groups without train rows give null."""
+    rows = stored(df)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # as few as the rows over GATHERED
+    large = stored(sizes.filter(F.col("_n") > GATHERED).select(*by))
+    none = large.isEmpty()
+    small = rows if none else rows.join(F.broadcast(large), by, "left_anti")
+    named = F.coalesce(F.array_distinct(F.flatten(F.transform(parse(F.col(code)), indicators))), F.array().cast("array<string>"))
+    small = by_code(small, code, lambda codes: codes.withColumn("_f", named))
+    made = _gathered(small, by, role, target, alpha, max(1, -(-rows.count() // BUCKET)))
+    return made if none else made.unionByName(_long(rows.join(F.broadcast(large), by, "left_semi"), by, code, role, target, alpha))
+
+
+def _long(df: DataFrame, by: list[str], code: str, role: str, target: str, alpha: float) -> DataFrame:
+    """`additive_ridge` over long tables."""
     rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
     entries = additive(rows, [*by, "_row", role], code).distinct().withColumn("value", F.lit(1.0))
     weights, constants = sparse_ridge(entries.filter(F.col(role) == "train").drop(role), rows.filter(F.col(role) == "train"), by, "_row", alpha, target)
