@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.operators import joins, ranks, summaries
-from driftlens.operators.metrics import finite
+from driftlens.operators.metrics import average_rank, finite
+from driftlens.operators.storage import stored
 
 
 def _stated(models: DataFrame, most: int = 10_000) -> DataFrame:
@@ -66,13 +67,44 @@ def execution(coverage: DataFrame, models: DataFrame, least: float = 0.95, targe
     return rows.select("model_id", "family", "rows", "unexpected", "covered", status.alias("status"), F.coalesce(F.col("executed") == F.col("current"), F.lit(False)).alias("digest_matches"))
 
 
-def _agreement(left: DataFrame, right: DataFrame, by: list[str], least: int = 2) -> DataFrame:
-    """(by, n, exact, rho) over variants that both have finite scores of; by may hold the target. A key's repeats count once, with their least score."""
-    key = [*by, *(c for c in ("target_id", "variant_id") if c not in by)]
-    once = lambda df, name: df.filter(finite("score")).groupBy(*key).agg(F.min("score").alias(name))
-    pairs = once(left, "_one").join(once(right, "_two"), key)
-    equal = pairs.groupBy(*by).agg(F.count_if(F.col("_one") == F.col("_two")).alias("exact"))
-    return ranks.correlation(pairs, by, "_one", "_two", least).join(equal, by)
+_KEY = ["model_id", "target_id", "variant_id"]
+
+
+def _together(runs: dict[str, DataFrame], expected: DataFrame) -> DataFrame:
+    """A written row a key that any run has: for each run its least finite score (the run's name) and, where it has a status, whether
+    a score of status ok is there (name_ok); _w: whether the key is expected. Expected keys stand there too, without a model.
+
+    All runs are dealt by target once, in place of a join for each pair of them."""
+    good = F.coalesce((F.col("status") == "ok") & finite("score"), F.lit(False))
+    none = F.lit(None)
+    parts = []
+    for name, df in runs.items():
+        score = F.when(finite("score"), F.col("score").cast("double"))
+        there = good if "status" in df.columns else none
+        parts.append(df.filter("model_id IS NOT NULL").select(*_KEY, *((score if r == name else none).cast("double").alias(r) for r in runs), *((there if r == name else none).cast("boolean").alias(f"{r}_ok") for r in runs)))
+    parts.append(expected.select(none.cast(runs[next(iter(runs))].schema["model_id"].dataType).alias("model_id"), *_KEY[1:], *(none.cast("double").alias(r) for r in runs), *(none.cast("boolean").alias(f"{r}_ok") for r in runs)))
+    rows = _all(parts).repartition("target_id").groupBy(*_KEY).agg(*(F.min(r).alias(r) for r in runs), *(F.bool_or(f"{r}_ok").alias(f"{r}_ok") for r in runs))
+    wanted = F.max(F.col("model_id").isNull()).over(Window.partitionBy("target_id", "variant_id")) & F.col("target_id").isNotNull() & F.col("variant_id").isNotNull()
+    return stored(rows.withColumn("_w", wanted))
+
+
+def _covered(rows: DataFrame, models: DataFrame, runs: tuple[str, ...]) -> DataFrame:
+    """(model_id, target_id, expected, a column a run: its expected keys with a score) from `_together`, for each stated model and target."""
+    models = _stated(models.select("model_id").distinct())
+    sizes = rows.filter("model_id IS NULL").groupBy("target_id").agg(F.count(F.lit(1)).alias("expected"))
+    counts = rows.join(models, "model_id", "left_semi").groupBy("model_id", "target_id").agg(*(F.count_if(F.col(f"{r}_ok") & F.col("_w")).alias(f"_{r}") for r in runs))
+    return sizes.crossJoin(models).join(counts, ["model_id", "target_id"], "full").na.fill(0, ["expected", *(f"_{r}" for r in runs)])
+
+
+def _agreement(rows: DataFrame, left: str, right: str, by: list[str], least: int = 2) -> DataFrame:
+    """(by, n, exact, rho) over keys of `_together` that both runs have finite scores of. by may hold the target, whose variants meet in one task."""
+    pairs = rows.filter(F.col("model_id").isNotNull() & F.col(left).isNotNull() & F.col(right).isNotNull())
+    if "target_id" not in by:
+        equal = pairs.groupBy(*by).agg(F.count_if(F.col(left) == F.col(right)).alias("exact"))
+        return ranks.correlation(pairs, by, left, right, least).join(equal, by)
+    ranked = pairs.select(*by, F.col(left).alias("_one"), F.col(right).alias("_two")).withColumns({"_a": average_rank("_one", by), "_b": average_rank("_two", by)})
+    varies = (F.count(F.lit(1)) >= least) & (F.max("_a") > F.min("_a")) & (F.max("_b") > F.min("_b"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_one") == F.col("_two")).alias("exact"), F.when(varies, F.corr("_a", "_b")).alias("rho"))
 
 
 def preflight(first: DataFrame, second: DataFrame, reference: DataFrame, expected: DataFrame, models: DataFrame, least: float = 0.95, repeat: float = 0.999, parity: float = 0.99) -> DataFrame:
@@ -81,10 +113,11 @@ def preflight(first: DataFrame, second: DataFrame, reference: DataFrame, expecte
     first, second: runs of the same panel; reference(model_id, target_id, variant_id, score). models(model_id, family, licence,
     parity_required, checkpoint, checkpoint_sha256, container_sha256): a declared checkpoint needs its digest, and all models
     a container's. Correlations that cannot be formed fail, but for a parity that is not required."""
-    coverage = target_coverage(first, expected, models)
-    per = coverage.groupBy("model_id").agg(F.try_divide(F.sum("scored"), F.sum("expected")).alias("coverage"), F.count_if((F.col("coverage") >= least) & (F.col("expected") > 0)).alias("covered"))
-    again = _agreement(first, second, ["model_id"]).select("model_id", F.col("rho").alias("repeat_rho"))
-    same = _agreement(first, reference, ["model_id"]).select("model_id", F.col("rho").alias("parity_rho"))
+    every = _together({"a": first, "b": second, "parity": reference}, expected)
+    share = F.col("_a") / F.greatest("expected", F.lit(1))
+    per = _covered(every, models, ("a",)).groupBy("model_id").agg(F.try_divide(F.sum("_a"), F.sum("expected")).alias("coverage"), F.count_if((share >= least) & (F.col("expected") > 0)).alias("covered"))
+    again = _agreement(every, "a", "b", ["model_id"]).select("model_id", F.col("rho").alias("repeat_rho"))
+    same = _agreement(every, "a", "parity", ["model_id"]).select("model_id", F.col("rho").alias("parity_rho"))
     rows = models.join(per, "model_id", "left").join(again, "model_id", "left").join(same, "model_id", "left")
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     gates = {
@@ -107,12 +140,12 @@ def qualification(runs: DataFrame, receipts: DataFrame, reference: DataFrame, ex
     specification, source, runner, elapsed), one a run. models(model_id, family, checkpoint, container, specification): what
     receipts must show. Parity: each target has `variants` shared variants and a rank correlation of `parity`, on `targets` targets at least."""
     of = lambda r: runs.filter(F.col("run") == r)
-    once, twice = (target_coverage(of(r), expected, models).select("model_id", "target_id", "expected", F.col("scored").alias(f"_{r}")) for r in ("a", "b"))
-    both = once.join(twice.drop("expected"), ["model_id", "target_id"]).withColumn("coverage", F.least("_a", "_b") / F.greatest("expected", F.lit(1)))
+    every = _together({**{r: of(r) for r in RUNS}, "reference": reference}, expected)
+    both = stored(_covered(every, models, ("a", "b"))).withColumn("coverage", F.least("_a", "_b") / F.greatest("expected", F.lit(1)))
     per = both.groupBy("model_id").agg(F.try_divide(F.sum("_a"), F.sum("expected")).alias("coverage_a"), F.try_divide(F.sum("_b"), F.sum("expected")).alias("coverage_b"))
-    again = _agreement(of("a"), of("b"), ["model_id"]).select("model_id", F.col("n").alias("repeat_rows"), F.col("exact").alias("exact_rows"), F.col("rho").alias("repeat_rho"))
+    again = _agreement(every, "a", "b", ["model_id"]).select("model_id", F.col("n").alias("repeat_rows"), F.col("exact").alias("exact_rows"), F.col("rho").alias("repeat_rho"))
     rho = F.round("rho", 12)
-    met = _agreement(of("parity"), reference, ["model_id", "target_id"]).groupBy("model_id").agg(
+    met = _agreement(every, "parity", "reference", ["model_id", "target_id"]).groupBy("model_id").agg(
         F.count(F.lit(1)).alias("parity_targets"), F.bool_and((F.col("n") >= variants) & F.coalesce(rho >= parity, F.lit(False))).alias("_parity"), F.min("rho").alias("parity_rho"),
     )
     shown = [F.count_distinct(c).alias(f"_d_{c}") for c in ("checkpoint", "container", "specification", "source", "runner")]

@@ -130,8 +130,8 @@ def _with_gates(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def a_execution_panel(spark, d):
-    coverage = gates.target_coverage(_predicted(spark, d), _expected(spark, d), _models(spark))
-    audit = gates.execution(coverage, _models(spark), targets=60)
+    coverage = stored(gates.target_coverage(_predicted(spark, d), _expected(spark, d), _models(spark)))
+    audit = stored(gates.execution(coverage, _models(spark), targets=60))
     chosen = audit.filter("status = 'complete'")
     return _with_gates(audit, gates.panel_gates(chosen, gates.shared_targets(coverage, chosen, 0.95), 3, 3, 50))
 
@@ -139,7 +139,8 @@ def a_execution_panel(spark, d):
 def a_preflight(spark, d):
     first = _predicted(spark, d)
     models = spark.createDataFrame(_FLIGHT, "model_id string, family string, licence string, parity_required boolean, checkpoint string, checkpoint_sha256 string, container_sha256 string")
-    audit = gates.preflight(first, _again(first), _reference(first), _expected(spark, d), models, least=0.85)
+    # gates read the audit several times, a row a model: what made it runs once
+    audit = stored(gates.preflight(first, _again(first), _reference(first), _expected(spark, d), models, least=0.85))
     chosen = audit.filter("eligible")
     shared = gates.shared_targets(gates.target_coverage(first, _expected(spark, d), models), chosen, 0.95)
     made = _with_gates(audit, gates.panel_gates(chosen, shared, 2, 2, 50))
@@ -151,6 +152,7 @@ def a_qualification(spark, d):
     runs = [r.select(F.lit(name).alias("run"), "model_id", "target_id", "variant_id", "status", "score") for name, r in (("a", first), ("b", _again(first)), ("parity", first))]
     models = _models(spark).select("model_id", "family", *(F.concat(F.lit(f"{c[0] if c != 'container' else 'i'}-"), "model_id").alias(c) for c in ("checkpoint", "container", "specification")))
     audit, coverage = gates.qualification(runs[0].unionByName(runs[1]).unionByName(runs[2]), spark.sql(RECEIPTS), _reference(first), _expected(spark, d), models, least=0.85, variants=30, targets=20)
+    audit = stored(audit)
     chosen = audit.filter("qualified")
     made = _with_gates(audit, gates.panel_gates(chosen, gates.shared_targets(coverage, chosen, 0.95), 1, 1, 50))
     return _round(made, "coverage_a", "coverage_b", "repeat_rho", "parity_rho")

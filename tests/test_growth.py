@@ -84,3 +84,30 @@ def test_splits_of_a_study_deal_rows_once(spark, shifts, monkeypatch):
     got = supervised.assays(shifts.filter("grp IS NOT NULL"), ["grp"], [1, 2], models=("mean",)).collect()
     assert len(got) == 2 * 2 * 2
     assert plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_audits_deal_runs_once_and_rank_pairs_by_counts(spark, lines, monkeypatch):
+    """Runs meet by one dealing of targets; ranks are of counted pairs, so that a model's rows never reach one task."""
+    from driftlens.operators import gates, ranks
+
+    r = np.random.default_rng(5)
+    rows = [(m, f"t{i % 3}", f"v{i}", "ok" if i % 17 else "failed", float(r.integers(0, 6))) for m in ("a", "b") for i in range(120)]
+    first = spark.createDataFrame(rows, "model_id string, target_id string, variant_id string, status string, score double")
+    second = first.withColumn("score", F.when(F.col("variant_id") == "v5", float("nan")).otherwise(F.col("score") % 4))
+    expected = spark.createDataFrame([*{(t, v) for _, t, v, *_ in rows if v != "v7"}, ("t9", "v1")], "target_id string, variant_id string")
+    plans, sizes = [], []
+    kept, dealt = gates.stored, ranks.stored
+    monkeypatch.setattr(gates, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    every = gates._together({"one": first, "two": second}, expected)
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(ranks, "stored", lambda df: sizes.append(df.count()) or dealt(df))
+    got = {x["model_id"]: x for x in gates._agreement(every, "one", "two", ["model_id"]).collect()}
+    assert max(sizes) < 20  # pairs of six values and four, not rows
+    for m in ("a", "b"):
+        x = np.array([(s, s % 4) for k, _, v, _, s in rows if k == m and v != "v5"])
+        rank = [np.searchsorted(np.sort(c), c, "left") + (np.searchsorted(np.sort(c), c, "right") - np.searchsorted(np.sort(c), c, "left") + 1) / 2 for c in x.T]
+        assert got[m]["n"] == 119 and got[m]["exact"] == (x[:, 0] == x[:, 1]).sum() and math.isclose(got[m]["rho"], np.corrcoef(*rank)[0, 1], rel_tol=1e-9)
+    models = spark.createDataFrame([("a",), ("none",)], "model_id string")
+    told = {(x["model_id"], x["target_id"]): (x["expected"], x["_one"]) for x in gates._covered(every, models, ("one",)).collect()}
+    want = {(x["model_id"], x["target_id"]): (x["expected"], x["scored"]) for x in gates.target_coverage(first, expected, models).collect()}
+    assert told == want and told["a", "t9"] == (1, 0)
