@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.codes import draw
+from driftlens.operators import positions
 from driftlens.operators.metrics import average_rank, finite
 
 
@@ -23,18 +24,25 @@ def drawn(units: DataFrame, by: list[str], unit: str, repeats: int = 200, seed:
 
 def within(leaves: DataFrame, by: list[str], levels: list[str], repeats: int = 200, seed: int = 1) -> DataFrame:
     """leaves, a row for each key of all levels, as often as draws take them; a draw at each level, within
-    what was drawn above it, anew for each copy."""
+    what was drawn above it, anew for each copy.
+
+    Copies are dealt evenly before a level multiplies them, into a number of tasks that is not lowered for their
+    small size: a level's draws of a few large groups do not meet in few tasks."""
     state = leaves.select(*by).distinct().withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_path", F.col("_rep").cast("string"))
-    for k in range(len(levels)):
-        above = [*by, *levels[:k]]
+    tasks = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k, level in enumerate(levels):
+        above, last = [*by, *levels[:k]], k == len(levels) - 1
         own = Window.partitionBy(*above)
-        units = leaves.select(*above, levels[k]).distinct()
-        units = units.withColumn("_i", F.row_number().over(own.orderBy(levels[k])) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
-        slots = state.join(units.select(*above, F.col("_i").alias("_slot"), "_n"), above)
+        units = leaves if last else leaves.select(*above, level).distinct()
+        # the last level's units carry their rows, which copies would otherwise be joined with once more
+        units = units.withColumn("_i", F.dense_rank().over(own.orderBy(level)) - 1)
+        sizes = units.groupBy(*above).agg((F.max("_i") + 1).alias("_n"))
+        copies = state.join(sizes, above).repartition(tasks, "_rep", "_path", *above)
+        slots = copies.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
         path = F.concat_ws("|", "_path", F.col("_slot").cast("string"))
-        picks = slots.select(*above, "_rep", path.alias("_path"), "_n").withColumn("_i", F.pmod(draw(seed, F.col("_path")), F.col("_n")).cast("int"))
-        state = picks.drop("_n").join(units.drop("_n"), [*above, "_i"]).drop("_i")
-    return state.join(leaves, [*by, *levels])
+        picks = slots.select(*above, "_rep", path.alias("_path"), F.pmod(draw(seed, path), F.col("_n")).cast("int").alias("_i"))
+        state = (picks.drop("_path") if last else picks).join(units.filter(F.col(level).isNotNull()), [*above, "_i"]).drop("_i")
+    return state
 
 
 def limits(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -57,15 +65,10 @@ def pooled(df: DataFrame, by: list[str], unit: str, values: list[str], repeats:
 
 def position_rank(df: DataFrame, by: list[str], position: str = "position", observed: str = "observed", predicted: str = "predicted", repeats: int = 200, seed: int = 1) -> DataFrame:
     """Limits of the rank correlation when positions are drawn; ranks are those of the whole group, and 0
-    stands where a draw has no variance."""
+    stands where a draw has no variance. A group meets in one task, as do its draws."""
     rows = df.filter(finite(observed) & finite(predicted)).select(*by, position, average_rank(observed, by).alias("_x"), average_rank(predicted, by).alias("_y"))
-    x, y = F.col("_x"), F.col("_y")
-    parts = {"_c": F.count(F.lit(1)), "_sx": F.sum(x), "_sy": F.sum(y), "_xx": F.sum(x * x), "_yy": F.sum(y * y), "_xy": F.sum(x * y)}
-    places = rows.groupBy(*by, position).agg(*(v.alias(k) for k, v in parts.items()))
-    sums = drawn(places, by, position, repeats, seed).groupBy(*by, "_rep").agg(*(F.sum(k).alias(k) for k in parts))
-    spread = (F.col("_xx") - F.col("_sx") * F.col("_sx") / F.col("_c")) * (F.col("_yy") - F.col("_sy") * F.col("_sy") / F.col("_c"))
-    rho = F.when(spread > 1e-9, (F.col("_xy") - F.col("_sx") * F.col("_sy") / F.col("_c")) / F.sqrt(spread)).otherwise(0.0)
-    return limits(sums.withColumn("_rho", rho), by, "_rho")
+    made = positions.replicates(positions.gathered(rows.dropna(subset=by), by, position, {"rho": F.lit(True)}), by, ["rho"], repeats, str(seed), named=False)
+    return positions.limits(made, by, "rho")
 
 
 def improvements(df: DataFrame, by: list[str], order: list[Column | str], gain: str = "gain", regret: str = "regret", steps: int = 10) -> DataFrame:

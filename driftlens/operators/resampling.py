@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.codes import draw
+from driftlens.operators import positions
 from driftlens.operators.crossfit import areas
 from driftlens.operators.metrics import average_rank, finite, regression
 from driftlens.operators.nested import limits
+from driftlens.operators.storage import stored
 
 
 def times(units: DataFrame, by: list[str], unit: str, repeats: int = 200, seed: int = 1, level: str = "") -> DataFrame:
@@ -74,16 +76,13 @@ def nested_external(df: DataFrame, models: tuple[str, str], protein: str = "prot
     rows = df.filter(F.col(model).isin(*models) & finite(observed) & finite(predicted))
     one = [protein, assay, model]
     ranked = rows.select(*one, position, average_rank(observed, one).alias("_x"), average_rank(predicted, one).alias("_y"))
-    x, y = F.col("_x"), F.col("_y")
-    parts = {"_c": F.count(F.lit(1)), "_sx": F.sum(x), "_sy": F.sum(y), "_xx": F.sum(x * x), "_yy": F.sum(y * y), "_xy": F.sum(x * y)}
-    places = ranked.groupBy(*one, position).agg(*(v.alias(k) for k, v in parts.items()))
-    taken = times(places, [protein, assay], position, repeats, seed, "position")
-    sums = places.join(taken, [protein, assay, position]).groupBy(*one, "_rep").agg(*(F.sum(F.col(k) * F.col("_times")).alias(k) for k in parts))
-    spread = (F.col("_xx") - F.col("_sx") * F.col("_sx") / F.col("_c")) * (F.col("_yy") - F.col("_sy") * F.col("_sy") / F.col("_c"))
-    rho = F.when(spread > 1e-9, (F.col("_xy") - F.col("_sx") * F.col("_sy") / F.col("_c")) / F.sqrt(spread)).otherwise(0.0)
-    values = sums.select(*one, "_rep", rho.alias("_rho"))
-    assays = times(rows, [protein], assay, repeats, seed, "assay").withColumnRenamed("_times", "_a")
-    proteins = times(rows, [], protein, repeats, seed, "protein").withColumnRenamed("_times", "_b")
+    sides = {f"_side{i}": (F.col(model) == m) & F.col(position).isNotNull() for i, m in enumerate(models)}
+    places = positions.gathered(ranked, [protein, assay], position, sides).withColumn("_name", F.concat_ws("/", protein, assay))
+    # written once, with an assay's draws in its row: means, draws of assays and counts read this
+    every = stored(positions.replicates(places, [protein, assay], list(sides), repeats, f"{seed}|position", named=True))
+    values = every.select(protein, assay, F.explode(F.array(*(F.struct(F.lit(m).alias(model), F.col(c).alias("_all")) for m, c in zip(models, sides, strict=True)))).alias("_m")).select(protein, assay, f"_m.{model}", F.posexplode("_m._all").alias("_rep", "_rho")).dropna(subset=["_rho"])
+    assays = times(every, [protein], assay, repeats, seed, "assay").withColumnRenamed("_times", "_a")
+    proteins = times(every, [], protein, repeats, seed, "protein").withColumnRenamed("_times", "_b")
     mean = lambda v, w: F.sum(F.col(v) * F.col(w)) / F.sum(w)
     per = values.join(assays, [protein, assay, "_rep"]).groupBy(protein, model, "_rep").agg(mean("_rho", "_a").alias("_v"))
     drawn = per.join(proteins, [protein, "_rep"]).groupBy(model, "_rep").agg(mean("_v", "_b").alias("value"))
@@ -95,6 +94,6 @@ def nested_external(df: DataFrame, models: tuple[str, str], protein: str = "prot
         return made.select(F.col(model).alias("model"), *by, "value").unionByName(gap)
 
     reps = with_difference(drawn, ["_rep"])
-    sizes = rows.agg(F.count_distinct(protein).alias("proteins"), F.count_distinct(assay).alias("assays"))
+    sizes = every.agg(F.count_distinct(protein).alias("proteins"), F.count_distinct(assay).alias("assays"))
     made = reps.groupBy("model").agg(F.avg("value").alias("bootstrap_mean")).join(limits(reps, ["model"], "value").drop("p"), "model")
     return with_difference(points, []).withColumnRenamed("value", "mean_spearman").join(made, "model").crossJoin(sizes).withColumn("above_zero", F.col("lower") > 0)

@@ -1,12 +1,13 @@
 """Work that must not grow faster than its input, held against the plain form."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.operators import linear, sparse, supervised
+from driftlens.operators import linear, metrics, nested, positions, resampling, sparse, supervised
 from driftlens.plans import bindings
 
 
@@ -111,3 +112,57 @@ def test_audits_deal_runs_once_and_rank_pairs_by_counts(spark, lines, monkeypatc
     told = {(x["model_id"], x["target_id"]): (x["expected"], x["_one"]) for x in gates._covered(every, models, ("one",)).collect()}
     want = {(x["model_id"], x["target_id"]): (x["expected"], x["scored"]) for x in gates.target_coverage(first, expected, models).collect()}
     assert told == want and told["a", "t9"] == (1, 0)
+
+
+def test_positions_are_drawn_where_their_group_is(spark):
+    """The draws and sums of the long form, without a row a draw."""
+    rows = [(g, i * (3 + 4 * k) % 23 if i % 9 else None, float(i * 37 % 11), float(i * (5 + k) % 13)) for k, g in enumerate(("g", "h", None)) for i in range(60)] + [("one", 1, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "grp string, position int, observed double, predicted double")
+    made = nested.position_rank(df, ["grp"], repeats=20)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    ranked = df.select("grp", "position", *(metrics.average_rank(c, ["grp"]).alias(n) for c, n in (("observed", "_x"), ("predicted", "_y"))))
+    x, y = F.col("_x"), F.col("_y")
+    parts = {"_c": F.count(F.lit(1)), "_sx": F.sum(x), "_sy": F.sum(y), "_xx": F.sum(x * x), "_yy": F.sum(y * y), "_xy": F.sum(x * y)}
+    places = ranked.groupBy("grp", "position").agg(*(v.alias(k) for k, v in parts.items()))
+    sums = nested.drawn(places, ["grp"], "position", 20).groupBy("grp", "_rep").agg(*(F.sum(k).alias(k) for k in parts))
+    spread = F.expr("(_xx - _sx * _sx / _c) * (_yy - _sy * _sy / _c)")
+    long = nested.limits(sums.withColumn("_rho", F.when(spread > 1e-9, F.expr("_xy - _sx * _sy / _c") / F.sqrt(spread)).otherwise(0.0)), ["grp"], "_rho")
+    told = lambda t: {r["grp"]: r[1:] for r in t.collect()}
+    got, want = told(made), told(long)
+    assert got.keys() == want.keys() == {"g", "h", "one"} and all(got[k] == pytest.approx(want[k]) for k in want) and got["g"] != got["h"]
+
+
+def test_named_draws_are_those_of_the_long_form(spark):
+    rows = [(p, a, m, i % 7 if (i, m) != (3, "u") else 8, float(i * 37 % 11), float(i * (5 + len(m)) % 13)) for p, a in (("p", "a"), ("p", "b"), ("q", "c")) for m in ("u", "vv") for i in range(30)]
+    df = spark.createDataFrame(rows, "protein_id string, assay_id string, model_id string, position int, observed double, predicted double")
+    by = ["protein_id", "assay_id"]
+    ranked = df.select(*by, "model_id", "position", *(metrics.average_rank(c, [*by, "model_id"]).alias(n) for c, n in (("observed", "_x"), ("predicted", "_y"))))
+    places = positions.gathered(ranked, by, "position", {m: F.col("model_id") == m for m in ("u", "vv")}).withColumn("_name", F.concat_ws("/", *by))
+    got = {(r["assay_id"], m, i): v for r in positions.replicates(places, by, ["u", "vv"], 9, "1|position", named=True).collect() for m in ("u", "vv") for i, v in enumerate(r[m])}
+    taken = resampling.times(df, by, "position", 9, 1, "position")
+    want = ranked.join(taken, [*by, "position"]).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).groupBy("assay_id", "model_id", "_rep").agg(F.corr("_x", "_y").alias("v"))
+    want = {(r["assay_id"], r["model_id"], r["_rep"]): r["v"] for r in want.collect()}
+    assert got.keys() == want.keys() and len(got) == 54 and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_items_have_tasks_by_their_lines(spark, lines, monkeypatch):
+    monkeypatch.setattr(bindings, "LINES", 500)
+    assert bindings.scores(spark, lines).rdd.getNumPartitions() == 12
+
+
+def test_draws_within_levels_are_spread_and_those_of_the_long_form(spark):
+    """Copies are dealt by replicate and path, not by the few groups above; a repeated or null unit counts as before."""
+    rows = [("m", f"f{i % 3}", f"f{i % 3}p{i % 2}", None if i == 7 else f"a{i}", float(i)) for i in range(40)] + [("m", "f0", "f0p0", "a0", 99.0), (None, "f", "p", "a", 1.0)]
+    df = spark.createDataFrame(rows, "g string, f string, p string, a string, v double")
+    got = nested.within(df, ["g"], ["f", "p", "a"], repeats=6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_path" in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning(_rep" in line)
+    want = []
+    units = lambda above: sorted({r[len(above) + 1] for r in rows if r[0] == "m" and r[1:len(above) + 1] == above}, key=lambda v: (v is not None, v))
+    pick = lambda path, n: int(hashlib.md5(f"1|{path}".encode()).hexdigest()[:8], 16) % n
+    for rep in range(6):
+        state = [((), str(rep))]
+        for _ in range(3):
+            state = [((*above, units(above)[pick(f"{path}|{i}", len(units(above)))]), f"{path}|{i}") for above, path in state for i in range(len(units(above)))]
+        want += [(rep, r[4]) for keys, _ in state if None not in keys for r in rows if r[:4] == ("m", *keys)]
+    assert sorted((r["_rep"], r["v"]) for r in got.collect()) == sorted(want)
