@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import codes, names
 from driftlens.functions.codes import RESIDUES
 from driftlens.operators import joins, metrics, panels, policies, splits, summaries
-from driftlens.plans.bindings import items, scores, variants
+from driftlens.plans.bindings import dealt_over, items, scores, variants
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _POSITION, _RANDOM, _RUNS, _SCORES, _TASK_SQL, TASK, _ranked, _round, _split_runs
 
 _SEQ = RESIDUES * 3
@@ -147,9 +147,15 @@ def j_run_repeatability(spark, d):
 
 def j_paired_phenotypes(spark, d):
     """Each assay with the next one of its protein: outcomes and predictors over the codes that both have."""
-    rows = scores(spark, d)
-    other = rows.select("protein_id", F.concat(F.lit("A"), _number("assay_id") - 40).alias("assay_id"), "model_id", "code", F.col("observed").alias("observed_b"), F.col("predicted").alias("predicted_b"))
-    shared = rows.join(other, ["protein_id", *TASK, "code"])
+    rows, key = items(spark, d), ["protein_id", "assay_id", "code"]
+    values, none = ["observed", "qty", "disc", "tax"], F.lit(None).cast("struct<observed: double, qty: double, disc: double, tax: double>")
+    side = lambda assay, one, two: rows.select("protein_id", assay.alias("assay_id"), "code", one.alias("a"), two.alias("b"))
+    own = F.struct(*values)
+    # an assay's own items and the next one's meet by one dealing, before a row is made for each predictor
+    both = side(F.col("assay_id"), own, none).unionByName(side(F.concat(F.lit("A"), _number("assay_id") - 40), none, own))
+    met = both.repartition(2 * dealt_over(_t(spark, d, "lineitem")), "assay_id").groupBy(*key).agg(F.max("a").alias("a"), F.max("b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model_id"), (F.col("a")[m] * 1000.0).alias("predicted"), (F.col("b")[m] * 1000.0).alias("predicted_b")) for m in values[1:]))).alias("_m")
+    shared = met.dropna(subset=key).select(*key, F.col("a.observed").alias("observed"), F.col("b.observed").alias("observed_b"), each).select("*", "_m.*").drop("_m")
     outcome = joins.rank_correlation(shared.filter("model_id = 'qty'"), ["protein_id", "assay_id"], "observed", "observed_b").withColumnRenamed("rho", "outcome_rho")
     each = joins.rank_correlation(shared, ["protein_id", *TASK], "predicted", "predicted_b")
     agreement = each.groupBy("protein_id", "assay_id").agg(F.median("rho").alias("median_rho"), F.min("rho").alias("least_rho"))

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.operators import linear, metrics, nested, positions, resampling, sparse, supervised
-from driftlens.plans import bindings
+from driftlens.operators import cohorts, linear, metrics, nested, panels, positions, resampling, sparse, supervised
+from driftlens.plans import bindings, deeper, ledgers, models
+from driftlens.plans import panels as panel_plans
 
 
 @pytest.fixture(scope="module")
@@ -166,3 +167,42 @@ def test_draws_within_levels_are_spread_and_those_of_the_long_form(spark):
             state = [((*above, units(above)[pick(f"{path}|{i}", len(units(above)))]), f"{path}|{i}") for above, path in state for i in range(len(units(above)))]
         want += [(rep, r[4]) for keys, _ in state if None not in keys for r in rows if r[:4] == ("m", *keys)]
     assert sorted((r["_rep"], r["v"]) for r in got.collect()) == sorted(want)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_many_jobs_read_is_written_once(spark, lines, monkeypatch):
+    """No plan that later jobs repeat goes back to the lines."""
+    tasks, sure = models._tasks(spark, lines), deeper._surest(spark, lines)
+    assert tasks.count() > 0 and sure.count() > 0 and "lineitem" not in _plan(tasks) + _plan(sure)
+    given = []
+    monkeypatch.setattr(models.adapters, "score_panel", lambda a, targets, rows, *_: given.extend([targets, rows]) or (rows.limit(0).withColumn("score", F.lit(1.0)), targets.limit(0)))
+    with pytest.raises(Exception):  # the stand-in's audit has no columns of its own
+        models.io_score_panel(spark, lines)
+    assert len(given) == 4 and not any("lineitem" in _plan(df) for df in given)
+    assert "lineitem" not in _plan(ledgers.run_benchmark(spark, lines))
+
+
+def test_a_paired_assay_is_dealt_once(spark, lines):
+    assert "code#" not in "".join(p for p in _plan(panel_plans.j_paired_phenotypes(spark, lines)).splitlines() if "Exchange hashpartitioning" in p)
+
+
+def test_proteins_of_a_summary_are_written(spark):
+    runs = spark.range(40).select((F.col("id") % 2).alias("m"), (F.col("id") % 5).alias("p"), F.col("id").alias("a"), (F.col("id") * 7 % 11 / 3).alias("v"))
+    made = panels.protein_summary(runs, ["m"], "p", "a", ["v"], repeats=20)
+    assert "Range (" not in _plan(made) and {(r["n_assays"], r["n_proteins"]) for r in made.collect()} == {(20, 5)}
+
+
+def test_outcome_tables_are_parsed_once_with_the_medians_of_their_rows(spark):
+    rows = [("t", "p.Ala1Val", v, None) for v in (1.0, 4.0, 2.0, 9.0)] + [("t", "p.Ala1Gly", 5.0, None), ("t", "p.Ala1Leu", None, None), ("t", "nothing", 1.0, None), ("t", "p.Val1Ala", 1.0, None)]
+    rows += [("t", "p.Ala1=", v, None) for v in (3.0, 1.0, 8.0)] + [("t", "p.Cys2=", 2.0, None)] + [("t", "p.Cys2Ter", v, None) for v in (7.0, 5.0, 9.0)] + [("u", "nothing", 1.0, -1)]
+    df = spark.createDataFrame(rows, "urn string, code string, score double, orientation int").withColumn("sequence", F.lit("AC"))
+    variants, audit = cohorts.canonical(df, ["urn"], "code", "score", "sequence", "orientation", controls=3)
+    assert "Aggregate" not in _plan(audit) and "LocalTableScan" not in _plan(variants)
+    # synonymous 1, 2, 3, 8: 2.5; termination 5, 7, 9: 7
+    assert {r["variant"]: (r["raw_score"], r["source_rows"], r["score"]) for r in variants.collect()} == {"A1V": (3.0, 4, -3.0), "A1G": (5.0, 1, -5.0)}
+    told = {r["urn"]: r.asDict() for r in audit.collect()}
+    assert [told["t"][c] for c in ("input_rows", "parsed_rows", "invalid_codes", "reference_mismatches", "synonymous_controls", "termination_controls", "direction", "variants", "repeated_rows")] == [15, 12, 1, 1, 4, 3, -1, 2, 4]
+    assert [told["u"][c] for c in ("input_rows", "parsed_rows", "direction", "variants", "repeated_rows")] == [1, 0, -1, 0, 0]
