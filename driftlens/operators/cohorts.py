@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions import names
 from driftlens.operators.metrics import finite
+from driftlens.operators.storage import stored
 
 
 def consequences(df: DataFrame, by: list[str], code: str, score: str, sequence: str, orientation: str) -> DataFrame:
@@ -22,6 +23,13 @@ def consequences(df: DataFrame, by: list[str], code: str, score: str, sequence:
     return rows.select(*by, "orientation", "raw_score", m["pos"].alias("position"), F.concat(m["ref"], m["pos"].cast("string"), m["alt"]).alias("variant"), effect.alias("effect"))
 
 
+def _middle(values: Column) -> Column:
+    """The median of a sorted array without nulls; null for an empty one."""
+    n = F.size(values)
+    at = lambda i: F.get(values, F.floor(i).cast("int"))
+    return F.when(n % 2 == 1, at(n / 2)).when(n > 0, at(n / 2 - 1) * 0.5 + at(n / 2) * 0.5)
+
+
 def canonical(df: DataFrame, by: list[str], code: str, score: str, sequence: str, orientation: str, controls: int = 10) -> tuple[DataFrame, DataFrame]:
     """(variants, audit) of each table in df; by names the table.
 
@@ -29,23 +37,27 @@ def canonical(df: DataFrame, by: list[str], code: str, score: str, sequence: str
     times the table's direction. The direction is what is stated (1 or -1); without a statement the sign of the synonymous
     median less the termination median, if there are `controls` rows of each; else null, and null scores.
     audit: a row for each table, one without any usable row too. Classes' medians hold a table's distinct control scores."""
-    rows = consequences(df, by, code, score, sequence, orientation)
-    of = lambda e: F.count_if(F.col("effect") == e)
-    middle = lambda e: F.median(F.when(F.col("effect") == e, F.col("raw_score")))
+    usable = F.col("effect").isin("synonymous", "termination", "missense")
+    rows = consequences(df, by, code, score, sequence, orientation).repartition(*by)
+    # each table's rows are dealt once; cells, written once, hold the few scores of a substitution, sorted
+    cells = rows.groupBy(*by, "effect", "variant", "position").agg(F.count(F.lit(1)).alias("_k"), F.max("orientation").alias("orientation"), F.sort_array(F.collect_list(F.when(usable, F.col("raw_score")))).alias("_scores"))
+    cells = stored(cells)
+    of = lambda e: F.coalesce(F.sum(F.when(F.col("effect").isin(*e), F.col("_k"))), F.lit(0))
+    middle = lambda e: _middle(F.sort_array(F.flatten(F.collect_list(F.when(F.col("effect") == e, F.col("_scores"))))))
     shown = F.signum(middle("synonymous") - middle("termination")).cast("int")
     told = F.max("orientation")
-    enough = (of("synonymous") >= controls) & (of("termination") >= controls)
+    enough = (of(["synonymous"]) >= controls) & (of(["termination"]) >= controls)
     direction = F.when(told.isNull() & enough & (shown != 0), shown).when(told.isin(1, -1), told)
-    tables = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("input_rows"), F.count_if(F.col("effect").isin("synonymous", "termination", "missense")).alias("parsed_rows"), of("invalid").alias("invalid_codes"), of("mismatch").alias("reference_mismatches"),
-        of("synonymous").alias("synonymous_controls"), of("termination").alias("termination_controls"), direction.alias("direction"),
+    tables = cells.groupBy(*by).agg(
+        F.sum("_k").alias("input_rows"), of(["synonymous", "termination", "missense"]).alias("parsed_rows"), of(["invalid"]).alias("invalid_codes"), of(["mismatch"]).alias("reference_mismatches"),
+        of(["synonymous"]).alias("synonymous_controls"), of(["termination"]).alias("termination_controls"), direction.alias("direction"),
     )
-    single = rows.filter("effect = 'missense'").groupBy(*by, "variant", "position").agg(F.median("raw_score").alias("raw_score"), F.count(F.lit(1)).alias("source_rows"))
+    single = cells.filter("effect = 'missense'").select(*by, "variant", "position", _middle(F.col("_scores")).alias("raw_score"), F.col("_k").alias("source_rows"))
     variants = single.join(tables.select(*by, "direction"), by).select(*by, "variant", "position", "raw_score", "source_rows", (F.col("raw_score") * F.col("direction")).alias("score"))
     held = single.groupBy(*by).agg(
         F.count(F.lit(1)).alias("variants"), F.count_distinct("position").alias("positions"), F.count_distinct("raw_score").alias("unique_scores"), F.sum(F.when(F.col("source_rows") > 1, F.col("source_rows"))).alias("repeated_rows"),
     )
-    return variants, tables.join(held, by, "left").na.fill(0, ["variants", "positions", "unique_scores", "repeated_rows"])
+    return variants, stored(tables.join(held, by, "left").na.fill(0, ["variants", "positions", "unique_scores", "repeated_rows"]))
 
 
 def cohort(variants: DataFrame, audit: DataFrame, by: list[str], least: int = 500, positions: int = 20, scores: int = 10) -> tuple[DataFrame, DataFrame]:
