@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import codes, names
 from driftlens.functions.codes import RESIDUES
 from driftlens.operators import contracts, features, fits, intervals, joins, metrics, policies, ranks, splits, summaries
+from driftlens.operators.storage import stored
 from driftlens.plans.audits import _TOP, _chosen
 from driftlens.plans.bindings import items, scores, variants
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _POSITION, _RUNS, _SCORES, _TASK_SQL, TASK, _ranked, _round, _split_runs
@@ -238,9 +239,14 @@ def run_benchmark(spark, d):
     """Two fits on three splits of every assay, with their metrics."""
     source = items(spark, d).drop("qty", "disc", "tax")
     by = ["assay_id", "split"]
-    rows = splits.random_item(source, ["assay_id"]).withColumn("split", F.lit("random"))
-    rows = rows.unionByName(splits.position(source, ["assay_id"]).withColumn("split", F.lit("position"))).unionByName(splits.modulo(source, 2).withColumn("split", F.lit("modulo")))
-    full = features.biophysical(rows)
+    made = {"random": lambda r: splits.random_item(r, ["assay_id"]), "position": lambda r: splits.position(r, ["assay_id"]), "modulo": lambda r: splits.modulo(r, 2)}
+    rows = source
+    for name, split in made.items():
+        rows = split(rows).withColumnRenamed("role", f"_{name}")
+    # all splits on one dealing, features once a code, written once: both fits read train and test rows
+    full = stored(features.biophysical(rows))
+    full = full.withColumn("_s", F.explode(F.array(*(F.struct(F.lit(n).alias("split"), F.col(f"_{n}").alias("role")) for n in made)))).select("*", "_s.*").drop("_s", *(f"_{n}" for n in made))
+    rows = full.select("assay_id", "split", "code", "observed", "role")
     columns = ["assay_id", "split", "code", "observed", "predicted", "model"]
     predicted = fits.mean(rows, by).withColumn("model", F.lit("mean")).select(*columns).unionByName(fits.ridge(full, by, features.NAMES).withColumn("model", F.lit("biophysical_ridge")).select(*columns))
     return metrics.regression(predicted, [*by, "model"])
