@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.operators import fits, graph, intervals, joins, metrics, nested, panels, registries, summaries
+from driftlens.operators.storage import stored
 from driftlens.plans.audits import _TOP, _chosen
 from driftlens.plans.bindings import items, scores
 from driftlens.plans.studies import _DRAW, _FLAT, _ITEMS, _SCORES, _TASK_SQL, TASK, _ranked, _round
@@ -59,7 +60,8 @@ def b_position_rank(spark, d):
 
 def _surest(spark, d):
     number = F.substr("protein_id", F.lit(2)).cast("int")
-    return _chosen(spark, d).withColumns({"family_id": F.concat(F.lit("F"), (number % 15).cast("string")), "panel": number % 3, "study": number % 2})
+    # written once: each level of a bootstrap reads it
+    return stored(_chosen(spark, d)).withColumns({"family_id": F.concat(F.lit("F"), (number % 15).cast("string")), "panel": number % 3, "study": number % 2})
 
 
 def _order() -> list[Column]:

@@ -214,8 +214,9 @@ def a_gates_transport(spark, d):
 def a_gates_conservative(spark, d):
     """Gates over all tasks (panel -1) and each panel."""
     tasks = _surest(spark, d).withColumn("panel", F.explode(F.array(F.col("panel").cast("int"), F.lit(-1))))
-    points = _round(nested.improvements(tasks, ["panel"], _order()), *nested.IMPROVEMENTS)
-    limit = nested.bootstrap_improvements(tasks, ["panel"], LEVELS, _order(), REPEATS).withColumn("lower", F.round("lower", 9))
+    points = stored(_round(nested.improvements(tasks, ["panel"], _order()), *nested.IMPROVEMENTS))
+    # gates read the limits, a row a panel and improvement, several times: draws are made once
+    limit = stored(nested.bootstrap_improvements(tasks, ["panel"], LEVELS, _order(), REPEATS)).withColumn("lower", F.round("lower", 9))
     point = points.filter("panel = -1").unpivot([], nested.IMPROVEMENTS, "name", "value")
     made = gates.conservative_gates(point, limit.filter("panel = -1").select("name", "lower", "p"), points.filter("panel >= 0"), limit.filter("panel >= 0 AND name = 'regret_auc'").select("panel", "p"))
     return _round(made, "value", "lower", "adjusted", digits=6)
