@@ -28,7 +28,8 @@ def protein_summary(runs: DataFrame, by: list[str], protein: str, assay: str, va
     """Assays, proteins, and for each value the mean in which proteins weigh the same, with 95 % limits over
     proteins drawn anew (null for fewer than two)."""
     assays = runs.groupBy(*by, protein, assay).agg(*(F.avg(v).alias(v) for v in values))
-    proteins = assays.groupBy(*by, protein).agg(F.count_distinct(assay).alias("_assays"), *(F.avg(v).alias(v) for v in values))
+    # written: a row a protein, which means, draws and their values read
+    proteins = stored(assays.groupBy(*by, protein).agg(F.count_distinct(assay).alias("_assays"), *(F.avg(v).alias(v) for v in values)))
     points = proteins.groupBy(*by).agg(F.sum("_assays").alias("n_assays"), F.count(F.lit(1)).alias("n_proteins"), *(F.avg(v).alias(f"mean_{v}") for v in values))
     edge = lambda v, q: F.when(F.max("_n") > 1, F.percentile(v, F.lit(q)))
     limits = replicates(proteins, by, protein, values, repeats).groupBy(*by).agg(*(e for v in values for e in (edge(v, 0.025).alias(f"{v}_ci_low"), edge(v, 0.975).alias(f"{v}_ci_high"))))
