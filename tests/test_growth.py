@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.operators import cohorts, linear, metrics, nested, panels, positions, resampling, sparse, supervised
-from driftlens.plans import bindings, deeper, ledgers, models
+from driftlens.plans import bindings, deeper, ledgers, models, studies
 from driftlens.plans import panels as panel_plans
 
 
@@ -206,3 +206,7 @@ def test_outcome_tables_are_parsed_once_with_the_medians_of_their_rows(spark):
     told = {r["urn"]: r.asDict() for r in audit.collect()}
     assert [told["t"][c] for c in ("input_rows", "parsed_rows", "invalid_codes", "reference_mismatches", "synonymous_controls", "termination_controls", "direction", "variants", "repeated_rows")] == [15, 12, 1, 1, 4, 3, -1, 2, 4]
     assert [told["u"][c] for c in ("input_rows", "parsed_rows", "direction", "variants", "repeated_rows")] == [1, 0, -1, 0, 0]
+
+
+def test_split_runs_stay_where_their_assay_is(spark, lines):
+    assert _plan(studies._split_runs(spark, lines)).count("Exchange hashpartitioning") == 1
