@@ -47,8 +47,8 @@ SMALL = 16
 FRAGMENTS = 4
 #: Members of a group that are compared at once.
 TILE = 1024
-#: Rows of the fine fragments for each bucket, about.
-BUCKET_ROWS = 500_000
+#: Rows of the fine fragments for each bucket, about, and those of them that are sorted at once.
+BUCKET_ROWS, SORTED_ROWS = 4_000_000, 500_000
 #: Pairs whose sets meet in one bucket, about.
 BUCKET_PAIRS = 1_000
 #: Bits a wanted id takes in the filter of ids, and the ids up to which a filter is sent to all tasks (16 MB).
@@ -131,8 +131,11 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, need bigint")
 
 
-def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(gid, cls, size, times): the distinct groups of two classes or more that share a fine fragment, and how many they share."""
+def dealt(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+    """(bucket, low, high, owners, times): the fine fragments of each class in runs, an owner and how many are its own.
+
+    48 bits of a fragment's hash are kept beside its bucket, an owner is named once a run: the bytes of a fragment
+    are at most 15 however many buckets there are. Two fragments taken for one make a group larger, never smaller."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +161,27 @@ def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 sig, owner = np.concatenate(sigs), np.concatenate(owners)
                 bucket = ((sig >> U(20)) % U(buckets)).astype(np.int64)
                 order = bucket.argsort(kind="stable")
-                used, first = np.unique(bucket[order], return_index=True)
-                cuts = [*first.tolist(), len(order)]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(used, pa.int32()),
-                    "sigs": pa.array([sig[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                    "owners": pa.array([owner[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                })
+                sig, owner, bucket = sig[order], owner[order], bucket[order]
+                new = np.ones(len(sig), bool)
+                new[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
+                place = np.arange(len(sig))
+                # a run's number is one byte: longer ones are several
+                runs = np.flatnonzero((place - np.maximum.accumulate(np.where(new, place, 0))) % 255 == 0)
+                low, high = (sig & U(0xFFFFFFFF)).astype(np.uint32), ((sig >> U(32)) & U(0xFFFF)).astype(np.uint16)
+                owner, times = owner[runs], np.diff(np.append(runs, len(sig))).astype(np.uint8)
+                used, first = np.unique(bucket, return_index=True)
+                cuts = np.append(first, len(sig))
+                spans, told = list(zip(cuts, cuts[1:], strict=False)), np.searchsorted(runs, cuts)
+                told = list(zip(told, told[1:], strict=False))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), **{c: pa.array([v[a:b].tobytes() for a, b in at], pa.binary()) for c, v, at in (("low", low, spans), ("high", high, spans), ("owners", owner, told), ("times", times, told))}})
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, low binary, high binary, owners binary, times binary")
 
-    def gather(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint64)
-        owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.uint64)
+
+def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+    """(gid, cls, size, times): the distinct groups of two classes or more that share a fine fragment, and how many they share."""
+
+    def shared(sig: np.ndarray, owner: np.ndarray) -> pa.Table:
         order = sig.argsort(kind="stable")
         sig, owner = sig[order], owner[order]
         same = np.flatnonzero(sig[1:] == sig[:-1])
@@ -191,8 +204,17 @@ def groups(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         rows = np.repeat(take, size)
         return pa.table({"gid": pa.array(_signed(np.repeat(gid, size)[rows])), "cls": pa.array(_signed(owner[rows])), "size": pa.array(np.repeat(size, size)[rows], pa.int64()), "times": pa.array(np.repeat(often[which], size)[rows], pa.int64())})
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, sigs binary, owners binary")
-    return found.groupBy("bucket").applyInArrow(gather, "gid bigint, cls bigint, size bigint, times bigint").groupBy("gid", "cls").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
+    def gather(table: pa.Table) -> pa.Table:
+        low, high, owners, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("high", np.uint16), ("owners", np.uint64), ("times", np.uint8)))
+        whose = np.repeat(np.arange(len(owners), dtype=np.uint32), times)
+        slices = -(-len(low) // SORTED_ROWS)
+        found = []
+        for k in range(slices):
+            at = np.flatnonzero(low % np.uint32(slices) == k)
+            found.append(shared((high[at].astype(np.uint64) << U(32)) | low[at], owners[whose[at]]))
+        return pa.concat_tables(found)
+
+    return dealt(docs, text, buckets).groupBy("bucket").applyInArrow(gather, "gid bigint, cls bigint, size bigint, times bigint").groupBy("gid", "cls").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
 
 
 def _filter(ids: DataFrame, bits: int) -> np.ndarray:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,23 @@ def test_ngram_join_tiles(spark, monkeypatch, docs):
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: c for i, (_, c) in brute_components(own).items()}
 
 
+def test_ngram_join_names_an_owner_once_a_run_and_sorts_in_slices(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(900)) for _ in range(n)) for n in [400] * 30 + [9000]]
+    texts += [t.replace("a1", "b2") for t in texts]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    told = lambda: {(x["gid"], x["cls"]): (x["size"], x["times"]) for x in ngram_join.groups(rows, "text", 8).collect()}
+    want = told()
+    assert want
+    monkeypatch.setattr(ngram_join, "SORTED_ROWS", 50)
+    assert told() == want
+    kept = ngram_join.dealt(rows, "text", 8).select("bucket", *(F.octet_length(c).alias(c) for c in ("low", "high", "owners", "times"))).collect()
+    n = sum(x["low"] for x in kept) / 4
+    assert n == sum(len(ngram_join.signatures(s)) for s in (ngram_join.shingle_sets(pa.array([t]))[0] for t in texts))
+    # 8 bytes of an owner for each fragment made 16
+    assert sum(x["low"] + x["high"] + x["owners"] + x["times"] for x in kept) < 7 * n
+
+
 def test_ngram_join_components_of_a_long_chain(spark):
     order = [int(x) for x in np.random.default_rng(4).permutation(500)]
     nodes = spark.createDataFrame([(i,) for i in order], "cls long")
