@@ -25,7 +25,12 @@ def ridge(df: DataFrame, by: list[str], features: list[str], role: str = "role",
 
 
 def best_single(df: DataFrame, by: list[str], model: str, role: str = "role", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
-    """df's test rows of the one model that ranks its group's train rows best (ties: least name), with train_spearman."""
+    """df's test rows of the one model that ranks its group's train rows best (ties: least name), with train_spearman.
+
+    Groups meet by `by` alone, so that rows dealt by it stay where they are; as a key of the join, the model would
+    deal all test rows anew into the few tasks of a small shuffle."""
     ranks = regression(df.filter(F.col(role) == "train"), [*by, model], observed, predicted).select(*by, model, F.round("spearman", 9).alias("train_spearman"))
-    best = ranks.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("train_spearman"), model))).filter("_i = 1").drop("_i")
-    return df.filter(F.col(role) == "test").join(best, [*by, model])
+    best = ranks.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("train_spearman"), model))).filter("_i = 1").select(*by, F.array(model).alias("_best"), "train_spearman")
+    rows = df.filter(F.col(role) == "test")
+    both = (rows.join(best, by) if by else rows.crossJoin(best)).filter(F.array_contains("_best", F.col(model)))
+    return both.select(*by, model, *(c for c in df.columns if c not in (*by, model)), "train_spearman")

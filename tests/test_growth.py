@@ -210,3 +210,21 @@ def test_outcome_tables_are_parsed_once_with_the_medians_of_their_rows(spark):
 
 def test_split_runs_stay_where_their_assay_is(spark, lines):
     assert _plan(studies._split_runs(spark, lines)).count("Exchange hashpartitioning") == 1
+
+
+def test_best_single_leaves_rows_where_their_group_is(spark, lines):
+    """Train and test rows are dealt once each, by assay; the chosen model is no key that deals them again."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = deeper.ml_span(spark, lines)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        rows = bindings.scores(spark, lines).withColumn("role", F.when(F.col("position") % 5 == 2, "test").otherwise("train"))
+        best = {}
+        for r in sorted(metrics.regression(rows.filter("role = 'train'"), ["assay_id", "model_id"]).collect(), key=lambda r: (-round(r["spearman"], 9), r["model_id"])):
+            best.setdefault(r["assay_id"], r["model_id"])
+        want = {(a, m, n) for a, m, n in rows.filter("assay_id IS NOT NULL AND role = 'test' AND NOT isnan(observed) AND NOT isnan(predicted) AND predicted IS NOT NULL AND observed IS NOT NULL").groupBy("assay_id", "model_id").count().collect() if best.get(a) == m}
+        assert {(r["assay_id"], r["model_id"], r["n"]) for r in made.collect()} == want and want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
