@@ -135,7 +135,8 @@ def dealt(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """(bucket, low, high, owners, times): the fine fragments of each class in runs, an owner and how many are its own.
 
     48 bits of a fragment's hash are kept beside its bucket, an owner is named once a run: the bytes of a fragment
-    are at most 15 however many buckets there are. Two fragments taken for one make a group larger, never smaller."""
+    are at most 15, beside a row's head, however many buckets there are. Fragments of two classes taken for one make
+    a group larger, never smaller."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
