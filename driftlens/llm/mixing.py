@@ -3,7 +3,7 @@
 Each document gets a rate r = min(cap, exp(lambda_s * z)), z being its size over the mean size of its
 source s. These are the rates of least relative entropy to one copy each under the token constraint
 sum(size * r) = target_s with at most `cap` copies; lambda_s is the root of the derivative of the convex
-dual, found by Newton steps kept inside a bracket. Rates depend on (source, size) alone, so that every
+dual, found by Newton steps kept inside a bracket, all in one job. Rates depend on (source, size) alone, so that every
 step works on counts of documents by source and size. Rates become whole copies by systematic rounding:
 documents of a source are passed in order of size, and a copy is taken whenever the running sum of
 fractions crosses a whole number; the words taken stay within about one document of the target.
@@ -16,6 +16,8 @@ names in ADDED replace columns of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,46 +47,48 @@ def targets(by_source: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame
     return leveled.select("missing", "name", "source_size", "weight", F.coalesce(F.col("weight") * F.col("level"), F.col("limit")).alias("target"))
 
 
-def _rate(cap: float) -> Column:
+def _rate(lam: Column, z: Column, cap: float) -> Column:
     """min(cap, exp(lam * z)); the cap itself where it binds, free of rounding."""
-    free = F.col("lam") * F.col("z")
+    free = lam * z
     return F.when(free >= F.log(F.lit(cap)), F.lit(float(cap))).otherwise(F.exp(free))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def balance(cells: DataFrame, goals: DataFrame, cap: float = 3.0, steps: int = 40, within: float = 1e-9) -> DataFrame:
     """Newton's iteration: goals with `lam`, the multiplier of each source.
 
     cells(missing, name, size, z, n). lam starts at 0; a step that leaves the bracket halves it
-    instead. A target at the limit of cap times the size has all rates at the cap."""
-    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
-    state = goals.select("missing", "name", "source_size", "target", F.lit(0.0).alias("lam"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), (full | (F.col("target") <= 0)).alias("done"))
-    state = cut(state.withColumn("lam", F.when(full, F.lit(1e9)).when(F.col("target") <= 0, F.lit(-1e9)).otherwise(F.col("lam"))))
-    for _ in range(steps):
-        if state.filter(~F.col("done")).isEmpty():
-            break
-        rate = _rate(cap)
-        sums = (
-            cells.join(state.filter(~F.col("done")).select("missing", "name", "lam"), ["missing", "name"])
-            .groupBy("missing", "name")
-            .agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.when(F.col("lam") * F.col("z") < F.log(F.lit(cap)), F.col("n") * F.col("size") * F.col("z") * rate).otherwise(0.0)).alias("slope"))
-        )
-        gap = F.col("got") - F.col("target")
-        low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") - F.try_divide(gap, F.col("slope"))
-        moved = state.join(sums, ["missing", "name"], "left").withColumn("l2", low).withColumn("h2", high).withColumn("next", newton)
-        inside = F.col("next").isNotNull() & (F.col("next") > F.col("l2")) & (F.col("next") < F.col("h2"))
-        middle = F.when((F.col("l2") < -5e3) | (F.col("h2") > 5e3), F.col("lam") + F.when(gap < 0, 1.0).otherwise(-1.0) * F.greatest(F.lit(1.0), F.abs("lam"))).otherwise((F.col("l2") + F.col("h2")) / 2)
-        settled = F.col("done") | (F.abs(gap) <= within * F.greatest(F.lit(1.0), F.col("target")))
-        state = cut(
-            moved.select(
-                "missing", "name", "source_size", "target",
-                F.when(settled, F.col("lam")).when(inside, F.col("next")).otherwise(middle).alias("lam"),
-                F.when(settled, F.col("low")).otherwise(F.col("l2")).alias("low"),
-                F.when(settled, F.col("high")).otherwise(F.col("h2")).alias("high"),
-                settled.alias("done"),
-            )
-        )
-    return state
+    instead. A target at the limit of cap times the size has all rates at the cap. A source's distinct
+    sizes, in order, are folded in its own row, so that all steps are one job and sums do not hang on
+    partitions; d distinct sizes take d * (d + 1) / 2 words at least, which bounds the row."""
+    size, target = F.col("source_size"), F.col("target")
+    full = target >= cap * size * (1 - 1e-12)
+    start = F.struct(F.when(full, F.lit(1e9)).when(target <= 0, F.lit(-1e9)).otherwise(F.lit(0.0)).alias("lam"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), (full | (target <= 0)).alias("done"))
+
+    def moved(now: Column, sums: Column) -> Column:
+        lam, gap = now["lam"], sums["got"] - target
+        low, high = F.when(gap < 0, lam).otherwise(now["low"]), F.when(gap > 0, lam).otherwise(now["high"])
+        newton = lam - F.try_divide(gap, sums["slope"])
+        inside = newton.isNotNull() & (newton > low) & (newton < high)
+        middle = F.when((low < -5e3) | (high > 5e3), lam + F.when(gap < 0, 1.0).otherwise(-1.0) * F.greatest(F.lit(1.0), F.abs(lam))).otherwise((low + high) / 2)
+        settled = F.abs(gap) <= within * F.greatest(F.lit(1.0), target)
+        return F.struct(F.when(settled, lam).when(inside, newton).otherwise(middle).alias("lam"), F.when(settled, now["low"]).otherwise(low).alias("low"), F.when(settled, now["high"]).otherwise(high).alias("high"), settled.alias("done"))
+
+    def step(now: Column, _: Column) -> Column:
+        def add(sums: Column, cell: Column) -> Column:
+            words, free = cell["n"] * cell["size"], now["lam"] * cell["z"] < F.log(F.lit(cap))
+            return _with(words * _rate(now["lam"], cell["z"], cap), lambda x: F.struct((sums["got"] + x).alias("got"), (sums["slope"] + F.when(free, x * cell["z"]).otherwise(0.0)).alias("slope")))
+
+        sums = F.aggregate("sizes", F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("slope")), add)
+        return F.when(now["done"], now).otherwise(_with(sums, lambda x: moved(now, x)))
+
+    sizes = cells.groupBy("missing", "name").agg(F.sort_array(F.collect_list(F.struct("size", "z", "n"))).alias("sizes"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lam"]
+    return goals.join(sizes, ["missing", "name"], "left").select("missing", "name", "source_size", "target", found.alias("lam"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cap: float = 3.0) -> DataFrame:
@@ -102,14 +106,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     goals = cut(targets(by_source.select("missing", "name", "source_size"), cap).join(by_source.select("missing", "name", "docs"), ["missing", "name"]))
     mean = F.col("source_size") / F.col("docs")
     scaled = cells.join(goals.select("missing", "name", "source_size", "docs"), ["missing", "name"]).withColumn("z", F.when(F.col("source_size") > 0, F.col("size") / mean).otherwise(0.0))
-    solved = balance(scaled.filter("size > 0").groupBy("missing", "name", "size", "z").agg(F.sum("n").alias("n")), goals, cap)
+    solved = cut(balance(scaled.filter("size > 0").groupBy("missing", "name", "size", "z").agg(F.sum("n").alias("n")), goals, cap))
     # sums over a source's distinct sizes first, then over the salts within one size: no task holds a source's documents
-    rated = scaled.filter("size > 0").join(solved.select("missing", "name", "target", "lam"), ["missing", "name"]).withColumn("rate", _rate(cap)).withColumn("part", F.col("rate") - F.floor("rate"))
+    rated = scaled.filter("size > 0").join(solved.select("missing", "name", "target", "lam"), ["missing", "name"]).withColumn("rate", _rate(F.col("lam"), F.col("z"), cap)).withColumn("part", F.col("rate") - F.floor("rate"))
     before = lambda w: F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     sizes = rated.groupBy(*by[:3]).agg(F.sum(F.col("part") * F.col("n")).alias("sum"))
     starts = sizes.select(*by[:3], before(Window.partitionBy("missing", "name").orderBy("size")).alias("start"))
     within = rated.withColumn("sum", F.col("part") * F.col("n")).select(*by, "rate", "part", before(Window.partitionBy(*by[:3]).orderBy("salt")).alias("inner"))
-    rated = within.join(starts, by[:3]).select(*by, "rate", "part", (F.col("start") + F.col("inner") + 0.5).alias("offset"))
+    # written, so that the plan over the documents stays small
+    rated = cut(within.join(starts, by[:3]).select(*by, "rate", "part", (F.col("start") + F.col("inner") + 0.5).alias("offset")))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("order"))
     place = F.col("offset") + F.col("part") * F.col("rank")
     copies = F.floor("rate") + F.floor(place) - F.floor(place - F.col("part"))

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, with odd rows in every table."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -432,6 +433,25 @@ def test_mixing_meets_targets(spark, frame):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixing_solves_all_sources_in_one_job(spark):
+    r = random.Random(8)
+    cells = [(False, f"s{s}", size, float(r.randint(1, 5))) for s in range(6) for size in r.sample(range(1, 400), 50)]
+    cells = [(m, s, size, n, size * sum(c[3] for c in cells if c[1] == s) / sum(c[2] * c[3] for c in cells if c[1] == s)) for m, s, size, n in cells]
+    sizes = {s: sum(c[2] * c[3] for c in cells if c[1] == s) for s in {c[1] for c in cells}}
+    share = {"s0": 0.0, "s1": 0.1, "s2": 0.7, "s3": 1.0, "s4": 2.9, "s5": 3.0}
+    goals = [(False, s, float(sizes[s]), share[s] * sizes[s]) for s in sizes] + [(True, "", 0.0, 0.0)]
+    tables = spark.createDataFrame(cells, "missing boolean, name string, size long, n double, z double"), spark.createDataFrame(goals, "missing boolean, name string, source_size double, target double")
+    spark.sparkContext.setJobGroup("balance", "")
+    made = mixing.balance(*tables)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("balance"))
+    spark.sparkContext.setJobGroup("other", "")
+    lam = {x["name"]: x["lam"] for x in made.collect()}
+    assert len(lam) == len(goals)
+    for s, total in sizes.items():
+        got = sum(n * size * (3.0 if lam[s] * z >= math.log(3.0) else math.exp(lam[s] * z)) for _, name, size, n, z in cells if name == s)
+        assert got == pytest.approx(share[s] * total, rel=1e-8, abs=1e-8)
+
+
 def test_mixing_and_lines_keep_clashing_names(spark):
     names = ["part", "offset", "name", "rank", "salt", "missing", "row", "sum", "n", "_lines", "_known", "_site", "_salt", "a.b"]
     rows = [(i, "w " * (i % 5 + 1) + "\nmenu", "s", *(f"{n}{i}" for n in names)) for i in range(12)]
