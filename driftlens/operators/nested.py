@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftlens.functions.codes import draw
 from driftlens.operators import positions
 from driftlens.operators.metrics import average_rank, finite
+from driftlens.operators.storage import stored
 
 
 def drawn(units: DataFrame, by: list[str], unit: str, repeats: int = 200, seed: int = 1) -> DataFrame:
@@ -22,9 +23,9 @@ def drawn(units: DataFrame, by: list[str], unit: str, repeats: int = 200, seed:
     return picks.join(numbered.drop("_n"), [*by, "_i"]).drop("_i")
 
 
-def within(leaves: DataFrame, by: list[str], levels: list[str], repeats: int = 200, seed: int = 1) -> DataFrame:
+def within(leaves: DataFrame, by: list[str], levels: list[str], repeats: int = 200, seed: int = 1, path: bool = False) -> DataFrame:
     """leaves, a row for each key of all levels, as often as draws take them; a draw at each level, within
-    what was drawn above it, anew for each copy.
+    what was drawn above it, anew for each copy. path: with _path, which tells copies apart.
 
     Copies are dealt evenly before a level multiplies them, into a number of tasks that is not lowered for their
     small size: a level's draws of a few large groups do not meet in few tasks."""
@@ -39,9 +40,9 @@ def within(leaves: DataFrame, by: list[str], levels: list[str], repeats: int = 2
         sizes = units.groupBy(*above).agg((F.max("_i") + 1).alias("_n"))
         copies = state.join(sizes, above).repartition(tasks, "_rep", "_path", *above)
         slots = copies.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        path = F.concat_ws("|", "_path", F.col("_slot").cast("string"))
-        picks = slots.select(*above, "_rep", path.alias("_path"), F.pmod(draw(seed, path), F.col("_n")).cast("int").alias("_i"))
-        state = (picks.drop("_path") if last else picks).join(units.filter(F.col(level).isNotNull()), [*above, "_i"]).drop("_i")
+        own_path = F.concat_ws("|", "_path", F.col("_slot").cast("string"))
+        picks = slots.select(*above, "_rep", own_path.alias("_path"), F.pmod(draw(seed, own_path), F.col("_n")).cast("int").alias("_i"))
+        state = (picks.drop("_path") if last and not path else picks).join(units.filter(F.col(level).isNotNull()), [*above, "_i"]).drop("_i")
     return state
 
 
@@ -52,9 +53,28 @@ def limits(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def nested_mean(df: DataFrame, by: list[str], levels: list[str], value: str, repeats: int = 200, seed: int = 1) -> DataFrame:
-    """Limits of the mean over leaves (the last level's means), drawn level by level."""
+    """Limits of the mean over leaves (the last level's means), drawn level by level.
+
+    df is read once. Leaves stand in the row of the group they are drawn from, and a copy of that group draws and adds
+    them up within its own row: the rows that meet are as many as copies of groups, however many leaves they have."""
+    *upper, last = levels
+    above, tasks = [*by, *upper], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df.groupBy(*by, *levels).agg(F.avg(value).alias("_v"))
-    return limits(within(leaves, by, levels, repeats, seed).groupBy(*by, "_rep").agg(F.avg("_v").alias("_v")), by, "_v")
+    unit = F.struct(F.col(last).alias("u"), F.col("_v").cast("double").alias("v"))
+    # in order of the level; a leaf without a key has a place, but draws of it count for nothing
+    held = leaves.groupBy(*above).agg(F.sort_array(F.collect_list(unit)).alias("_u"))
+    held = stored(held.select(*above, F.transform("_u", lambda x: F.when(x["u"].isNotNull(), x["v"])).alias("_held"), F.transform("_u", lambda x: x["u"].isNotNull()).alias("_there")))
+    copies = within(held.select(*above), by, upper, repeats, seed, path=True)
+    # a stated number of tasks is not lowered for the small size of what draws multiply
+    rows = copies.repartition(tasks, *above).join(held.repartition(tasks, *above), above) if above else copies.crossJoin(held)
+
+    drawn_at = F.transform(F.sequence(F.lit(0), F.size("_held") - 1), lambda slot: F.pmod(draw(seed, F.concat_ws("|", F.col("_path"), slot.cast("string"))), F.size("_held")).cast("int"))
+    rows = rows.withColumn("_at", drawn_at)
+    total = F.aggregate("_at", F.lit(0.0), lambda s, i: s + F.coalesce(F.get("_held", i), F.lit(0.0)))
+    count = lambda ok: F.aggregate("_at", F.lit(0), lambda s, i: s + ok(i).cast("int"))
+    sums = rows.select(*by, "_rep", total.alias("_s"), count(lambda i: F.get("_held", i).isNotNull()).alias("_c"), count(lambda i: F.get("_there", i)).alias("_d"))
+    made = sums.groupBy(*by, "_rep").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("_v"), F.sum("_d").alias("_d")).filter("_d > 0")
+    return limits(made, by, "_v")
 
 
 def pooled(df: DataFrame, by: list[str], unit: str, values: list[str], repeats: int = 200, seed: int = 1) -> DataFrame:

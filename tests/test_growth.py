@@ -228,3 +228,27 @@ def test_best_single_leaves_rows_where_their_group_is(spark, lines):
         assert {(r["assay_id"], r["model_id"], r["n"]) for r in made.collect()} == want and want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_nested_means_read_their_input_once_and_draw_in_the_rows_of_groups(spark):
+    """Draws of leaves are no rows that meet; values are those of the rows that `within` gives."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(m, f"F{i % 4}", f"P{i % 7}" if i % 11 else None, f"A{i}" if i % 13 else None, None if i % 10 == 0 else float(i * 37 % 23)) for m in ("a", "b") for i in range(60)]
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "m string, f string, p string, a string, v double"
+    plain = spark.createDataFrame(rows, schema)
+    for levels in (["f", "p", "a"], ["a"]):
+        seen.value = 0
+        got = {r["m"]: r.asDict() for r in nested.nested_mean(plain.mapInArrow(counted, schema), ["m"], levels, "v", 20).collect()}
+        assert seen.value == len(rows)
+        leaves = plain.groupBy("m", *levels).agg(F.avg("v").alias("_v"))
+        drawn = nested.within(leaves, ["m"], levels, 20).groupBy("m", "_rep").agg(F.avg("_v").alias("_v"))
+        want = {r["m"]: r.asDict() for r in nested.limits(drawn, ["m"], "_v").collect()}
+        assert got.keys() == want.keys() == {"a", "b"}
+        for m in want:
+            assert all(math.isclose(got[m][c], want[m][c], rel_tol=1e-12) for c in ("lower", "upper", "p"))
