@@ -532,3 +532,41 @@ def test_win_summary(spark):
     assert math.isclose(got["brier"], np.mean([(p - a) ** 2 for *_, a, p in rows]))
     assert math.isclose(got["balanced_accuracy"], (np.mean([c for _, a, c in right if a]) + np.mean([c for _, a, c in right if not a])) / 2)
     assert math.isclose(got["mean_group_accuracy"], np.mean([np.mean([c for h, _, c in right if h == g]) for g in {g for g, *_ in right}]))
+
+
+@pytest.mark.parametrize(("loss", "target", "weight"), [("squared", "y", "w"), ("absolute", "y", None), ("logistic", "label", None)])
+def test_boosting_of_groups_too_large_for_a_task_equals_its_twin(data, frame, monkeypatch, loss, target, weight):
+    """Passes over all cells give the trees that one task gives."""
+    settings = {"rounds": 3, "rate": 0.3, "leaves": 5, "least": 7, "l2": 1.0, "bins": 16, "depth": 3}
+    monkeypatch.setattr(boosting, "GATHERED", 0)
+    model = boosting.fit(frame.filter("row < 900"), ["grp"], X, target, weight, loss=loss, keep=2, **settings)
+    got = {r["row"]: r["predicted"] for r in boosting.predict(frame, model, ["grp"]).collect()}
+    for _, own in data.groupby("grp"):
+        w = own[weight].to_numpy() if weight else np.ones(len(own))
+        want = twin(own[X].to_numpy(), own[target].to_numpy().astype(float), w, loss, **settings)
+        assert np.allclose([got[r] for r in own["row"]], want, rtol=1e-9)
+
+
+def test_full_rounds_are_few_jobs_and_equal_rows_one_cell(spark):
+    """150 rounds of a group are no jobs of their own; features that a key tells and rows added up change no value."""
+    from driftlens.operators import supervised
+
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        key, assay = f"K{i * 7 % 11}", i % 24
+        s = float(r.integers(0, 4))
+        rows.append((f"P{assay // 2}", f"A{assay}", key, float(i * 7 % 11 % 4), float(i * 7 % 11), s, float(s + (i * 7 % 11) / 5 + r.normal(0, 0.3))))
+    rows.append(("P0", "A0", "bad", None, 1.0, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "protein string, assay string, key string, a double, b double, s double, target double").cache()
+    more = {"group": "protein", "assay": "assay", "folds": 4}
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("pooled", "pooled")
+    told = supervised.pooled(df, ["a", "b", "s"], ["s"], **more, keys=["key"], varying=["s"])
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("pooled")) < 120
+    key = ["model", "fold", "assay", "key", "s", "target"]
+    got, want = (x.toPandas().sort_values(key).reset_index(drop=True) for x in (told, supervised.pooled(df, ["a", "b", "s"], ["s"], **more)))
+    assert len(got) == len(want) == 4 * len(rows) and list(got.columns) == list(want.columns)
+    assert got[key].equals(want[key]) and np.allclose(got["predicted"].astype(float), want["predicted"].astype(float), rtol=1e-9, equal_nan=True)
+    assert got["predicted"].isna().sum() == 4
