@@ -252,3 +252,19 @@ def test_nested_means_read_their_input_once_and_draw_in_the_rows_of_groups(spark
         assert got.keys() == want.keys() == {"a", "b"}
         for m in want:
             assert all(math.isclose(got[m][c], want[m][c], rel_tol=1e-12) for c in ("lower", "upper", "p"))
+
+
+@pytest.mark.parametrize(("name", "rounds"), [("ml_pooled", {(150, 31)}), ("run_group_holdout", {(150, 31)}), ("ml_transport", {(250, 15)}), ("ml_param_search", {(250, 15), (500, 15), (300, 31)})])
+def test_registered_fits_take_all_rounds(spark, lines, tmp_path, monkeypatch, name, rounds):
+    """What a registered query gives to boosting are the library's rounds and leaves (run here with one round)."""
+    from driftlens.operators import boosting
+
+    fit, seen = boosting.fit, set()
+
+    def watched(*args, **settings):
+        seen.add((settings.get("rounds", 150), settings.get("leaves", 31)))
+        return fit(*args, **settings | {"rounds": 1})
+
+    monkeypatch.setattr(boosting, "fit", watched)
+    spark.read.parquet(f"{lines}/lineitem.parquet").fillna(1.0).filter("l_suppkey IS NOT NULL").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert getattr(models, name)(spark, str(tmp_path)).count() > 0 and seen == rounds
